@@ -1 +1,8 @@
 """Security log analytics on Spark: raw log text to events, alerts and incidents."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run inside tasks travel with the plan, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -1,6 +1,6 @@
 """Named queries over the test tables, each with its SQL counterpart where one exists."""
 
-from . import detectors  # noqa: F401
+from . import detectors, rules  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.predicates import holds, is_failed_auth, is_success_auth, present
 from ..functions.severity import title_case
 from ..schema import UNKNOWN_HOST, with_micros
+from ..session import cut_lineage
 from .alerts import EVIDENCE_EVENT_COLUMNS, complete, evidence, roll_up, union_all
 from .ordered import (
     CHUNK_ROWS, SECOND, distinct_picks, first_diverse_anchor, first_rows, next_mark, rows_in_spans, running_count,
@@ -90,7 +91,7 @@ def brute_force(events: DataFrame, cfg: ThresholdConfig) -> DataFrame:
 def account_enum(events: DataFrame, cfg: ThresholdConfig) -> DataFrame:
     """Failures from one address up to the n-th distinct user, then from the start again; no time limit."""
     rows = _rows(events, is_failed_auth() & present(F.col("source_ip")) & present(F.col("username")))
-    ranked = running_count(rows, ["source_ip"], "rank")
+    ranked = cut_lineage(running_count(rows, ["source_ip"], "rank"))
     fired = distinct_picks(ranked, ["source_ip"], "username", cfg.enum_users, cfg.chunk_rows)
     used = next_mark(ranked, fired, ["source_ip"], cfg.chunk_rows)
     return evidence(used, "threshold_account_enum", "ip", F.col("source_ip"), F.col("mark"))
@@ -108,7 +109,7 @@ def credential_stuffing(events: DataFrame, cfg: ThresholdConfig) -> DataFrame:
     rows = _rows(
         events.withColumn("__failed", failed),
         present(F.col("source_ip")) & (F.col("category") == "authentication") & (failed | success), "__failed")
-    counted = running_count(rows, key, "rank", flag=F.col("__failed"))
+    counted = cut_lineage(running_count(rows, key, "rank", flag=F.col("__failed")))
     failures = counted.filter("__failed").drop("__failed")
     successes = (
         counted.filter(~F.col("__failed") & (F.col("rank") >= n))
@@ -118,7 +119,7 @@ def credential_stuffing(events: DataFrame, cfg: ThresholdConfig) -> DataFrame:
         shifted(failures, key, "us", 1 - n, "__nth_us", chunk_rows=cfg.chunk_rows)
         .filter(F.col("us") - F.col("__nth_us") <= cfg.window_us)
     )
-    candidates = dense.select(*key, "rank", "us").join(successes, [*key, "rank"])
+    candidates = cut_lineage(dense.select(*key, "rank", "us").join(successes, [*key, "rank"]))
     fired = candidates.join(spaced_picks(candidates, key, n, cfg.chunk_rows), [*key, "rank"])
     held = (
         next_mark(failures, fired.select(*key, "rank"), key, cfg.chunk_rows)
@@ -135,7 +136,7 @@ def credential_stuffing(events: DataFrame, cfg: ThresholdConfig) -> DataFrame:
 def lateral_movement(events: DataFrame, cfg: ThresholdConfig) -> DataFrame:
     """The first window in which one user logs on to n distinct hosts."""
     rows = _rows(events, is_success_auth() & present(F.col("username")) & holds(F.col("hostname") != UNKNOWN_HOST))
-    ranked = running_count(rows, ["username"], "rank")
+    ranked = cut_lineage(running_count(rows, ["username"], "rank"))
     first = first_diverse_anchor(
         ranked, ["username"], "hostname", cfg.lateral_hosts, cfg.window_us, cfg.chunk_rows)
     anchors = ranked.join(first, ["username", "rank"])

@@ -40,8 +40,12 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialize reliably (files in the shared folder), so a lost executor costs no recomputation chain."""
+    """Write an intermediate result to the shared folder and go on from there.
+
+    It is computed once however often it is used, survives the loss of executors, and its size on disk is known to
+    the optimizer when it chooses joins.
+    """
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+    path = scratch_path(spark, "stage")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
