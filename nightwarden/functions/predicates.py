@@ -25,9 +25,9 @@ def is_success_auth() -> Column:
     return by_status | holds(F.col("event_id") == 4624)
 
 
-def event_projection(events: DataFrame) -> DataFrame:
+def event_projection(events: DataFrame, *more: str | Column) -> DataFrame:
     """The event columns a result listing shows; message cut to 300 characters."""
     return events.select(
         "id", "source_type", "hostname", "ts", "event_id", "category", "username", "source_ip",
-        "process_name", "command_line", "status", F.substring("message", 1, 300).alias("message"),
+        "process_name", "command_line", "status", F.substring("message", 1, 300).alias("message"), *more,
     )
