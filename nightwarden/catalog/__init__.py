@@ -1,6 +1,6 @@
 """Named queries over the test tables, each with its SQL counterpart where one exists."""
 
-from . import anomaly, detectors, rules, sources  # noqa: F401
+from . import alerts, anomaly, detectors, rules, sources  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

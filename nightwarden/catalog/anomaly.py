@@ -81,7 +81,7 @@ def anomaly_text(spark, sf_dir):
 
 @query("isolation_forest")
 def isolation_forest(spark, sf_dir):
-    """Anomalies by severity and event kind (random trees, so no SQL counterpart)."""
-    alerts, _ = an.detect(events(spark, sf_dir))
-    return alerts.groupBy("severity", "first_host").agg(
-        F.count("*").alias("n"), F.min("score").alias("lowest"), F.max("score").alias("highest"))
+    """Scores of all events by severity band and event id (random trees, so no SQL counterpart)."""
+    scored = an.score_events(events(spark, sf_dir))
+    return scored.groupBy(F.coalesce(an.band(F.col("score")), F.lit("normal")).alias("severity"), "event_id").agg(
+        F.count("*").alias("n"), F.round(F.min("score"), 4).alias("lowest"), F.round(F.max("score"), 4).alias("highest"))

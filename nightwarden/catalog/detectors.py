@@ -54,7 +54,7 @@ def window_sql(name: str, key: str, condition: str, width_days: int, n: int, per
          list_sort(list_distinct(list(hostname) OVER w)) AS hosts
   FROM ev WHERE {condition} WINDOW w AS {w}),
 {name} AS (
-  SELECT {key}, last_us AS us, seq AS lo, hi, n, hostname AS first_host, hosts, row_number() OVER (PARTITION BY {per} ORDER BY us, seq) AS rn
+  SELECT {key}, us AS lo_us, last_us AS us, seq AS lo, hi, n, hostname AS first_host, hosts, row_number() OVER (PARTITION BY {per} ORDER BY us, seq) AS rn
   FROM {name}_w WHERE {value} >= {n} QUALIFY rn = 1)"""
 
 
@@ -82,17 +82,18 @@ D2_SQL = f"""
 d2_in AS (SELECT source_ip, username, us, seq, hostname,
     row_number() OVER (PARTITION BY source_ip ORDER BY us, seq) AS rn FROM ev WHERE {FAILED}),
 d2_walk AS (
-  SELECT source_ip, rn, us, seq, [username] AS users, seq AS lo, hostname AS first_host, 1 AS n, false AS fire
+  SELECT source_ip, rn, us, seq, [username] AS users, seq AS lo, us AS lo_us, hostname AS first_host, 1 AS n, false AS fire
   FROM d2_in WHERE rn = 1
   UNION ALL
   SELECT w.source_ip, i.rn, i.us, i.seq,
     CASE WHEN w.fire THEN [i.username] ELSE list_distinct(list_append(w.users, i.username)) END,
     CASE WHEN w.fire THEN i.seq ELSE w.lo END,
+    CASE WHEN w.fire THEN i.us ELSE w.lo_us END,
     CASE WHEN w.fire THEN i.hostname ELSE w.first_host END,
     CASE WHEN w.fire THEN 1 ELSE w.n + 1 END,
     NOT w.fire AND len(list_distinct(list_append(w.users, i.username))) >= 5
   FROM d2_walk w JOIN d2_in i ON i.source_ip = w.source_ip AND i.rn = w.rn + 1),
-d2 AS (SELECT source_ip, us, lo, seq AS hi, n, first_host FROM d2_walk WHERE fire)"""
+d2 AS (SELECT source_ip, us, lo_us, lo, seq AS hi, n, first_host FROM d2_walk WHERE fire)"""
 D2_OUT = plain_sql("threshold_account_enum", "d2", "source_ip", "'IP=' || source_ip || ', distinct_users=5'")
 
 D3_SQL = f"""
@@ -112,7 +113,7 @@ d3_walk AS (
     i.failed,
     NOT i.failed AND NOT w.fire AND len(w.held) >= 10
   FROM d3_walk w JOIN d3_in i ON i.source_ip = w.source_ip AND i.rn = w.rn + 1),
-d3 AS (SELECT source_ip, username, us, held[1].seq AS lo, seq AS hi, len(held) + 1 AS n, held[1].host AS first_host
+d3 AS (SELECT source_ip, username, us, held[1].seq AS lo, seq AS hi, len(held) + 1 AS n, held[1].host AS first_host, held
        FROM d3_walk WHERE fire)"""
 D3_OUT = plain_sql("threshold_credential_stuffing", "d3", "source_ip",
                    "'IP=' || source_ip || ', failures=' || (n - 1) || ', then success user=' || username")

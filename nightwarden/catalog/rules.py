@@ -192,7 +192,7 @@ c13_walk AS (
                 {{'us': i.us, 'seq': i.seq}}),
     len(CASE WHEN w.fire THEN [] ELSE list_filter(w.held, lambda x: x.us >= i.us - {3 * DAY_US}) END) + 1 >= 4
   FROM c13_walk w JOIN c13_in i ON i.hostname = w.hostname AND i.source_ip = w.source_ip AND i.rn = w.rn + 1),
-c13 AS (SELECT hostname, source_ip, us, held[1].seq AS lo, seq AS hi, len(held) AS n FROM c13_walk WHERE fire)"""
+c13 AS (SELECT hostname, source_ip, us, held[1].seq AS lo, seq AS hi, len(held) AS n, held FROM c13_walk WHERE fire)"""
 
 
 def count_rule() -> ru.Rule:

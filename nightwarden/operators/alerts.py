@@ -117,14 +117,13 @@ def alert_projection(alerts: DataFrame) -> DataFrame:
     )
 
 
-def indicators(tagged: DataFrame) -> DataFrame:
-    """the hosts (but unknown), users and addresses in each alert's evidence, with their first occurrence.
+def entities(tagged: DataFrame) -> DataFrame:
+    """The hosts, users and addresses in each alert's evidence, with their first occurrence.
 
     One row per (alert, kind, value): an alert over many users stays many small rows.
     """
     kinds = F.array(
-        F.struct(F.lit("host").alias("kind"),
-                 F.when(F.col("hostname") != UNKNOWN_HOST, F.col("hostname")).alias("value")),
+        F.struct(F.lit("host").alias("kind"), F.col("hostname").alias("value")),
         F.struct(F.lit("user").alias("kind"), F.col("username").alias("value")),
         F.struct(F.lit("ip").alias("kind"), F.col("source_ip").alias("value")),
     )
@@ -141,6 +140,11 @@ def indicators(tagged: DataFrame) -> DataFrame:
     )
 
 
+def indicators(found: DataFrame) -> DataFrame:
+    """the entities that tie alerts together; the host `unknown` does not."""
+    return found.filter((F.col("kind") != "host") | (F.col("value") != UNKNOWN_HOST))
+
+
 def summary(alerts: DataFrame, incidents: DataFrame | None = None) -> DataFrame:
     """totals by severity, and the number of incidents."""
     counts = [F.count("*").alias("total_alerts")]
