@@ -36,11 +36,29 @@ RELEVANT_WORDS = [
 ]
 
 
-def _at(record: Column, *keys: str) -> Column:
-    """The value under a key path, NULL when absent or JSON null."""
-    path = "$" + "".join(f"['{k}']" for k in keys)
-    value = F.try_variant_get(record, path, "variant")
-    return F.when(~F.is_variant_null(value), value)
+# Single keys that are read beside the candidate lists.
+OTHER_KEYS = [
+    "event.id", "event_id", "id", "process.name", "process", "process.command_line", "command_line", "destination.ip",
+    "dest_ip", "tags", "labels",
+]
+
+
+def _paths() -> dict[tuple[str, ...], int]:
+    """Every key path that is read (dotted keys and their parents), numbered."""
+    found: dict[tuple[str, ...], int] = {}
+    for dotted in [*TIMESTAMP_KEYS, *USER_KEYS, *IP_KEYS, *HOST_KEYS, *MESSAGE_KEYS, *CATEGORY_KEYS, *STATUS_KEYS, *OTHER_KEYS]:
+        keys = tuple(dotted.split("."))
+        for depth in range(len(keys), 0, -1):
+            found.setdefault(keys[:depth], len(found))
+    return found
+
+
+PATHS = _paths()
+NESTED = "^(OBJECT|ARRAY)"
+
+
+def _value(record: Column, keys: tuple[str, ...]) -> Column:
+    return F.try_variant_get(record, "$" + "".join(f"['{k}']" for k in keys), "variant")
 
 
 def _kind(value: Column) -> Column:
@@ -51,44 +69,63 @@ def _is_object(value: Column) -> Column:
     return holds(_kind(value).startswith("OBJECT"))
 
 
-def lookup(record: Column, dotted: str) -> Column:
-    """Value of a dotted key; where the path meets something that is no object, that value itself."""
-    keys = dotted.split(".")
-    found = [_at(record, *keys)]
+def fields(record: Column) -> Column:
+    """All paths of a record in one array of (v, kind, text): each is looked up and typed once.
+
+    kind is NULL for an absent key and VOID for JSON null; text is that of a scalar.
+    """
+    values = F.array(*[_value(record, keys) for keys in PATHS])
+    typed = F.transform(values, lambda v: F.struct(v.alias("v"), _kind(v).alias("kind")))
+    return F.transform(typed, lambda x: F.struct(
+        x["v"].alias("v"), x["kind"].alias("kind"),
+        F.when(~x["kind"].rlike(NESTED), F.try_variant_get(x["v"], "$", "string")).alias("text")))
+
+
+def _slot(keys: tuple[str, ...]) -> Column:
+    """A path's entry in the column x; NULL when absent or JSON null."""
+    entry = F.col("x")[PATHS[keys]]
+    return F.when(entry["kind"] != "VOID", entry)
+
+
+def lookup(dotted: str) -> Column:
+    """Entry of a dotted key; where the path meets something that is no object, that value itself."""
+    keys = tuple(dotted.split("."))
+    found = [_slot(keys)]
     for depth in range(len(keys) - 1, 0, -1):
-        parent = _at(record, *keys[:depth])
-        found.append(F.when(~_is_object(parent), parent))
+        parent = _slot(keys[:depth])
+        found.append(F.when(~parent["kind"].startswith("OBJECT"), parent))
     return found[0] if len(found) == 1 else F.coalesce(*found)
 
 
-def first_of(record: Column, keys: list[str], scalar: bool = False) -> Column:
+def first_of(keys: list[str], scalar: bool = False) -> Column:
     """The first present candidate; scalar skips lists and objects."""
-    values = [lookup(record, k) for k in keys]
+    entries = [lookup(k) for k in keys]
     if scalar:
-        values = [F.when(~_kind(v).rlike("^(OBJECT|ARRAY)"), v) for v in values]
-    return F.coalesce(*values)
+        entries = [F.when(~e["kind"].rlike(NESTED), e) for e in entries]
+    return F.coalesce(*entries)
 
 
-def as_text(value: Column) -> Column:
-    return F.try_variant_get(value, "$", "string")
+def as_text(entry: Column) -> Column:
+    """Text of any value; lists and objects as JSON."""
+    return F.coalesce(entry["text"], F.try_variant_get(entry["v"], "$", "string"))
 
 
-def as_string_only(value: Column) -> Column:
+def string_only(entry: Column) -> Column:
     """Text of a JSON string; NULL for any other type."""
-    return F.when(_kind(value) == "STRING", as_text(value))
+    return F.when(entry["kind"] == "STRING", entry["text"])
 
 
-def _truthy(value: Column) -> Column:
-    """The value unless it is empty, zero or false."""
-    return F.when(~as_text(value).isin("", "0", "0.0", "false", "[]", "{}"), value)
+def _truthy(entry: Column) -> Column:
+    """The entry unless it is empty, zero or false."""
+    empty = F.coalesce(entry["text"].isin("", "0", "0.0", "false"), F.lit(False)) | entry["kind"].isin("OBJECT<>", "ARRAY<VOID>")
+    return F.when(~empty, entry)
 
 
-def as_time(value: Column) -> Column:
+def as_time(entry: Column) -> Column:
     """Numbers are epoch seconds, above 1e10 milliseconds; text is ISO 8601; anything else is unreadable."""
-    kind = _kind(value)
-    number = F.when(kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), F.try_variant_get(value, "$", "double"))
+    number = F.when(entry["kind"].rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), entry["text"].try_cast("double"))
     seconds = F.when(number > 1e10, number / 1000).otherwise(number)
-    text = as_string_only(value)
+    text = string_only(entry)
     return (
         F.when(number.isNotNull(), F.timestamp_micros(F.round(seconds * 1_000_000).cast("long")))
         .when(text.rlike(r"^\d{4}-\d{2}-\d{2}"), text.try_cast("timestamp"))
@@ -101,38 +138,40 @@ def _category_of(text: Column) -> Column:
         lambda chain, item: chain.when(low.contains(item[0]), item[1]), CATEGORY_WORDS.items(), F.when(F.lit(False), ""))
 
 
-def detect_category(record: Column) -> Column:
+def detect_category() -> Column:
     """A3d: by key, then list item, then word; unknown when nothing fits."""
-    found = []
+    texts = F.lit(None).cast("array<string>")
     for key in CATEGORY_KEYS:
-        value = lookup(record, key)
-        items = F.filter(
-            F.when(_kind(value).startswith("ARRAY"), F.try_variant_get(value, "$", "array<variant>")),
-            lambda item: holds(_kind(item) == "STRING"))
-        found.append(_category_of(as_string_only(value)))
-        found.append(F.try_element_at(F.array_compact(F.transform(items, lambda item: _category_of(as_text(item)))), F.lit(1)))
-    return F.coalesce(*found, F.lit("unknown"))
-
-
-def detect_status(record: Column) -> Column:
+        entry = lookup(key)
+        items = F.transform(
+            F.filter(F.try_variant_get(entry["v"], "$", "array<variant>"), lambda item: holds(_kind(item) == "STRING")),
+            lambda item: F.try_variant_get(item, "$", "string"))
+        here = F.when(entry["kind"] == "STRING", F.array(entry["text"])).when(entry["kind"].startswith("ARRAY"), items)
+        here = F.coalesce(here, F.array().cast("array<string>"))
+        texts = here if key == CATEGORY_KEYS[0] else F.concat(texts, here)
+    named = F.array_compact(F.transform(texts, _category_of))
+    return F.coalesce(F.try_element_at(named, F.lit(1)), F.lit("unknown"))
+
+
+def detect_status() -> Column:
     """A3e: outcome words or booleans; any other value leaves the decision to the next key."""
     found = []
     for key in STATUS_KEYS:
-        value = lookup(record, key)
-        word = F.lower(as_string_only(value))
-        flag = F.when(_kind(value) == "BOOLEAN", F.try_variant_get(value, "$", "boolean"))
+        entry = lookup(key)
+        word = F.lower(string_only(entry))
+        flag = F.when(entry["kind"] == "BOOLEAN", entry["text"])
         found.append(
-            F.when(word.isin(SUCCESS_WORDS) | flag, "success").when(word.isin(FAILURE_WORDS) | ~flag, "failure"))
+            F.when(word.isin(SUCCESS_WORDS) | (flag == "true"), "success")
+            .when(word.isin(FAILURE_WORDS) | (flag == "false"), "failure"))
     return F.coalesce(*found)
 
 
-def tag_list(record: Column) -> Column:
-    """A3g: a list as texts, an object as key:value texts; `tags` first, then `labels`."""
-    value = F.coalesce(_truthy(_at(record, "tags")), _at(record, "labels"))
-    pairs = F.map_entries(F.try_variant_get(value, "$", "map<string,string>"))
+def tag_list(entry: Column) -> Column:
+    """A3g: a list as texts, an object as key:value texts."""
+    pairs = F.map_entries(F.try_variant_get(entry["v"], "$", "map<string,string>"))
     return F.coalesce(
-        F.when(_kind(value).startswith("ARRAY"), F.try_variant_get(value, "$", "array<string>")),
-        F.when(_is_object(value), F.transform(pairs, lambda e: F.concat(e["key"], F.lit(":"), e["value"]))),
+        F.when(entry["kind"].startswith("ARRAY"), F.try_variant_get(entry["v"], "$", "array<string>")),
+        F.when(entry["kind"].startswith("OBJECT"), F.transform(pairs, lambda e: F.concat(e["key"], F.lit(":"), e["value"]))),
         F.array().cast("array<string>"))
 
 
@@ -141,8 +180,17 @@ def is_relevant(text: Column) -> Column:
     return F.lower(text).rlike("|".join(RELEVANT_WORDS))
 
 
+def parse_text(text: Column) -> Column:
+    """The text's single JSON value in an array of one; NULL unless the whole text is one value.
+
+    The parser itself stops after the first value and ignores the rest, so the text is read as the only item of a list.
+    """
+    items = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), "$", "array<variant>")
+    return F.flatten(F.transform(F.array(items), lambda a: F.when(F.size(a) == 1, a)))
+
+
 def is_record(text: Column) -> Column:
-    return _is_object(F.try_parse_json(text))
+    return holds(F.exists(parse_text(text), _is_object))
 
 
 def records(documents: DataFrame) -> DataFrame:
@@ -152,54 +200,62 @@ def records(documents: DataFrame) -> DataFrame:
     one JSON value (pretty-printed), that value is used.
     """
     text = F.regexp_replace("value", r"^\s+|\s+$", "")
-    docs = documents.withColumn("text", text).withColumn("doc", F.try_parse_json("text"))
-    by_line = F.transform(F.split("text", r"\R"), lambda t: F.try_parse_json(t))
+    docs = documents.withColumn("text", text).withColumn("doc", F.try_element_at(parse_text(F.col("text")), F.lit(1)))
+    by_line = F.flatten(F.transform(
+        F.split("text", r"\R"), lambda t: F.coalesce(parse_text(t), F.array().cast("array<variant>"))))
     wrapped = F.coalesce(*[
-        F.when(_kind(_at(F.col("doc"), k)).startswith("ARRAY"), F.try_variant_get("doc", f"$.{k}", "array<variant>"))
+        F.when(_kind(_value(F.col("doc"), (k,))).startswith("ARRAY"), F.try_variant_get("doc", f"$.{k}", "array<variant>"))
         for k in WRAPPER_KEYS])
     items = (
         F.when(F.col("doc").isNull(), by_line)
         .when(_kind(F.col("doc")).startswith("ARRAY"), F.try_variant_get("doc", "$", "array<variant>"))
         .otherwise(F.coalesce(wrapped, F.array("doc"))))
-    # One file's records share its seq range: file number in the high bits, position in the low ones.
     return (
-        docs.select("source_file", "file_name", F.col("seq").alias("__file"), F.posexplode(items).alias("pos", "record"))
+        docs.select("source_file", "file_name", F.explode(items).alias("record"))
         .filter(_is_object(F.col("record")))
-        .select(F.to_json("record").alias("value"), "source_file", "file_name",
-                (F.col("__file") * (1 << 26) + F.col("pos")).alias("seq")))
+        .select(F.to_json("record").alias("value"), "source_file", "file_name", F.monotonically_increasing_id().alias("seq")))
 
 
 def parse(lines: DataFrame, security_only: bool = False, default_ts: Column | None = None) -> DataFrame:
     """Events of JSON lines (columns value, source_file, seq); lines that are no JSON object are skipped."""
     if security_only:
         lines = lines.filter(is_relevant(F.col("value")))
-    v = F.col("v")
-    event_id = F.coalesce(_truthy(lookup(v, "event.id")), _truthy(_at(v, "event_id")), _truthy(_at(v, "id")))
-    process = F.coalesce(_truthy(lookup(v, "process.name")), _at(v, "process"))
-    command = F.coalesce(_truthy(lookup(v, "process.command_line")), _at(v, "command_line"))
-    destination = F.coalesce(_truthy(lookup(v, "destination.ip")), _at(v, "dest_ip"))
-    message = as_text(first_of(v, MESSAGE_KEYS))
-    read_ts = as_time(first_of(v, TIMESTAMP_KEYS))
     # A generator instead of a filter, so that the text is parsed once.
     parsed = lines.select(
-        "seq", "source_file", "value", F.explode(F.filter(F.array(F.try_parse_json("value")), _is_object)).alias("v"))
-    return parsed.select(*event_columns(
+        "seq", "source_file", "value", F.explode(F.filter(parse_text(F.col("value")), _is_object)).alias("v"))
+    found = parsed.withColumn("x", fields(F.col("v"))).select(
+        "seq", "source_file", "value", "v",
+        first_of(TIMESTAMP_KEYS).alias("time"),
+        first_of(USER_KEYS, scalar=True)["text"].alias("user"),
+        first_of(IP_KEYS, scalar=True)["text"].alias("ip"),
+        _truthy(first_of(HOST_KEYS, scalar=True))["text"].alias("host"),
+        first_of(MESSAGE_KEYS).alias("message"),
+        F.coalesce(_truthy(lookup("event.id")), _truthy(_slot(("event_id",))), _truthy(_slot(("id",)))).alias("nr"),
+        F.coalesce(_truthy(lookup("process.name")), _slot(("process",))).alias("process"),
+        F.coalesce(_truthy(lookup("process.command_line")), _slot(("command_line",))).alias("command"),
+        F.coalesce(_truthy(lookup("destination.ip")), _slot(("dest_ip",))).alias("destination"),
+        F.coalesce(_truthy(_slot(("tags",))), _slot(("labels",))).alias("tags"),
+        detect_category().alias("category"),
+        detect_status().alias("status"),
+    ).withColumn("read_ts", as_time(F.col("time")))
+    message = as_text(F.col("message"))
+    return found.select(*event_columns(
         seq=F.col("seq"),
         id=event_key(F.col("source_file"), F.col("seq"), F.col("value")),
         source_type=F.lit("json"),
         source_file=F.col("source_file"),
-        hostname=as_text(_truthy(first_of(v, HOST_KEYS, scalar=True))),
-        ts=read_ts if default_ts is None else F.coalesce(read_ts, default_ts),
-        ts_ok=read_ts.isNotNull(),
-        event_id=F.when(_kind(event_id) == "BIGINT", F.try_variant_get(event_id, "$", "int")),
-        category=detect_category(v),
-        username=as_text(first_of(v, USER_KEYS, scalar=True)),
-        source_ip=as_text(first_of(v, IP_KEYS, scalar=True)),
-        dest_ip=as_string_only(destination),
-        process_name=as_string_only(process),
-        command_line=as_string_only(command),
-        status=detect_status(v),
+        hostname=F.col("host"),
+        ts=F.col("read_ts") if default_ts is None else F.coalesce("read_ts", default_ts),
+        ts_ok=F.col("read_ts").isNotNull(),
+        event_id=F.when(F.col("nr.kind") == "BIGINT", F.col("nr.text").try_cast("int")),
+        category=F.col("category"),
+        username=F.col("user"),
+        source_ip=F.col("ip"),
+        dest_ip=string_only(F.col("destination")),
+        process_name=string_only(F.col("process")),
+        command_line=string_only(F.col("command")),
+        status=F.col("status"),
         message=F.coalesce(F.substring(message, 1, 500), F.substring(F.to_json("v"), 1, 300)),
         raw=F.create_map(F.lit("json"), F.col("value")),
-        tags=tag_list(v),
+        tags=tag_list(F.col("tags")),
     ))

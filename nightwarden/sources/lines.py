@@ -24,7 +24,7 @@ def log_type(file_name: Column) -> Column:
 
 def _read(spark: SparkSession, paths, **options) -> DataFrame:
     return (
-        spark.read.option("ignoreCorruptFiles", "true").options(**options).text(paths)
+        spark.read.format("text").option("ignoreCorruptFiles", "true").options(**options).load(paths)
         .select(
             "value",
             F.col("_metadata.file_path").alias("source_file"),
