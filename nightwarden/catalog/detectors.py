@@ -31,7 +31,7 @@ def plain(alerts: DataFrame) -> DataFrame:
 
 
 def run(rule: str, spark, sf_dir, cfg: th.ThresholdConfig) -> DataFrame:
-    return plain(th.detect(events(spark, sf_dir), cfg, [rule])[0])
+    return plain(th.detect_one(events(spark, sf_dir), rule, cfg))
 
 
 FAILED = "(category = 'authentication' AND status = 'failure' OR event_id = 4625)"
@@ -183,9 +183,9 @@ ALL_OUT = "\nUNION ALL\n".join([D1_OUT, D2_OUT, D3_OUT, D4_OUT, D5_OUT, D6_OUT,
 
 def detect_all(ev: DataFrame, rules: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """All detectors, each with the window that suits the test table; (alerts, evidence)."""
-    found = {r: th.DETECTORS[r].find(ev, RUNS[r]) for r in (rules or RUNS)}
-    return (th.union_all([th.to_alerts(r, f, RUNS[r]) for r, f in found.items()]),
-            th.union_all(list(found.values())))
+    configs = {r: RUNS[r] for r in (rules or RUNS)}
+    found = th.find(ev, configs)
+    return th.alerts_of(found, configs), found
 
 
 @query("threshold_union", with_ev(*ALL_SQL, select=ALL_OUT))

@@ -13,7 +13,7 @@ The only per-key steps run over one row per slice or chunk. All results equal th
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -134,53 +134,97 @@ def _fields(df: DataFrame, names: list[str]) -> list[T.StructField]:
     return [T.StructField(n, df.schema[n].dataType) for n in names]
 
 
+def sorted_groups(batches: Iterable[pd.DataFrame], keys: list[str]) -> Iterator[dict[str, np.ndarray]]:
+    """Groups of a sorted partition, one after the other, as arrays per column.
+
+    Rows arrive in batches that know nothing of groups; only the unfinished last group is carried along. Many small
+    groups share a batch, which is far cheaper than one call per group.
+    """
+    rest = None
+    for batch in batches:
+        rows = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+        if not len(rows):
+            continue
+        arrays = {c: rows[c].to_numpy() for c in rows.columns}
+        changed = np.zeros(len(rows), dtype=bool)
+        for k in keys:
+            changed[1:] |= arrays[k][1:] != arrays[k][:-1]
+        starts = [0, *np.flatnonzero(changed)]
+        for begin, end in zip(starts, starts[1:]):
+            yield {c: v[begin:end] for c, v in arrays.items()}
+        rest = rows.iloc[starts[-1]:]
+    if rest is not None and len(rest):
+        yield {c: rest[c].to_numpy() for c in rest.columns}
+
+
+def _frames(rows: Iterable[tuple], columns: list[str], size: int = 20_000) -> Iterator[pd.DataFrame]:
+    held = []
+    for row in rows:
+        held.append(row)
+        if len(held) >= size:
+            yield pd.DataFrame(held, columns=columns)
+            held = []
+    if held:
+        yield pd.DataFrame(held, columns=columns)
+
+
 def fold_chunks(
     df: DataFrame,
     keys: list[str],
-    summarise: Callable[[pd.DataFrame], object],
+    summarise: Callable[[dict], object],
     advance: Callable[[object, object], object],
-    emit: Callable[[object, pd.DataFrame], pd.DataFrame],
-    emitted: list[T.StructField],
+    emit: Callable[[object, dict], list[int]],
     start: object,
-    rank: str = "rank",
     reverse: bool = False,
     chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
-    """Run an order-dependent fold over each key in three parallel steps.
+    """Run an order-dependent fold over the dense `rank` of each key; returns (keys, rank) of the rows it picks.
 
     1. summarise: every chunk of at most chunk_rows positions, on its own, to a small summary;
-    2. advance: per key over its summaries in order, giving the state in which each chunk is entered;
-    3. emit: every chunk again, on its own, from its entry state.
+    2. advance: over a key's summaries in order, giving the state in which each chunk is entered;
+    3. emit: every chunk again, on its own, from its entry state, which arrives as the chunk's first row.
     """
     part = [*keys, "__chunk"]
-    chunked = df.withColumn("__chunk", F.expr(f"({rank} - 1) div {chunk_rows}"))
-    id_fields = _fields(chunked, part)
-
-    def summarise_chunk(key, rows):
-        return pd.DataFrame([[*key, json.dumps(summarise(rows.sort_values(rank)))]], columns=[*part, "__summary"])
-
-    def walk(rows):
-        rows = rows.sort_values("__chunk", ascending=not reverse)
-        state, entered = start, []
-        for summary in rows["__summary"]:
-            entered.append(json.dumps(state))
-            state = advance(state, json.loads(summary))
-        return rows.assign(__state=entered)[[*part, "__state"]]
-
-    def emit_chunk(key, rows, states):
-        out = emit(json.loads(states["__state"].iloc[0]), rows.sort_values(rank))
-        for name, value in zip(keys, key):
-            out[name] = value
-        return out[[*keys, *[f.name for f in emitted]]]
-
-    summaries = chunked.groupBy(*part).applyInPandas(
-        summarise_chunk, T.StructType([*id_fields, T.StructField("__summary", T.StringType())]))
-    states = summaries.groupBy(*keys).applyInPandas(
-        walk, T.StructType([*id_fields, T.StructField("__state", T.StringType())]))
+    chunked = df.withColumn("__chunk", F.expr(f"(rank - 1) div {chunk_rows}"))
+    ids = _fields(chunked, part)
+    text = [T.StructField("__state", T.StringType())]
+
+    def first_pass(batches):
+        yield from _frames(
+            ((*(g[c][0] for c in part), json.dumps(summarise(g))) for g in sorted_groups(batches, part)),
+            [*part, "__state"])
+
+    def walk(batches):
+        def entered():
+            for g in sorted_groups(batches, keys):
+                state = start
+                for i, summary in enumerate(g["__state"]):
+                    yield (*(g[c][i] for c in part), json.dumps(state))
+                    state = advance(state, json.loads(summary))
+
+        yield from _frames(entered(), [*part, "__state"])
+
+    def second_pass(batches):
+        def picked():
+            for g in sorted_groups(batches, part):
+                key = tuple(g[k][0] for k in keys)
+                for r in emit(json.loads(g["__state"][0]), {c: v[1:] for c, v in g.items()}):
+                    yield (*key, r)
+
+        yield from _frames(picked(), [*keys, "rank"])
+
+    summaries = (
+        chunked.repartition(*part).sortWithinPartitions(*part, "rank")
+        .mapInPandas(first_pass, T.StructType([*ids, *text])))
+    order = F.col("__chunk").desc() if reverse else F.col("__chunk")
+    states = (
+        summaries.repartition(*keys).sortWithinPartitions(*keys, order)
+        .mapInPandas(walk, T.StructType([*ids, *text])))
     return (
-        chunked.groupBy(*part).cogroup(states.groupBy(*part))
-        .applyInPandas(emit_chunk, T.StructType([*_fields(chunked, keys), *emitted]))
-    )
+        chunked.withColumn("__state", F.lit(None).cast("string"))
+        .unionByName(states.withColumn("rank", F.lit(0).cast("long")), allowMissingColumns=True)
+        .repartition(*part).sortWithinPartitions(*part, "rank")
+        .mapInPandas(second_pass, T.StructType([*_fields(chunked, keys), T.StructField("rank", T.LongType())])))
 
 
 def spaced_picks(candidates: DataFrame, keys: list[str], n: int, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
@@ -201,7 +245,7 @@ def spaced_picks(candidates: DataFrame, keys: list[str], n: int, chunk_rows: int
         return np.where(last >= 0, ranks[last] + n, allowed)
 
     def summarise(rows):
-        ranks = rows["rank"].to_numpy()
+        ranks = rows["rank"]
         first = int((ranks[0] - 1) // chunk_rows) * chunk_rows + 1
         return [first, follow(ranks, first + np.arange(n)).tolist()]
 
@@ -210,28 +254,25 @@ def spaced_picks(candidates: DataFrame, keys: list[str], n: int, chunk_rows: int
         return exits[max(0, allowed - first)]
 
     def emit(allowed, rows):
-        ranks = rows["rank"].to_numpy()
+        ranks = rows["rank"].astype("int64")
         after = np.searchsorted(ranks, ranks + n)
         at, picked = int(np.searchsorted(ranks, allowed)), []
         while at < len(ranks):
             picked.append(int(ranks[at]))
             at = int(after[at])
-        return pd.DataFrame({"rank": np.array(picked, dtype="int64")})
+        return picked
 
-    return fold_chunks(
-        candidates.select(*keys, "rank"), keys, summarise, advance, emit,
-        [T.StructField("rank", T.LongType())], 1, chunk_rows=chunk_rows)
+    return fold_chunks(candidates.select(*keys, "rank"), keys, summarise, advance, emit, 1, chunk_rows=chunk_rows)
 
 
-def _distinct_run(values: list, begin: int, k: int, seen: list, on_fire=None, stop_at=None):
+def _distinct_run(values: list, begin: int, k: int, seen: list, on_fire, stop_at=None):
     """Collect distinct values from begin on; clear at k of them. Returns the values held at the end."""
     held = set(seen)
     for i in range(begin, len(values)):
         held.add(values[i])
         if len(held) >= k:
             held.clear()
-            if on_fire is not None:
-                on_fire(i)
+            on_fire(i)
             if stop_at is not None and i in stop_at:
                 return stop_at[i]
     return sorted(held)
@@ -273,11 +314,9 @@ def distinct_picks(rows: DataFrame, keys: list[str], value: str, k: int, chunk_r
     def emit(held, chunk):
         fired: list[int] = []
         _distinct_run(chunk[value].tolist(), 0, k, held, fired.append)
-        return pd.DataFrame({"rank": chunk["rank"].to_numpy()[fired]})
+        return chunk["rank"][fired].tolist()
 
-    return fold_chunks(
-        rows.select(*keys, "rank", value), keys, summarise, advance, emit,
-        [T.StructField("rank", T.LongType())], [], chunk_rows=chunk_rows)
+    return fold_chunks(rows.select(*keys, "rank", value), keys, summarise, advance, emit, [], chunk_rows=chunk_rows)
 
 
 def first_diverse_anchor(
@@ -293,25 +332,28 @@ def first_diverse_anchor(
         return [*found, *[[v, t] for v, t in known if v not in mine]][:k]
 
     def summarise(chunk):
-        first = chunk.drop_duplicates(value).head(k)
-        return [[v, int(t)] for v, t in zip(first[value], first["us"])]
+        found: dict = {}
+        for v, t in zip(chunk[value].tolist(), chunk["us"].tolist()):
+            if v not in found:
+                found[v] = int(t)
+                if len(found) == k:
+                    break
+        return list(map(list, found.items()))
 
     def emit(following, chunk):
         ahead = {v: t for v, t in reversed(following)}
-        best = None
-        for v, t, r in zip(reversed(chunk[value].tolist()), reversed(chunk["us"].tolist()),
-                           reversed(chunk["rank"].tolist())):
+        best = []
+        for v, t, r in zip(reversed(chunk[value].tolist()), reversed(chunk["us"].tolist()), reversed(chunk["rank"].tolist())):
             ahead.pop(v, None)
             ahead[v] = t
             if len(ahead) > k:
                 del ahead[next(iter(ahead))]
             if len(ahead) == k and next(iter(ahead.values())) - t <= width_us:
-                best = r
-        return pd.DataFrame({"rank": np.array([] if best is None else [best], dtype="int64")})
+                best = [r]
+        return best
 
     per_chunk = fold_chunks(
-        rows.select(*keys, "rank", "us", value), keys, summarise, nearest, emit,
-        [T.StructField("rank", T.LongType())], [], reverse=True, chunk_rows=chunk_rows)
+        rows.select(*keys, "rank", "us", value), keys, summarise, nearest, emit, [], reverse=True, chunk_rows=chunk_rows)
     return per_chunk.groupBy(*keys).agg(F.min("rank").alias("rank"))
 
 

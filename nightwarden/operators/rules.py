@@ -375,5 +375,5 @@ def detect(
     if any(not r.counts for r in rules):
         found.append(single_evidence(events, rules))
     found += [count_evidence(events, r, window, r.threshold(parity)) for r in rules if r.counts]
-    tagged = union_all(found)
+    tagged = cut_lineage(union_all(found))
     return to_alerts(tagged, rules_table(events.sparkSession, rules)), tagged

@@ -228,12 +228,27 @@ def to_alerts(rule_id: str, found: DataFrame, cfg: ThresholdConfig) -> DataFrame
     )
 
 
-def detect(
-    events: DataFrame, cfg: ThresholdConfig = ThresholdConfig(), rules: list[str] | None = None,
-) -> tuple[DataFrame, DataFrame]:
-    """All (or the named) detectors; returns (alerts, evidence)."""
-    found = {rule: DETECTORS[rule].find(events, cfg) for rule in (rules or DETECTORS)}
-    return union_all([to_alerts(r, ev, cfg) for r, ev in found.items()]), union_all(list(found.values()))
+def find(events: DataFrame, configs: dict[str, ThresholdConfig]) -> DataFrame:
+    """Evidence of the named detectors, each with its parameters; written once, as alerts and entities both use it."""
+    return cut_lineage(union_all([DETECTORS[rule].find(events, cfg) for rule, cfg in configs.items()]), "rule_id")
+
+
+def alerts_of(evidence_table: DataFrame, configs: dict[str, ThresholdConfig]) -> DataFrame:
+    """Alerts of the named detectors from their common evidence table."""
+    return union_all([
+        to_alerts(rule, evidence_table.filter(F.col("rule_id") == rule), cfg) for rule, cfg in configs.items()])
+
+
+def detect(events: DataFrame, cfg: ThresholdConfig = ThresholdConfig()) -> tuple[DataFrame, DataFrame]:
+    """All detectors; returns (alerts, evidence)."""
+    configs = dict.fromkeys(DETECTORS, cfg)
+    found = find(events, configs)
+    return alerts_of(found, configs), found
+
+
+def detect_one(events: DataFrame, rule: str, cfg: ThresholdConfig = ThresholdConfig()) -> DataFrame:
+    """Alerts of a single detector, with nothing written for its evidence."""
+    return to_alerts(rule, DETECTORS[rule].find(events, cfg), cfg)
 
 
 def brute_force_unbounded(events: DataFrame, cfg: ThresholdConfig = ThresholdConfig()) -> DataFrame:

@@ -72,13 +72,14 @@ def _is_object(value: Column) -> Column:
 def fields(record: Column) -> Column:
     """All paths of a record in one array of (v, kind, text): each is looked up and typed once.
 
-    kind is NULL for an absent key and VOID for JSON null; text is that of a scalar.
+    The entry of an absent key is NULL; JSON null has kind VOID; text is that of a scalar.
     """
     values = F.array(*[_value(record, keys) for keys in PATHS])
-    typed = F.transform(values, lambda v: F.struct(v.alias("v"), _kind(v).alias("kind")))
-    return F.transform(typed, lambda x: F.struct(
+    typed = F.transform(values, lambda v: F.when(v.isNotNull(), F.struct(v.alias("v"), _kind(v).alias("kind"))))
+    return F.transform(typed, lambda x: F.when(x.isNotNull(), F.struct(
         x["v"].alias("v"), x["kind"].alias("kind"),
-        F.when(~x["kind"].rlike(NESTED), F.try_variant_get(x["v"], "$", "string")).alias("text")))
+        F.when(~x["kind"].startswith("OBJECT") & ~x["kind"].startswith("ARRAY"), F.try_variant_get(x["v"], "$", "string"))
+        .alias("text"))))
 
 
 def _slot(keys: tuple[str, ...]) -> Column:

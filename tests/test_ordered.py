@@ -132,7 +132,7 @@ CFG = th.ThresholdConfig(window=timedelta(seconds=60), failures=5, enum_users=4,
 
 
 def alerts(ev, rule, cfg=CFG):
-    found, _ = th.detect(ev, cfg, [rule])
+    found = th.detect_one(ev, rule, cfg)
     return h.rows(found, "key_value", "seq_lo", "seq_hi", "n_events")
 
 
