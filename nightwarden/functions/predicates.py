@@ -10,19 +10,32 @@ def holds(condition: Column) -> Column:
     return F.coalesce(condition, F.lit(False))
 
 
+def filled(col: Column) -> Column:
+    """Neither NULL nor empty, for filters: plain comparisons reach the file scan."""
+    return col != ""
+
+
 def present(col: Column) -> Column:
-    """Neither NULL nor empty."""
-    return holds(col != "")
+    """Neither NULL nor empty, as a value."""
+    return holds(filled(col))
+
+
+def failed_auth() -> Column:
+    """B1 for filters."""
+    return ((F.col("category") == "authentication") & (F.col("status") == "failure")) | (F.col("event_id") == 4625)
+
+
+def success_auth() -> Column:
+    """B2 for filters."""
+    return ((F.col("category") == "authentication") & (F.col("status") == "success")) | (F.col("event_id") == 4624)
 
 
 def is_failed_auth() -> Column:
-    by_status = holds((F.col("category") == "authentication") & (F.col("status") == "failure"))
-    return by_status | holds(F.col("event_id") == 4625)
+    return holds(failed_auth())
 
 
 def is_success_auth() -> Column:
-    by_status = holds((F.col("category") == "authentication") & (F.col("status") == "success"))
-    return by_status | holds(F.col("event_id") == 4624)
+    return holds(success_auth())
 
 
 def event_projection(events: DataFrame, *more: str | Column) -> DataFrame:

@@ -13,7 +13,7 @@ from datetime import timedelta
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.predicates import holds, is_failed_auth, is_success_auth, present
+from ..functions.predicates import failed_auth, filled, holds, is_failed_auth, success_auth
 from ..functions.severity import title_case
 from ..schema import UNKNOWN_HOST, with_micros
 from ..session import cut_lineage
@@ -81,7 +81,7 @@ def _span_evidence(rule: str, kind: str, key: str, anchors: DataFrame, rows: Dat
 
 def brute_force(events: DataFrame, cfg: ThresholdConfig) -> DataFrame:
     """Windows of failures from one address; the first of each start minute counts."""
-    rows = _rows(events, is_failed_auth() & present(F.col("source_ip")))
+    rows = _rows(events, failed_auth() & filled(F.col("source_ip")))
     first = first_rows(
         _anchors(rows, "source_ip", cfg.failures, cfg),
         ["source_ip", F.expr(f"us div {MINUTE_US}")], ["us", "seq"])
@@ -90,7 +90,7 @@ def brute_force(events: DataFrame, cfg: ThresholdConfig) -> DataFrame:
 
 def account_enum(events: DataFrame, cfg: ThresholdConfig) -> DataFrame:
     """Failures from one address up to the n-th distinct user, then from the start again; no time limit."""
-    rows = _rows(events, is_failed_auth() & present(F.col("source_ip")) & present(F.col("username")))
+    rows = _rows(events, failed_auth() & filled(F.col("source_ip")) & filled(F.col("username")))
     ranked = cut_lineage(running_count(rows, ["source_ip"], "rank"))
     fired = distinct_picks(ranked, ["source_ip"], "username", cfg.enum_users, cfg.chunk_rows)
     used = next_mark(ranked, fired, ["source_ip"], cfg.chunk_rows)
@@ -105,10 +105,9 @@ def credential_stuffing(events: DataFrame, cfg: ThresholdConfig) -> DataFrame:
     """
     n = cfg.failures
     key = ["source_ip"]
-    failed, success = is_failed_auth(), is_success_auth()
     rows = _rows(
-        events.withColumn("__failed", failed),
-        present(F.col("source_ip")) & (F.col("category") == "authentication") & (failed | success), "__failed")
+        events.withColumn("__failed", is_failed_auth()),
+        filled(F.col("source_ip")) & (F.col("category") == "authentication") & (failed_auth() | success_auth()), "__failed")
     counted = cut_lineage(running_count(rows, key, "rank", flag=F.col("__failed")))
     failures = counted.filter("__failed").drop("__failed")
     successes = (
@@ -135,7 +134,7 @@ def credential_stuffing(events: DataFrame, cfg: ThresholdConfig) -> DataFrame:
 
 def lateral_movement(events: DataFrame, cfg: ThresholdConfig) -> DataFrame:
     """The first window in which one user logs on to n distinct hosts."""
-    rows = _rows(events, is_success_auth() & present(F.col("username")) & holds(F.col("hostname") != UNKNOWN_HOST))
+    rows = _rows(events, success_auth() & filled(F.col("username")) & (F.col("hostname") != UNKNOWN_HOST))
     ranked = cut_lineage(running_count(rows, ["username"], "rank"))
     first = first_diverse_anchor(
         ranked, ["username"], "hostname", cfg.lateral_hosts, cfg.window_us, cfg.chunk_rows)
@@ -147,7 +146,7 @@ def after_hours(events: DataFrame, cfg: ThresholdConfig) -> DataFrame:
     """A success outside working hours."""
     start, end = cfg.work_hours
     hour = F.hour("ts")
-    rows = _rows(events, is_success_auth() & ~((hour >= start) & (hour < end)))
+    rows = _rows(events, success_auth() & ~((hour >= start) & (hour < end)))
     return evidence(rows, "threshold_after_hours_login", "host", F.col("hostname"), F.col("seq"))
 
 
@@ -165,7 +164,7 @@ def privilege_use() -> Column:
 
 def priv_esc(events: DataFrame, cfg: ThresholdConfig) -> DataFrame:
     """The first window with n privilege events of one user."""
-    rows = _rows(events, privilege_use() & present(F.col("username")))
+    rows = _rows(events, privilege_use() & filled(F.col("username")))
     first = first_rows(_anchors(rows, "username", cfg.priv_esc, cfg), ["username"], ["us", "seq"])
     return _span_evidence("threshold_repeated_privilege_escalation", "user", "username", first, rows, cfg)
 
@@ -256,7 +255,7 @@ def brute_force_unbounded(events: DataFrame, cfg: ThresholdConfig = ThresholdCon
 
     The count from an anchor to the end is the address's total minus the rows before it.
     """
-    rows = _rows(events, is_failed_auth() & present(F.col("source_ip")))
+    rows = _rows(events, failed_auth() & filled(F.col("source_ip")))
     totals = rows.groupBy("source_ip").agg(F.count("*").alias("__total"), F.max("us").alias("last_us"))
     counted = (
         running_count(rows, ["source_ip"], "rank").join(totals, "source_ip")
