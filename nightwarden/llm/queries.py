@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import configure
+from ..session import configure, cut_lineage
+from . import packing, rans, word_bpe
+from .pieces import read_spec
 from .ranges import with_next
 from .sharding import uniform_shards
 from .sketch import as_text, containment, likeness, with_sketch
@@ -15,6 +17,7 @@ from .sketch import as_text, containment, likeness, with_sketch
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 SHARDS = 16
+VOCABULARY = "byte_bpe_50k.json"
 
 
 def query(build):
@@ -30,6 +33,40 @@ def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(*(columns or ("doc_id", "text")))
 
 
+def vocabulary() -> bytes:
+    import public_tokenizers
+
+    return read_spec(public_tokenizers.path(VOCABULARY))
+
+
+@query
+def op2_word_bpe(spark, sf_dir):
+    """Ids of all documents by a distinct-word table, and the texts that they decode to."""
+    spec = vocabulary()
+    rows = word_bpe.decode(word_bpe.encode(documents(spark, sf_dir), spec), spec, out="decoded")
+    return rows.select(
+        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+@query
+def op5_packing(spark, sf_dir):
+    """All documents as token pieces, packed into sequences of at most 1024 tokens."""
+    docs = documents(spark, sf_dir)
+    pieces = packing.token_pieces(docs, vocabulary(), limit=1024, end=2)
+    pieces = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    groups = -(-docs.count() // packing.GROUP_PIECES)  # a document has at most one piece that isn't full
+    return packing.best_fit(pieces, limit=1024, groups=max(1, groups))
+
+
+@query
+def op6_rans(spark, sf_dir):
+    """Ids of all documents written to compressed containers in doc_id order, and read back."""
+    containers = cut_lineage(rans.to_containers(documents(spark, sf_dir), vocabulary(), end=0))
+    return rans.from_containers(containers).select(
+        "doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
 @query
 def op7_sharding(spark, sf_dir):
     """Uniform shuffle of all documents into 16 shards of equal counts."""
