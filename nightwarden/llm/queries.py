@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import configure, cut_lineage
-from . import packing, rans, word_bpe
+from . import packing, rans, topk, word_bpe
 from .pieces import read_spec
 from .ranges import with_next
 from .sharding import uniform_shards
@@ -49,6 +49,28 @@ def op2_word_bpe(spark, sf_dir):
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+@query
+def op3_topk(spark, sf_dir):
+    """The 5 best rows for every 50th embedding, by integer inner product."""
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    vectors = vectors.select("vec_id", topk.whole_numbers(F.col("embedding")).alias("vector"))
+    return topk.top_k(vectors, 5, F.col("vec_id") % 50 == 0)
+
+
+ORACLES["op3_topk"] = """
+WITH v AS (
+  SELECT vec_id, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len([1 FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0
+), ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+
 @query
 def op5_packing(spark, sf_dir):
     """All documents as token pieces, packed into sequences of at most 1024 tokens."""
