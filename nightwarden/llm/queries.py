@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import configure, cut_lineage
-from . import packing, rans, topk, word_bpe
+from . import packing, quality, rans, repeats, topk, word_bpe
 from .pieces import read_spec
 from .ranges import with_next
 from .sharding import uniform_shards
@@ -71,6 +71,17 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
 
+@query
+def op4_quality(spark, sf_dir):
+    """Quality of all documents by trees that learned from the labels outside the held-out fold."""
+    docs = documents(spark, sf_dir)
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    forest = quality.train(docs, labels, learn=~held_out)
+    return quality.with_score(docs, forest).select(
+        "doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
+
+
 @query
 def op5_packing(spark, sf_dir):
     """All documents as token pieces, packed into sequences of at most 1024 tokens."""
@@ -98,6 +109,15 @@ def op7_sharding(spark, sf_dir):
         F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+@query
+def op9_repeats(spark, sf_dir):
+    """All documents without the words of passages of 35 words or more that occur more than once."""
+    docs = documents(spark, sf_dir)
+    texts = repeats.without_repeats(docs, window=35)
+    texts = texts.withColumn("kept_sha256", F.sha2(F.col("kept").cast("binary"), 256)).drop("kept")
+    return repeats.attach(docs.select("doc_id", "text"), texts).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 @query
 def op10_fingerprints(spark, sf_dir):
     """Sketches of all documents and of their edited texts, and how alike they and the next document are."""
