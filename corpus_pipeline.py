@@ -1,18 +1,68 @@
-"""A training-data pipeline over `documents`: quality classifier, near-duplicate join, substring dedup, packing."""
+"""A training-data pipeline over `documents`: quality classifier, near-duplicate join, substring dedup, packing.
+
+Each stage takes (spark, docs, sf_dir), works on all that the one before kept, and returns the columns of documents; the
+last one returns token pieces with their places. `n_chars` follows the text where a stage changes it.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from nightwarden.llm import jaccard, packing, quality, repeats
+from nightwarden.llm.queries import vocabulary
+from nightwarden.session import configure, cut_lineage
+
+KEEP_SCORE = 0.7
+WINDOW = 50
+LIMIT = 1024
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier, fitted on the labels, scores at KEEP_SCORE or more."""
+    forest = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.with_score(docs, forest, out="__score").where(F.col("__score") >= KEEP_SCORE).select(*docs.columns)
+
+
+def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest doc_id, of each class of five-word shingle similarity 0.8 or more.
+
+    Documents without words, and those without an id, are in no class and stay.
+    """
+    classes = jaccard.classes_of(docs, n=5, num=80, den=100).where("doc_id IS NOT NULL AND n_shingles > 0")
+    dropped = classes.where("component_id <> doc_id").select("doc_id").distinct()
+    kept = docs.join(dropped, "doc_id", "left_anti")
+    # rows that repeat an id are of one class if their texts are; of equal texts one row stays
+    same = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.xxhash64(*docs.columns))
+    kept = kept.withColumn("__copy", F.row_number().over(same))
+    return kept.where("__copy = 1 OR doc_id IS NULL OR NOT coalesce(text, '') RLIKE '[^ \\\\x09-\\\\x0D]'").select(*docs.columns)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the words of passages of WINDOW words or more that occur more than once; others are unchanged."""
+    cut = repeats.without_repeats(docs, window=WINDOW).where("n_removed > 0").select("h1", "h2", "kept")
+    h1, h2 = repeats.text_keys()
+    rows = docs.withColumns({"__h1": h1, "__h2": h2}).join(cut, (F.col("__h1") == F.col("h1")) & (F.col("__h2") == F.col("h2")), "left")
+    text = F.coalesce("kept", "text")
+    rows = rows.withColumns({"text": text, "n_chars": F.when(F.col("kept").isNull(), F.col("n_chars")).otherwise(F.char_length(text))})
+    return rows.select(*docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces of all texts, placed in sequences of at most LIMIT tokens."""
+    pieces = packing.token_pieces(docs, vocabulary(), limit=LIMIT, end=2)
+    return packing.best_fit(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), limit=LIMIT,
+                            groups=max(1, -(-docs.count() // packing.GROUP_PIECES)))
 
-from nightwarden.session import cut_lineage
 
-STAGES: list = []
-ORACLE_SQL = None
+STAGES = [
+    ("quality", keep_quality), ("near_copies", keep_one_of_near_copies), ("repeats", cut_repeats), ("packing", pack_sequences)]
+ORACLE_SQL = None  # trees and packing are beyond SQL; each stage is tested against a plain version
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in order over the documents table, each result written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = configure(spark).read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
         docs = cut_lineage(stage(spark, docs, sf_dir))
     return docs

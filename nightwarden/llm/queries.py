@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import configure, cut_lineage
-from . import packing, quality, rans, repeats, topk, word_bpe
+from . import jaccard, packing, quality, rans, repeats, topk, word_bpe
 from .pieces import read_spec
 from .ranges import with_next
 from .sharding import uniform_shards
@@ -109,6 +109,12 @@ def op7_sharding(spark, sf_dir):
         F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+@query
+def op8_jaccard(spark, sf_dir):
+    """Classes of documents whose sets of 3-word shingles have a Jaccard similarity of 0.9 or more."""
+    return jaccard.classes_of(documents(spark, sf_dir), n=3, num=90, den=100)
+
+
 @query
 def op9_repeats(spark, sf_dir):
     """All documents without the words of passages of 35 words or more that occur more than once."""

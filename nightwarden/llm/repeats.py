@@ -171,7 +171,7 @@ def without_repeats(df: DataFrame, window: int = 35, text: str = "text") -> Data
                 t, hot, key = t[row], hot[row], key[row].copy()
                 low, high = low[row] + step, np.where(hot, low[row] + step, high[row])
                 a, e = first[t] + low, first[t] + high + window
-                one, two = _span_hashes(h, a, e)
+                one, two = words.span_hashes(h, a, e)
                 key[hot] = one[hot].view(np.int64)
                 taken = pa.array(t)
                 columns = [pa.array(key, pa.int64()), _u64(one), _u64(two), *(b.column(i).take(taken) for i in (1, 2, 3)), pa.array(low, pa.int32())]
@@ -247,17 +247,6 @@ def _words(segment: str) -> list[str]:
 _BLANKS = {c: " " for c in range(9, 14)}
 
 
-def _span_hashes(h: np.ndarray, a: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit hashes of each span of words."""
-    out = []
-    for base in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
-        power = np.cumprod(np.r_[np.uint64(1), np.full(len(h), np.uint64(base))])
-        inverse = np.cumprod(np.r_[np.uint64(1), np.full(len(h), np.uint64(pow(base, -1, 2**64)))])
-        total = np.concatenate([[np.uint64(0)], np.cumsum(h * power[:-1])])
-        out.append(words.mix((total[e] - total[a]) * inverse[a] + (e - a).astype(np.uint64)))
-    return out[0], out[1]
-
-
 def attach(df: DataFrame, results: DataFrame, text: str = "text") -> DataFrame:
     """Every row of df (without its text) and its text's results; a column of df that clashes with one is replaced."""
     names = [c for c in results.columns if c not in ("h1", "h2")]

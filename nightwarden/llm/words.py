@@ -84,3 +84,14 @@ def grams(h: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
 def whole(h: np.ndarray, n: int) -> int:
     """One hash for a whole short sequence, as its only shingle; tagged by its length, so unlike any gram of n."""
     return int(grams(h, len(h), seed=n + len(h) + 1)[0])
+
+
+def span_hashes(h: np.ndarray, a: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each span a[i] to e[i] - 1 of a sequence of hashes."""
+    out = []
+    for base in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
+        power = np.cumprod(np.r_[np.uint64(1), np.full(len(h), np.uint64(base))])
+        inverse = np.cumprod(np.r_[np.uint64(1), np.full(len(h), np.uint64(pow(base, -1, 2**64)))])
+        total = np.concatenate([[np.uint64(0)], np.cumsum(h * power[:-1])])
+        out.append(mix((total[e] - total[a]) * inverse[a] + (e - a).astype(np.uint64)))
+    return out[0], out[1]
