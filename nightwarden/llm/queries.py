@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import configure, cut_lineage
-from . import jaccard, packing, quality, rans, repeats, topk, word_bpe
+from . import jaccard, packing, quality, rans, repeats, suffix_tree, topk, word_bpe
 from .pieces import read_spec
 from .ranges import with_next
 from .sharding import uniform_shards
@@ -39,6 +39,13 @@ def vocabulary() -> bytes:
     return read_spec(public_tokenizers.path(VOCABULARY))
 
 
+@query
+def op1_suffix_tree(spark, sf_dir):
+    """Log probabilities of all documents under a suffix tree that learned from the documents outside a fold."""
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False))
+    return suffix_tree.score(documents(spark, sf_dir), ~held_out)
+
+
 @query
 def op2_word_bpe(spark, sf_dir):
     """Ids of all documents by a distinct-word table, and the texts that they decode to."""
