@@ -40,11 +40,10 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the words of passages of WINDOW words or more that occur more than once; others are unchanged."""
-    cut = repeats.without_repeats(docs, window=WINDOW).where("n_removed > 0").select("h1", "h2", "kept")
-    h1, h2 = repeats.text_keys()
-    rows = docs.withColumns({"__h1": h1, "__h2": h2}).join(cut, (F.col("__h1") == F.col("h1")) & (F.col("__h2") == F.col("h2")), "left")
-    text = F.coalesce("kept", "text")
-    rows = rows.withColumns({"text": text, "n_chars": F.when(F.col("kept").isNull(), F.col("n_chars")).otherwise(F.char_length(text))})
+    cut = repeats.without_repeats(docs, window=WINDOW).where("n_removed > 0").select("h1", "h2", F.col("kept").alias("__kept"))
+    changed, text = F.col("__kept").isNotNull(), F.coalesce("__kept", "text")
+    rows = repeats.attach(docs, cut, how="left")
+    rows = rows.withColumns({"text": text, "n_chars": F.when(changed, F.char_length(text).cast("long")).otherwise(F.col("n_chars"))})
     return rows.select(*docs.columns)
 
 

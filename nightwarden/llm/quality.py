@@ -97,7 +97,7 @@ def fit(x: np.ndarray, y: np.ndarray) -> Forest:
     """Boosted trees for the logistic loss; y is 0 or 1."""
     mean = float(y.mean()) if len(y) else 0.5
     empty = [np.zeros(0, np.int32), np.zeros(0), np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0), np.zeros(0, np.int32)]
-    if not 0 < mean < 1:
+    if not len(y) or not 0 < mean < 1:
         return Forest(*empty, base={0.0: -np.inf, 1.0: np.inf}.get(mean, 0.0))
     n, k = x.shape
     cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, BINS + 1)[1:-1])) for j in range(k)]

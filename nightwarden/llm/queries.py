@@ -128,7 +128,7 @@ def op9_repeats(spark, sf_dir):
     docs = documents(spark, sf_dir)
     texts = repeats.without_repeats(docs, window=35)
     texts = texts.withColumn("kept_sha256", F.sha2(F.col("kept").cast("binary"), 256)).drop("kept")
-    return repeats.attach(docs.select("doc_id", "text"), texts).select("doc_id", "n_words", "n_removed", "kept_sha256")
+    return repeats.attach(docs, texts).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 @query

@@ -247,8 +247,11 @@ def _words(segment: str) -> list[str]:
 _BLANKS = {c: " " for c in range(9, 14)}
 
 
-def attach(df: DataFrame, results: DataFrame, text: str = "text") -> DataFrame:
-    """Every row of df (without its text) and its text's results; a column of df that clashes with one is replaced."""
+def attach(df: DataFrame, results: DataFrame, text: str = "text", how: str = "inner") -> DataFrame:
+    """Every row of df and its text's results; a column of df that clashes with a result is replaced."""
     names = [c for c in results.columns if c not in ("h1", "h2")]
-    rows = df.select(*(F.col(c) for c in df.columns if c not in (text, *names)), *(h.alias(f"__{i}") for i, h in enumerate(text_keys(text))))
-    return rows.join(results, (F.col("__0") == F.col("h1")) & (F.col("__1") == F.col("h2"))).drop("__0", "__1", "h1", "h2")
+    results = results.withColumnsRenamed({"h1": "__r1", "h2": "__r2"})
+    rows = df.drop(*names)
+    one, two = text_keys(text)
+    rows = rows.withColumns({"__t1": one, "__t2": two})
+    return rows.join(results, (F.col("__t1") == F.col("__r1")) & (F.col("__t2") == F.col("__r2")), how).drop("__t1", "__t2", "__r1", "__r2")

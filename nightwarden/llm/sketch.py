@@ -19,12 +19,13 @@ WORDS = 5
 SCALE = 4
 
 
-def _below(scale: int) -> int:
-    return -(2**63) + 2**64 // scale
+def _last(scale: int) -> int:
+    """The largest hash that is kept."""
+    return -(2**63) + 2**64 // scale - 1
 
 
 def _retain(hashes: Column, scale: int) -> Column:
-    kept = F.filter(hashes, lambda h: h < F.lit(_below(scale)))
+    kept = F.filter(hashes, lambda h: h <= F.lit(_last(scale)))
     return F.when(F.size(kept) > 0, F.array_sort(F.array_distinct(kept))).when(
         F.size(hashes) > 0, F.array(F.array_min(hashes))).otherwise(F.array().cast("array<bigint>"))
 
