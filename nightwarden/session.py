@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,10 +24,16 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a local one only where that is unset (tests)."""
+    """The folder named by spark.checkpoint.dir; a local one only where that is unset and all runs in one process.
+
+    Without such a folder, a cluster's executors would each write to a disk of their own: RuntimeError.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     folder = spark.conf.get("nightwarden.checkpoint.dir", None)
     if not folder:
         folder = tempfile.mkdtemp(prefix="nightwarden-")
@@ -34,9 +41,28 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+_open_stages: list[list[str]] = []
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    for paths in _open_stages[-1:]:
+        paths.append(path)
+    return path
+
+
+@contextmanager
+def stages(spark: SparkSession):
+    """Intermediate results written inside the block are deleted at its end; what it returns must be written by then."""
+    _open_stages.append([])
+    try:
+        yield
+    finally:
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        for path in _open_stages.pop():
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(conf).delete(where, True)
 
 
 def cut_lineage(df: DataFrame, *partition_by: str) -> DataFrame:

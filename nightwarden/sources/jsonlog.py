@@ -195,7 +195,7 @@ def is_record(text: Column) -> Column:
 
 
 def records(documents: DataFrame) -> DataFrame:
-    """Rows of whole JSON files to one row per record: line by line, or the items of an array or wrapped list.
+    """Rows of whole JSON files to one row per record, object or not: line by line, or the items of a list.
 
     A file with line breaks that does not start with a bracket is taken as one object per line; if its whole text is
     one JSON value (pretty-printed), that value is used.
@@ -207,13 +207,14 @@ def records(documents: DataFrame) -> DataFrame:
     wrapped = F.coalesce(*[
         F.when(_kind(_value(F.col("doc"), (k,))).startswith("ARRAY"), F.try_variant_get("doc", f"$.{k}", "array<variant>"))
         for k in WRAPPER_KEYS])
-    items = (
-        F.when(F.col("doc").isNull(), by_line)
+    array = F.col("text").startswith("[") & F.col("text").endswith("]")
+    items = (  # a list too large for one value is read item by item
+        F.when(F.col("doc").isNull() & array, F.coalesce(F.from_json("text", "array<variant>"), by_line))
+        .when(F.col("doc").isNull(), by_line)
         .when(_kind(F.col("doc")).startswith("ARRAY"), F.try_variant_get("doc", "$", "array<variant>"))
         .otherwise(F.coalesce(wrapped, F.array("doc"))))
     return (
         docs.select("source_file", "file_name", F.explode(items).alias("record"))
-        .filter(_is_object(F.col("record")))
         .select(F.to_json("record").alias("value"), "source_file", "file_name", F.monotonically_increasing_id().alias("seq")))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.predicates import holds
@@ -41,11 +41,30 @@ def _last_wins(entries: Column) -> Column:
         last, lambda e: F.struct(e["_Name"].alias("key"), F.coalesce(e["_VALUE"], F.lit("")).alias("value"))))
 
 
+def read(spark: SparkSession, files: list[str]) -> DataFrame:
+    """All Event elements of XML files (columns x, value, source_file, seq), over one line or many, under any root.
+
+    Large files are split between tasks. A damaged element has no System block.
+    """
+    kind = f"value string, source_file string, seq long, x struct<{XML_SCHEMA}>"
+    if not files:
+        return spark.createDataFrame([], kind)
+    rows = spark.read.format("xml").option("rowTag", "Event").option("ignoreCorruptFiles", "true").schema(XML_SCHEMA).load(files)
+    x = F.struct("System", "EventData")
+    return rows.select(F.to_json(x).alias("value"), F.col("_metadata.file_path").alias("source_file"),
+                       F.monotonically_increasing_id().alias("seq"), x.alias("x"))
+
+
 def parse(lines: DataFrame, default_ts: Column | None = None) -> DataFrame:
     """Events of XML texts (columns value, source_file, seq); text without a System block is skipped."""
     # A generator instead of a filter, so that the text is parsed once.
     events = F.filter(F.array(_parse(F.col("value"))), lambda x: x["System"].isNotNull())
-    rows = lines.select("seq", "source_file", "value", F.explode(events).alias("x")).select(
+    return parse_elements(lines.select("seq", "source_file", "value", F.explode(events).alias("x")), default_ts)
+
+
+def parse_elements(elements: DataFrame, default_ts: Column | None = None) -> DataFrame:
+    """Events of parsed elements (columns x, value, source_file, seq); those without a System block are skipped."""
+    rows = elements.filter("x.System IS NOT NULL").select(
         "seq", "source_file", "value",
         F.coalesce(F.col("x.System.EventID").try_cast("int"), F.lit(0)).alias("eid"),
         F.col("x.System.TimeCreated._SystemTime").try_cast("timestamp").alias("read_ts"),

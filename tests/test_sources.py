@@ -179,6 +179,7 @@ def test_read_logs_from_files(spark, tmp_path):
     (tmp_path / "wrapped.json").write_text('{"Records": [{"username": "j7"}, "x"]}')
     (tmp_path / "pretty.json").write_text('{\n  "username": "j8"\n}\n')
     (tmp_path / "win.xml").write_text(xml(4624, d(TargetUserName="w1")) + "\n<broken\n")
+    (tmp_path / "torn.json").write_text('[{"username": "lost"\n, "x": {')
     got = ln.read_logs(spark, str(tmp_path)).cache()
     by_type = {r.source_type: r.n for r in got.groupBy("source_type").agg(F.count("*").alias("n")).collect()}
     assert by_type == {"authlog": 50, "json": 8, "evtx": 1}
@@ -186,5 +187,58 @@ def test_read_logs_from_files(spark, tmp_path):
     assert got.select("seq").distinct().count() == 59
     users = [r.username for r in got.filter("source_type = 'authlog'").orderBy("seq").collect()]
     assert users == [f"u{i}" for i in range(50)]
-    rejected = {r.source_file.split("/")[-1]: (r.lines, r.rejected) for r in ln.rejects(ln.read_lines(spark, str(tmp_path))).collect()}
-    assert rejected["a.jsonl"] == (3, 1) and rejected["win.xml"] == (2, 1) and rejected["auth.log"] == (50, 0)
+    rejected = {r.path.split("/")[-1]: (r.records, r.rejected, r.lost) for r in ln.file_rejects(spark, str(tmp_path)).collect()}
+    assert rejected == {
+        "auth.log": (50, 0, False), "a.jsonl": (3, 1, False), "lines.json": (3, 1, False), "array.json": (3, 1, False),
+        "wrapped.json": (2, 1, False), "pretty.json": (1, 0, False), "win.xml": (2, 1, False), "torn.json": (0, 0, True)}
+
+
+def test_each_reader_opens_its_own_files(spark, tmp_path):
+    for name in ("auth.log", "a.jsonl", "b.json", "c.xml"):
+        (tmp_path / name).write_text("{}\n")
+    files = ln.list_files(spark, str(tmp_path))
+    assert {(p.split("/")[-1], k) for p, k, _ in files} == {("auth.log", "authlog"), ("a.jsonl", "json"), ("b.json", "json"), ("c.xml", "winxml")}
+    for kind in ("authlog", "json", "winxml"):
+        mine = [p for p, k, _ in files if k == kind]
+        read = winxml.read(spark, mine) if kind == "winxml" else ln._text(spark, mine)
+        assert {f.split("/")[-1] for f in read.inputFiles()} == {p.split("/")[-1] for p in mine}
+
+
+def test_large_documents_lose_nothing(spark, tmp_path):
+    records = [{"username": f"u{i}", "message": "m" * 2000} for i in range(40_000)]  # 80 MB
+    (tmp_path / "rows.json").write_text("[" + ",\n".join(map(json.dumps, records)) + "]")
+    (tmp_path / "one.json").write_text(json.dumps(records[:2000]))
+    (tmp_path / "pretty.json").write_text(json.dumps({"events": records[:500]}, indent=1))
+    got = ln.read_logs(spark, str(tmp_path)).groupBy(F.element_at(F.split("source_file", "/"), -1).alias("f")).agg(
+        F.count("*").alias("n"), F.countDistinct("username").alias("u"))
+    assert {r.f: (r.n, r.u) for r in got.collect()} == {"rows.json": (40_000, 40_000), "one.json": (2000, 2000), "pretty.json": (500, 500)}
+
+
+def test_xml_events_over_lines_and_under_a_root(spark, tmp_path):
+    (tmp_path / "e.xml").write_text('<?xml version="1.0"?>\n<Events>\n' + "\n".join(
+        xml(4624, d(TargetUserName=f"w{i}")).replace("><", ">\n  <") for i in range(20)) + "\n<Event><Other/></Event></Events>")
+    got = ln.read_logs(spark, str(tmp_path))
+    assert {r.username for r in got.collect()} == {f"w{i}" for i in range(20)}
+    assert [(r.records, r.rejected) for r in ln.file_rejects(spark, str(tmp_path)).collect()] == [(21, 1)]
+
+
+def test_stage_folders(spark, tmp_path, monkeypatch):
+    import os
+
+    from nightwarden import session
+
+    monkeypatch.setattr(session, "shared_dir", lambda s: str(tmp_path))
+    with session.stages(spark):
+        assert session.cut_lineage(spark.range(5)).count() == 5 and len(os.listdir(tmp_path)) == 1
+    assert os.listdir(tmp_path) == []
+    monkeypatch.undo()
+
+    class Cluster:
+        class conf:
+            get = staticmethod(lambda name, default: default)
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+    with pytest.raises(RuntimeError):
+        session.shared_dir(Cluster)
