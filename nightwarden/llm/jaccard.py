@@ -5,13 +5,16 @@ without words, or for null text, nothing, and then it is linked with nothing. Tw
 den * intersection >= num * union. The result is the class of documents reachable by links.
 
 1. A count sketch of fixed size (2**COUNTERS counters over all shingles) says roughly how frequent a shingle is. Sets
-   are ordered by that, rare first; linked sets share a shingle among their first |x| - ceil(t |x|) + 1 (their prefix).
+   are ordered by that, rare first. Of a linked pair's common shingles, the first `l` are among the first
+   |x| - ceil(t |x|) + l of both sets (their prefixes); l grows with the set, see `needed`.
 2. Equal sets are one member. Members of equal prefix and size form a group, which is indexed once.
-3. Groups that share a prefix shingle form clusters (components of the table of groups and shingles; its size follows
-   the prefixes, and no pairs are made). Members go to their cluster with their sets.
-4. In a cluster, group pairs pass the length and position filters, then members are verified, unless they are already
-   connected. A cluster beyond CLUSTER_BYTES is cut into blocks by size class and hash, and block pairs that can hold
-   links become tasks of their own.
+3. Groups that share prefix shingles are joined: a shingle of up to LIST groups gives their pairs, filtered by size and
+   position, and a pair stays if it has l shingles in common; a more frequent shingle gives a chain of its groups by size,
+   broken where sizes are too far apart, so that what is made never grows with the square of a group of copies. Groups
+   connected by either form a cluster, and members go to their cluster with their sets.
+4. In a cluster, group pairs pass the length and position filters again, then members are verified, unless they are
+   already connected. A cluster beyond CLUSTER_BYTES is cut into blocks by size class and hash, and block pairs that can
+   hold links become tasks of their own.
 5. Links of all tasks are joined to classes.
 
 Repeated rows and equal texts are in one class. Null keys take part; a class's id is its smallest key that is not null.
@@ -37,11 +40,12 @@ from .ranges import partitions
 COUNTERS = 22
 SKETCH_ROWS = 64
 CLUSTER_BYTES = 16 << 20
+LIST = 64
 BROADCAST_ROWS = 500_000
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(document, shingle hash) of all distinct pairs, by document."""
+    """(document, shingle hash) of all shingles, repeated ones too."""
     data = words.lower(data)
     starts, ends, first = words.split(data, offsets)
     h, count = words.hash_spans(data, starts, ends), np.diff(first)
@@ -53,15 +57,11 @@ def shingles(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray,
     if len(short):
         owner = np.concatenate([owner, short])
         value = np.concatenate([value, np.array([words.whole(h[first[i]:first[i + 1]], n) for i in short], np.uint64)])
-    by = np.lexsort((value, owner))
-    owner, value = owner[by], value[by]
-    new = np.ones(len(value), bool)
-    new[1:] = (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])
-    return owner[new], value[new]
+    return owner, value
 
 
 def frequency_classes(df: DataFrame, n: int, text: str) -> np.ndarray:
-    """log2 of each counter of a sketch over the shingles of all documents; 4 MB whatever the input."""
+    """4 * log2 of each counter of a sketch over the shingles of all documents; 4 MB whatever the input."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters = np.zeros(1 << COUNTERS, np.int64)
         for b in text_blocks(batches, text):
@@ -74,7 +74,7 @@ def frequency_classes(df: DataFrame, n: int, text: str) -> np.ndarray:
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row, mine in runs(batches, "row"):
             total = sum(unpack(m["blob"])[0].astype(np.int64) for m in mine)
-            yield pa.RecordBatch.from_arrays([pa.array([row], pa.int32()), pa.array([pack(np.log2(total + 1).astype(np.uint8))])], ["row", "blob"])
+            yield pa.RecordBatch.from_arrays([pa.array([row], pa.int32()), pa.array([pack((4 * np.log2(total + 1)).astype(np.uint8))])], ["row", "blob"])
 
     schema = "row int, blob binary"
     rows = df.select(text).mapInArrow(count, schema).repartition(SKETCH_ROWS, "row").sortWithinPartitions("row").mapInArrow(add, schema)
@@ -88,15 +88,28 @@ class Ordered:
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, n: int, classes: np.ndarray):
         owner, value = shingles(data, offsets, n)
-        by = np.lexsort((value, classes[(value >> np.uint64(64 - COUNTERS)).astype(np.int64)], owner))
-        self.value = value[by]
+        by = np.lexsort((value, owner << 8 | classes[(value >> np.uint64(64 - COUNTERS)).astype(np.int64)]))
+        owner, value = owner[by], value[by]
+        new = np.ones(len(value), bool)
+        new[1:] = (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])
+        owner, self.value = owner[new], value[new]
         self.first = np.searchsorted(owner, np.arange(len(offsets)))
         self.size = np.diff(self.first)
         self.one, self.two = words.span_hashes(self.value, self.first[:-1], self.first[1:])
 
 
+def needed(size):
+    """How many of its prefix shingles a set must share with another that needs as many or more."""
+    return 1 + size // 64
+
+
 def prefix_length(size, num: int, den: int):
-    return size - -(-num * size // den) + 1
+    return np.minimum(size, size - -(-num * size // den) + needed(size))
+
+
+def overlap(a, b, num: int, den: int):
+    """The common shingles that a link of sets of these sizes needs."""
+    return -(-num * (a + b) // (num + den))
 
 
 def _longs(flat: np.ndarray, edges: np.ndarray) -> pa.Array:
@@ -149,7 +162,7 @@ def link_members(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int,
             if there is not None:
                 other, py = np.array(there).T
                 ny = group_size[other]
-                least = -(-num * (nx + ny) // (num + den))  # overlap that a link needs
+                least = overlap(nx, ny, num, den)
                 at_most = np.minimum(px, py) + 1 + np.minimum(nx - px - 1, ny - py - 1)
                 found.append(other[(den * ny >= num * nx) & (at_most >= least)])
         if found:
@@ -161,6 +174,55 @@ def link_members(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int,
     return links
 
 
+def candidate_pairs(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of groups that share a prefix shingle; rows (token, size, g, at) are sorted by token and size.
+
+    (a, b, common, need): 1 for a shared shingle and how many the pair must share; a link of a chain has all it needs.
+    """
+    def pairs(token, size, g, at) -> pa.RecordBatch:
+        new = np.r_[True, token[1:] != token[:-1]]
+        run = np.cumsum(new) - 1
+        length = np.bincount(run)[run]
+        out = []
+        i = np.flatnonzero(length > LIST)
+        i = i[:-1][token[i[:-1]] == token[i[:-1] + 1]] if len(i) else i
+        i = i[den * size[i] >= num * size[i + 1]]
+        out.append((g[i], g[i + 1], needed(size[i]), needed(size[i])))
+        live = np.flatnonzero(length <= LIST)
+        for d in range(1, LIST):
+            live = live[live + d < len(token)]
+            live = live[token[live] == token[live + d]]
+            if not len(live):
+                break
+            a, b = live, live + d
+            most = np.minimum(at[a], at[b]) + 1 + np.minimum(size[a] - at[a], size[b] - at[b]) - 1
+            good = (den * size[a] >= num * size[b]) & (most >= overlap(size[a], size[b], num, den))
+            a, b = a[good], b[good]
+            out.append((g[a], g[b], np.ones(len(a), np.int64), needed(size[a])))
+        a, b, common, need = (np.concatenate(c) for c in zip(*out))
+        other = a != b
+        columns = (np.minimum(a, b), np.maximum(a, b), common, need)
+        return pa.RecordBatch.from_arrays([pa.array(c[other], pa.int64()) for c in columns], ["a", "b", "common", "need"])
+
+    held: list[tuple] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append(tuple(c.to_numpy() for c in b.columns))
+        if sum(len(h[0]) for h in held) < 200_000 or held[0][0][0] == held[-1][0][-1] and len(held) < 64:
+            continue
+        columns = [np.concatenate(c) for c in zip(*held)]
+        cut = int(np.searchsorted(columns[0], columns[0][-1]))  # the last shingle may go on
+        if cut:
+            yield pairs(*(c[:cut] for c in columns))
+            held = [tuple(c[cut:] for c in columns)]
+        else:  # one shingle, and a long one: a chain, of which the last row is kept
+            yield pairs(*columns)
+            held = [tuple(np.repeat(c[-1:], LIST + 1) for c in columns)]
+    if held:
+        yield pairs(*(np.concatenate(c) for c in zip(*held)))
+
+
 def classes_of(df: DataFrame, n: int = 5, num: int = 80, den: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_shingles, component_id) for every row of df; component_id is the smallest key of its class."""
     spark = df.sparkSession
@@ -183,9 +245,12 @@ def classes_of(df: DataFrame, n: int = 5, num: int = 80, den: int = 100, key: st
 
     signs = cut_lineage(docs.mapInArrow(sign, f"key {key_type}, n_shingles bigint, s1 bigint, s2 bigint, g bigint, g2 bigint, prefix array<bigint>"))
     members = signs.where("n_shingles > 0").groupBy("s1", "s2").agg(F.min("key").alias("first_key"), F.min("g").alias("g"), F.min("n_shingles").alias("n_shingles"))
-    tokens = signs.where("n_shingles > 0").dropDuplicates(["g", "g2"]).select("g", F.explode("prefix").alias("token"))
-    shared = tokens.groupBy("token").agg(F.min("g").alias("hub"), F.max("g").alias("other")).where("hub <> other").select("token", "hub")
-    clusters = components(tokens.join(shared, "token").where("g <> hub").select("g", "hub"), "g", "hub")
+    tokens = signs.where("n_shingles > 0").dropDuplicates(["g", "g2"]).select(F.posexplode("prefix").alias("at", "token"), F.col("n_shingles").alias("size"), "g")
+    tokens = tokens.select("token", "size", "g", F.col("at").cast("long").alias("at"))
+    tokens = tokens.repartition(parts, "token").sortWithinPartitions("token", "size", "g")
+    pairs = tokens.mapInArrow(lambda batches: candidate_pairs(batches, num, den), "a bigint, b bigint, common bigint, need bigint")
+    pairs = pairs.groupBy("a", "b").agg(F.sum("common").alias("common"), F.min("need").alias("need")).where("common >= need")
+    clusters = components(pairs.select("a", "b"), "a", "b")
     members = members.join(clusters, F.col("g") == F.col("node"), "left").select(
         "s1", "s2", "first_key", "n_shingles", F.coalesce("root", "g").alias("cluster"),
         F.floor(F.log("n_shingles") / log(den / num)).cast("int").alias("band") if num < den else F.col("n_shingles").cast("int").alias("band"))
