@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from ..session import scratch_path
 from ..streaming import detect as sd
 from . import detectors as dt
 from .fixture import from_events, table, with_ev
-from .registry import query
+from .registry import ORACLES, query
 from .rules import C13_SQL, MATCHES, count_rule
 
 
@@ -61,43 +63,47 @@ def stream_dedup(spark, sf_dir):
         "rule_id", "hostname", F.col("minute").cast("timestamp_ntz").alias("minute"))
 
 
+END = "9999-end-of-input"
+
+
+def closed_stream(spark, sf_dir) -> DataFrame:
+    """The events stream and one late marker row, whose time closes every window; the marker's host is END."""
+    path = scratch_path(spark, "end-of-input")
+    schema = table(spark, sf_dir, "events").schema
+    marker = spark.createDataFrame([(-1, datetime(2300, 1, 1), 0, "error", 0.0, '{"k": 0}')], schema)
+    marker.coalesce(1).write.parquet(path)
+    end = from_events(spark.readStream.schema(schema).parquet(path)).withColumn("hostname", F.lit(END))
+    return event_stream(spark, sf_dir).unionByName(end)
+
+
 @query("stream_windows", with_ev("""
-edge AS (SELECT epoch_ms(max(ts)) - 600000 AS mark FROM ev),
 w AS (SELECT hostname, unnest(generate_series(us // 3600000000 - 5, us // 3600000000)) * 3600000000 AS start_us FROM ev WHERE event_id = 4625)""",
     select="""
 SELECT hostname, make_timestamp(start_us) AS window_start, make_timestamp(start_us + 21600000000) AS window_end, count(*) AS n_events
-FROM w, edge WHERE (start_us + 21600000000) // 1000 <= mark GROUP BY ALL"""))
+FROM w GROUP BY ALL"""))
 def stream_windows(spark, sf_dir):
-    """H4: failures per host in six-hour windows every hour, as far as the watermark has closed them."""
-    failed = event_stream(spark, sf_dir)
-    counts = sd.sliding_counts(failed.filter("event_id = 4625 OR ts IS NOT NULL").withColumn(
-        "hostname", F.when(F.col("event_id") == 4625, F.col("hostname"))), "hostname", "6 hours", "1 hour")
-    return run(counts, "stream-windows").filter("hostname IS NOT NULL").select(
+    """H4: failures per host in six-hour windows every hour, all of them once the input has ended."""
+    failed = closed_stream(spark, sf_dir).filter("event_id = 4625")
+    return run(sd.sliding_counts(failed, "hostname", "6 hours", "1 hour"), "stream-windows").filter(F.col("hostname") != END).select(
         "hostname", F.col("window_start").cast("timestamp_ntz").alias("window_start"),
         F.col("window_end").cast("timestamp_ntz").alias("window_end"), "n_events")
 
 
-@query("stream_sessions", with_ev("""
-edge AS (SELECT epoch_ms(max(ts)) - 600000 AS mark FROM ev),
-g AS (SELECT hostname, us, CASE WHEN us - lag(us) OVER (PARTITION BY hostname ORDER BY us) <= 1800000000 THEN 0 ELSE 1 END AS opens FROM ev),
-s AS (SELECT hostname, us, sum(opens) OVER (PARTITION BY hostname ORDER BY us) AS session FROM g)""", select="""
-SELECT hostname, make_timestamp(min(us)) AS first_seen, make_timestamp(max(us)) AS last_seen, count(*) AS n_events
-FROM s, edge GROUP BY hostname, session, mark HAVING (max(us) + 1800000000) // 1000 <= mark"""))
+@query("stream_sessions", ORACLES["activity_sessions"])
 def stream_sessions(spark, sf_dir):
-    """H6: bursts of activity per host, as far as the watermark has closed them."""
-    return run(sd.sessions(event_stream(spark, sf_dir)), "stream-sessions").select(
+    """H6: all bursts of activity per host, as the batch operator finds them."""
+    return run(sd.sessions(closed_stream(spark, sf_dir)), "stream-sessions").filter(F.col("hostname") != END).select(
         "hostname", F.col("first_seen").cast("timestamp_ntz").alias("first_seen"),
         F.col("last_seen").cast("timestamp_ntz").alias("last_seen"), "n_events")
 
 
-@query("stream_foreach_file", with_ev(dt.D1_SQL, dt.D7_SQL, select=dt.D1_OUT + "\nUNION ALL\n" + dt.D7_OUT))
+@query("stream_foreach_file", with_ev(*dt.ALL_SQL, select=dt.ALL_OUT))
 def stream_foreach_file(spark, sf_dir):
-    """H7: every file that arrives goes through the batch detectors on its own."""
-    rules = ["threshold_brute_force_ip", "threshold_repeated_privilege_escalation"]
+    """H7: every file that arrives goes through all batch detectors on its own."""
     path = scratch_path(spark, "stream-files")
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        alerts, _ = dt.detect_all(batch, rules)
+        alerts, _ = dt.detect_all(batch)
         alerts.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     sd.per_batch(event_stream(spark, sf_dir), handle, f"{path}-checkpoint").awaitTermination()

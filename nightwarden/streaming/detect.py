@@ -16,6 +16,7 @@ from ..functions.predicates import is_success_auth
 from ..operators import rules as ru
 from ..plans.analysis import AnalysisConfig, analyze
 from ..schema import with_micros
+from ..session import stages
 from ..sources.lines import parse_lines
 
 WATCH_PATTERNS = "*.log *.xml"
@@ -35,9 +36,12 @@ def stream_lines(
         "value", F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_name").alias("file_name"))
 
 
-def numbered(batch: DataFrame, batch_id: int) -> DataFrame:
-    """Give the lines of a micro-batch a seq that is unique over batches and follows line order inside a file."""
-    return batch.withColumn("seq", F.monotonically_increasing_id() + F.lit(batch_id) * F.lit(1 << 48))
+def numbered(batch: DataFrame) -> DataFrame:
+    """Give the lines of a micro-batch a seq that is unique in the batch and follows line order inside a file.
+
+    Event ids also carry the file's name, so they differ between batches.
+    """
+    return batch.withColumn("seq", F.monotonically_increasing_id())
 
 
 def rule_hits(events: DataFrame, rules: list[ru.Rule], work_hours: tuple[int, int] = (6, 22)) -> DataFrame:
@@ -62,7 +66,8 @@ def count_alerts(
 
     The state of a key is at most n-1 matches; it expires one window after the latest. Inside a micro-batch rows are
     put in time order; a row older than what an earlier batch already counted is taken as it comes. How many rows
-    one batch holds is the source's rate limit (maxFilesPerTrigger or maxBytesPerTrigger).
+    one batch holds is the source's rate limit (maxFilesPerTrigger or maxBytesPerTrigger). Matches without a readable
+    time are left out, as in batch; `untimed` counts them.
     """
     n = threshold or rule.threshold()
     width = (rule.timeframe or window) // timedelta(microseconds=1)
@@ -89,12 +94,17 @@ def count_alerts(
         yield pd.DataFrame(fired, columns=["hostname", "source_ip", "fired_us", "seq_lo", "seq_hi", "n_events"]).astype(
             {c: np.int64 for c in ("fired_us", "seq_lo", "seq_hi", "n_events")})
 
-    matches = with_micros(ru.with_matches(events.withWatermark("ts", delay), [rule]).filter("__rule_0")).select(
+    matches = with_micros(ru.with_matches(events.withWatermark("ts", delay), [rule]).filter("__rule_0 AND ts IS NOT NULL")).select(
         "hostname", F.coalesce("source_ip", F.lit("")).alias("source_ip"), "ts", "us", "seq")
     return matches.groupBy("hostname", "source_ip").applyInPandasWithState(
         step, COUNT_OUTPUT, "held_us array<long>, held_seq array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def untimed(events: DataFrame) -> DataFrame:
+    """How many rows per file have no readable time, so that windows and counting rules can't place them."""
+    return events.filter("ts IS NULL").groupBy("source_file").agg(F.count("*").alias("rows"))
+
+
 def sliding_counts(
     events: DataFrame, key: str, window: str = "5 minutes", slide: str = "1 minute", delay: str = "10 minutes",
 ) -> DataFrame:
@@ -139,9 +149,10 @@ def watch(
     overwrites its own folder.
     """
     def handle(batch: DataFrame, batch_id: int) -> None:
-        result = analyze(parse_lines(numbered(batch, batch_id), **auth_options), config)
-        for name, df in result.tables().items():
-            df.write.mode("overwrite").parquet(f"{out.rstrip('/')}/{name}/batch={batch_id}")
+        with stages(batch.sparkSession):
+            result = analyze(parse_lines(numbered(batch), **auth_options), config)
+            for name, df in result.tables().items():
+                df.write.mode("overwrite").parquet(f"{out.rstrip('/')}/{name}/batch={batch_id}")
 
     return per_batch(stream_lines(spark, folder, patterns, files_per_trigger=1), handle, checkpoint, available_now)
 

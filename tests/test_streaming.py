@@ -85,7 +85,14 @@ def test_windows_and_sessions_close_with_the_watermark(spark, tmp_path):
 
 
 @pytest.mark.parametrize("parts", [1, 3])
-def test_numbered_lines_are_unique_over_batches(spark, parts):
+def test_numbered_lines_are_unique_in_a_batch(spark, parts):
     lines = spark.range(10).select(F.col("id").cast("string").alias("value")).repartition(parts)
-    both = sd.numbered(lines, 0).unionByName(sd.numbered(lines, 1))
-    assert both.select("seq").distinct().count() == 20
+    assert sd.numbered(lines).select("seq").distinct().count() == 10
+
+
+def test_rows_without_a_time_do_not_stop_a_count(spark, tmp_path):
+    write_parts(spark, str(tmp_path), [[h.failure(at=0), h.failure(at=None), h.failure(at=10)], [h.failure(at=None), h.failure(at=20)]])
+    out = str(tmp_path / "out")
+    sd.to_table(sd.count_alerts(read_stream(spark, tmp_path), RULE, delay="1 hour"), out, f"{out}-cp").awaitTermination()
+    assert [r.n_events for r in spark.read.parquet(out).collect()] == [3]
+    assert [r["rows"] for r in sd.untimed(spark.read.parquet(str(tmp_path / "p"))).collect()] == [2]
