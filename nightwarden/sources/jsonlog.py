@@ -37,6 +37,7 @@ RELEVANT_WORDS = [
 
 
 # Single keys that are read beside the candidate lists.
+# Further keys that records are read by.
 OTHER_KEYS = [
     "event.id", "event_id", "id", "process.name", "process", "process.command_line", "command_line", "destination.ip",
     "dest_ip", "tags", "labels",

@@ -13,7 +13,7 @@ XML_SCHEMA = (
     "EventData STRUCT<Data: ARRAY<STRUCT<_Name: STRING, _VALUE: STRING>>>"
 )
 
-# Event ids by what they report.
+# Event ids by what they report; the message texts in parse are fixed values too.
 LOGON_SUCCESS = [4624, 4648, 4768, 4769, 4776]
 LOGON_FAILURE = [4625]
 PROCESS_START = [4688]

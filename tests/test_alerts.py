@@ -229,6 +229,18 @@ def test_tree_samples_are_whole_or_exact(spark):
     assert small == {30}
 
 
+def test_trees_see_the_whole_of_a_large_input(spark):
+    feats = spark.range(60_000).select(F.col("id").alias("seq"), *[F.lit(0.0).alias(f) for f in an.FEATURES])
+    drawn = an.tree_samples(feats, 60_000, trees=40).select("tree", "seq").collect()
+    per_tree = {}
+    for r in drawn:
+        per_tree.setdefault(r.tree, []).append(r.seq)
+    assert {len(v) for v in per_tree.values()} == {256} and len(per_tree) == 40
+    assert len({r.seq for r in drawn}) == 40 * 256
+    fifths = [sum(r.seq // 12_000 == i for r in drawn) for i in range(5)]
+    assert max(fifths) < 1.15 * min(fifths)
+
+
 def test_scores_do_not_depend_on_partitioning(spark):
     rows = [{"at": i * 977, "source_ip": "8.8.8.8" if i % 7 else None, "event_id": 4620 + i % 9} for i in range(500)]
     first, second = (
