@@ -17,11 +17,12 @@ MONTHS = ["Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct",
 
 @dataclass(frozen=True)
 class Pattern:
-    """A message form; user, ip and cmd are group numbers in regex (0: not present)."""
+    """A message form; user, ip and cmd are group numbers in regex (0: not present); word is part of every match."""
 
     tag: str
     category: str
     status: str | None
+    word: str
     regex: str
     user: int = 1
     ip: int = 0
@@ -30,16 +31,16 @@ class Pattern:
 
 # Message patterns in order of precedence. They see "process: message", as the daemons write it.
 PATTERNS = [
-    Pattern("ssh_failed", "authentication", "failure",
+    Pattern("ssh_failed", "authentication", "failure", "Failed password for ",
             r"Failed password for (?:invalid user )?(\S+) from ([0-9A-Fa-f:.]+)", ip=2),
-    Pattern("ssh_success", "authentication", "success",
+    Pattern("ssh_success", "authentication", "success", "Accepted ",
             r"Accepted (?:password|publickey) for (\S+) from ([0-9A-Fa-f:.]+)", ip=2),
-    Pattern("ssh_invalid_user", "authentication", "failure", r"Invalid user (\S+) from ([0-9A-Fa-f:.]+)", ip=2),
-    Pattern("sudo", "process", "success", r"sudo(?:\[\d+\])?:\s+(\S+)\s+:.*COMMAND=(.+)$", cmd=2),
-    Pattern("su", "authentication", None, r"su\[.*\]: (?:Successful|Failed) su for (\S+)"),
-    Pattern("pam_failure", "authentication", "failure", r"pam_unix.*: authentication failure.*user=(\S+)"),
-    Pattern("user_created", "system", "success", r"useradd.*: new user: name=([^,\s]+)"),
-    Pattern("cron", "process", "success", r"CRON(?:\[\d+\])?: \((\S+)\) CMD \((.+)\)", cmd=2),
+    Pattern("ssh_invalid_user", "authentication", "failure", "Invalid user ", r"Invalid user (\S+) from ([0-9A-Fa-f:.]+)", ip=2),
+    Pattern("sudo", "process", "success", "COMMAND=", r"sudo(?:\[\d+\])?:\s+(\S+)\s+:.*COMMAND=(.+)$", cmd=2),
+    Pattern("su", "authentication", None, " su for ", r"su\[.*\]: (?:Successful|Failed) su for (\S+)"),
+    Pattern("pam_failure", "authentication", "failure", "pam_unix", r"pam_unix.*: authentication failure.*user=(\S+)"),
+    Pattern("user_created", "system", "success", "useradd", r"useradd.*: new user: name=([^,\s]+)"),
+    Pattern("cron", "process", "success", "CRON", r"CRON(?:\[\d+\])?: \((\S+)\) CMD \((.+)\)", cmd=2),
 ]
 REMOTE_HOST = r"rhost=(\S+)"
 
@@ -84,7 +85,7 @@ def _classify(text: Column, message: Column, skip: set[str]) -> Column:
         status = p.status or F.when(text.contains("Successful"), "success").otherwise("failure")
         cmd = F.regexp_extract(text, p.regex, p.cmd) if p.cmd else None
         found = reading(p.tag, p.category, status, F.regexp_extract(text, p.regex, p.user), ip, cmd)
-        out = out.when(text.rlike(p.regex), F.lit(None) if p.tag in skip else found)
+        out = out.when(text.contains(p.word) & text.rlike(p.regex), F.lit(None) if p.tag in skip else found)
     return out.when(F.lower(message).rlike("|".join(SECURITY_WORDS)), reading(None, "system", None))
 
 
@@ -96,12 +97,11 @@ def parse(lines: DataFrame, year: int = 2024, default_ts: Column | None = None,
     default_ts (NULL by default) and ts_ok false. sshd may report one attempt by an unknown user twice;
     count_invalid_user=False drops the "Invalid user" line.
     """
-    split = lines.withColumn("line", F.regexp_replace("value", r"^\s+|\s+$", "")).filter("line <> ''").withColumns({
-        "sys": _groups(F.col("line"), SYSLOG_HEADER, 6),
-        "iso": _groups(F.col("line"), ISO_HEADER, 4),
-    })
+    split = lines.withColumn("line", F.regexp_replace("value", r"^\s+|\s+$", "")).filter("line <> ''").withColumn(
+        "sys", _groups(F.col("line"), SYSLOG_HEADER, 6))
+    split = split.withColumn("iso", F.when(F.size("sys") != 6, _groups(F.col("line"), ISO_HEADER, 4)))
     is_sys = F.size("sys") == 6
-    is_iso = F.size("iso") == 4
+    is_iso = F.col("iso").isNotNull() & (F.size("iso") == 4)
 
     def headed(at_sys: Column, at_iso: Column, otherwise: Column) -> Column:
         return F.when(is_sys, at_sys).when(is_iso, at_iso).otherwise(otherwise)
