@@ -12,7 +12,7 @@ from ..schema import ALERT_COLUMNS, UNKNOWN_HOST
 from .ordered import first_rows
 
 # What an alert's evidence keeps of each event.
-EVIDENCE_EVENT_COLUMNS = ["seq", "us", "hostname", "username", "source_ip", "category"]
+EVIDENCE_EVENT_COLUMNS = ["seq", "us", "hostname", "username", "source_ip", "category", "command_line"]
 EVIDENCE_COLUMNS = ["rule_id", "key_kind", "key_value", "mark", *EVIDENCE_EVENT_COLUMNS]
 ALERT_KEY = ["rule_id", "key_value", "mark"]
 

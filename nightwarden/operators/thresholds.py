@@ -112,7 +112,7 @@ def credential_stuffing(events: DataFrame, cfg: ThresholdConfig) -> DataFrame:
     failures = counted.filter("__failed").drop("__failed")
     successes = (
         counted.filter(~F.col("__failed") & (F.col("rank") >= n))
-        .groupBy(*key, "rank").agg(F.min(F.struct("us", "seq", "hostname", "username", "category")).alias("hit"))
+        .groupBy(*key, "rank").agg(F.min(F.struct("us", "seq", "hostname", "username", "category", "command_line")).alias("hit"))
     )
     dense = (
         shifted(failures, key, "us", 1 - n, "__nth_us", chunk_rows=cfg.chunk_rows)
@@ -124,10 +124,10 @@ def credential_stuffing(events: DataFrame, cfg: ThresholdConfig) -> DataFrame:
         next_mark(failures, fired.select(*key, "rank"), key, cfg.chunk_rows)
         .join(fired.select(*key, F.col("rank").alias("mark"), F.col("us").alias("__last_us")), [*key, "mark"])
         .filter(F.col("us") >= F.col("__last_us") - cfg.window_us)
-        .select(*key, "mark", "seq", "us", "hostname", "username", "category")
+        .select(*key, "mark", "seq", "us", "hostname", "username", "category", "command_line")
     )
     trigger = fired.select(
-        *key, F.col("rank").alias("mark"), "hit.seq", "hit.us", "hit.hostname", "hit.username", "hit.category")
+        *key, F.col("rank").alias("mark"), "hit.seq", "hit.us", "hit.hostname", "hit.username", "hit.category", "hit.command_line")
     return evidence(
         held.unionByName(trigger), "threshold_credential_stuffing", "ip", F.col("source_ip"), F.col("mark"))
 
