@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from datetime import timedelta
 
 from pyspark.sql import functions as F
 
@@ -233,8 +232,3 @@ def rules_by_severity(spark, sf_dir):
     return ru.rules_by_severity(listed).select(
         "rule_id", "severity", "weight", F.array_join("techniques", ",").alias("techniques"),
         F.coalesce("matches", F.lit(0)).alias("matches"))
-
-
-def count_alerts(spark, sf_dir, ev=None, window: timedelta = timedelta(minutes=5)):
-    """Alerts and evidence of the counting rule, for the queries on alerts."""
-    return ru.detect(events(spark, sf_dir) if ev is None else ev, [count_rule()], window)

@@ -219,7 +219,9 @@ def json_tags(spark, sf_dir):
         "seq", F.array_join("tags", ",").alias("tags"))
 
 
-WORDS = "|".join(jsonlog.RELEVANT_WORDS)
+WORDS = (  # stated here so that the SQL does not depend on what it checks
+    "auth|login|logon|fail|error|deny|block|attack|malware|suspicious|anomal|threat|exploit|privilege|escalat|lateral|exfil|"
+    "command|execution")
 
 
 @query("json_relevance_filter", f"""
