@@ -18,7 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 
 
 def worker_store() -> dict:

@@ -40,7 +40,7 @@ from .ranges import partitions
 SHARE = 1e-5
 DIVERGENCE = 0.02
 PRIORS = (1000.0, 500.0)
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 END = 0
 _POSITIONS, _WORDS, _DOCS, _KINDS = 0, 1, 2, 3
 _ROWS, _NAMES = "target bigint, chunk bigint, kind int, blob binary", ["target", "chunk", "kind", "blob"]
@@ -53,8 +53,8 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for b in batches:
-        for start in range(0, b.num_rows, 64):
-            yield from b.slice(start, 64).to_pylist()
+        for i in range(b.num_rows):  # a row may hold megabytes
+            yield from b.slice(i, 1).to_pylist()
 
 
 def _distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -141,6 +141,7 @@ def score(df: DataFrame, train: Column, key: str = "doc_id", text: str = "text")
     """(key, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row; scores are log10."""
     spark = df.sparkSession
     buckets = max(1, partitions(spark))
+    routes = 2 * buckets
     docs = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
     n_train, n_ends = training_size(docs, "text", "train")
     least = max(2, ceil(SHARE * n_train))
@@ -231,11 +232,13 @@ def score(df: DataFrame, train: Column, key: str = "doc_id", text: str = "text")
                 np.bincount(doc[~go], logs[~go], minlength=many), np.bincount(doc[~go], minlength=many)))])
             w0, w1, w2, d = symbol[go], before[go], earlier[go], doc[go]
             mixed = words.mix(words.mix(number[w1].astype(np.uint64) + np.uint64(3)) ^ number[w0].astype(np.uint64))
-            bucket = (mixed % np.uint64(buckets)).astype(np.int64)
+            bucket = (mixed % np.uint64(routes)).astype(np.int64)
+            # a context's first symbol is as frequent as the context, so rarer ones need not be told apart
+            w2 = np.where((w2 < 0) | (count[w2] < least), -1, w2)
             by = np.lexsort((w2, w0, w1, bucket))
-            edges = np.searchsorted(bucket[by], np.arange(buckets + 1))
+            edges = np.searchsorted(bucket[by], np.arange(routes + 1))
             out = []
-            for k in range(buckets):
+            for k in range(routes):
                 mine = by[edges[k]: edges[k + 1]]
                 if len(mine):
                     used, local = np.unique(np.concatenate([w1[mine], w0[mine]]), return_inverse=True)
@@ -256,8 +259,7 @@ def score(df: DataFrame, train: Column, key: str = "doc_id", text: str = "text")
                 number, count, a, b, earlier, doc, learn = unpack(row["blob"])
                 at = np.full(len(a), len(chunks), np.uint32)
                 chunks.append(row["chunk"])
-                parts.append((number[a].astype(np.int64), number[b].astype(np.int64), earlier.astype(np.int64), count[b].astype(np.int64),
-                              count[a].astype(np.int64), doc.astype(np.int64), at, learn))
+                parts.append((number[a], number[b], earlier, count[b], count[a], doc, at, learn))
             if parts:
                 before, after, earlier, n_after, n_before, doc, at, learn = (np.concatenate(c) for c in zip(*parts))
                 parts.clear()
