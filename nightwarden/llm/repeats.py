@@ -12,8 +12,8 @@ hash, so equal windows have equal anchors, and neighbours mostly share one. Then
    automaton (over word numbers). All segments of the shard stream through it, and every occurrence is located.
 3. Places of occurrences go back to the texts that hold the segments.
 
-Anchors with more than HOT occurrences don't gather their segments: these are dealt window by window, by the window's
-own hash, so that no shard holds more than the distinct texts of its windows. The text moves once, into a table
+An anchor with more than HOT distinct segments around it doesn't gather them: they are dealt window by window, by the
+window's own hash, and windows that occur more than once are found by counting. The text moves once, into a table
 bucketed by text hash that all later steps join without moving it again.
 
 Null texts have no words; empty texts and texts shorter than the window stay as they are (words joined by one blank).
@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from . import words
 from .blocks import text_blocks, utf8
 from .ranges import partitions
@@ -127,6 +128,42 @@ def _merged(spans: np.ndarray) -> np.ndarray:
     return np.column_stack([spans[at, 0], np.maximum.reduceat(spans[:, 1], at)])
 
 
+def by_window(segments: DataFrame, window: int) -> DataFrame:
+    """Spans of windows that occur more than once, for segments of anchors that are too common for one shard."""
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in text_blocks(batches, "segment"):
+            data, offsets = utf8(b.column(3))
+            starts, ends, first = words.split(data, offsets)
+            h, count = words.hash_spans(data, starts, ends), np.diff(first) - window + 1
+            row = np.repeat(np.arange(b.num_rows), count)
+            start = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+            taken, at = pa.array(row), first[row] + start
+            yield pa.RecordBatch.from_arrays([
+                *(b.column(i).take(taken) for i in (0, 1, 2, 4)), pa.array(start, pa.int32()),
+                *(_u64(words.grams(h, window, seed)[at]) for seed in (1, 2))], ["shard", "s1", "s2", "times", "start", "w1", "w2"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(r["shard"], r["s1"], r["s2"], *span) for r in b.to_pylist()
+                    for span in _merged(np.array([(x, x + window) for x in r["starts"]], np.int64)).tolist()]
+            yield _located(rows)
+
+    rows = segments.select("shard", "s1", "s2", "segment", "times").mapInArrow(
+        cut, "shard bigint, s1 bigint, s2 bigint, times bigint, start int, w1 bigint, w2 bigint")
+    again = rows.groupBy("w1", "w2").agg(F.sum("times").alias("n")).where("n > 1").select("w1", "w2")
+    starts = rows.join(cut_lineage(again), ["w1", "w2"]).groupBy("shard", "s1", "s2").agg(F.collect_list("start").alias("starts"))
+    return starts.mapInArrow(merge, LOCATED)
+
+
+LOCATED = "shard bigint, s1 bigint, s2 bigint, start int, end int"
+
+
+def _located(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) or [[]] * 5
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["shard", "s1", "s2", "start", "end"])
+
+
 def without_repeats(df: DataFrame, window: int = 35, text: str = "text") -> DataFrame:
     """(h1, h2, kept, n_words, n_removed) for each distinct text of df."""
     spark = df.sparkSession
@@ -148,9 +185,10 @@ def without_repeats(df: DataFrame, window: int = 35, text: str = "text") -> Data
                 ["anchor", "h1", "h2", "times", "low", "high"])
 
     found = texts.select("text", "h1", "h2", "times").mapInArrow(find, "anchor bigint, h1 bigint, h2 bigint, times bigint, low int, high int")
-    often = found.groupBy("anchor").agg(F.sum("times").alias("n")).where("n > 1").select("anchor", (F.col("n") > HOT).alias("hot"))
-    near = found.join(often, "anchor").groupBy("h1", "h2").agg(F.collect_list(F.struct("low", "high", "anchor", "hot")).alias("near"))
-    near = texts.join(near, ["h1", "h2"])  # the texts stay where they are
+    often = found.groupBy("anchor").agg(F.sum("times").alias("n")).where("n > 1").select("anchor")
+    often = cut_lineage(often)  # so that the join has an exchange of its own on both sides, and a hot anchor can be split
+    near = found.join(often, "anchor").groupBy("h1", "h2").agg(F.collect_list(F.struct("low", "high", "anchor")).alias("near"))
+    near = texts.join(cut_lineage(near), ["h1", "h2"])  # the texts stay where they are
 
     def cut(with_text: bool):
         """Segments around recurring anchors: (shard key, h1, h2, times, low) and their words, or the words' hashes."""
@@ -161,18 +199,11 @@ def without_repeats(df: DataFrame, window: int = 35, text: str = "text") -> Data
                 h = words.hash_spans(data, starts, ends)
                 lists = b.column(4)
                 each = np.diff(lists.offsets.to_numpy())
-                low, high, key, hot = (c.to_numpy(zero_copy_only=False) for c in lists.flatten().flatten())
+                low, high, key = (c.to_numpy(zero_copy_only=False) for c in lists.flatten().flatten())
                 t = np.repeat(np.arange(b.num_rows), each)
                 low, high = low.astype(np.int64), high.astype(np.int64)
-                # window by window where the anchor is hot
-                count = np.where(hot, high - low + 1, 1)
-                row = np.repeat(np.arange(len(t)), count)
-                step = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-                t, hot, key = t[row], hot[row], key[row].copy()
-                low, high = low[row] + step, np.where(hot, low[row] + step, high[row])
                 a, e = first[t] + low, first[t] + high + window
                 one, two = words.span_hashes(h, a, e)
-                key[hot] = one[hot].view(np.int64)
                 taken = pa.array(t)
                 columns = [pa.array(key, pa.int64()), _u64(one), _u64(two), *(b.column(i).take(taken) for i in (1, 2, 3)), pa.array(low, pa.int32())]
                 names = ["shard", "s1", "s2", "h1", "h2", "times", "low"]
@@ -186,7 +217,7 @@ def without_repeats(df: DataFrame, window: int = 35, text: str = "text") -> Data
 
     schema = "shard bigint, s1 bigint, s2 bigint, h1 bigint, h2 bigint, times bigint, low int"
     near = near.select("text", "h1", "h2", "times", "near")
-    places = near.mapInArrow(cut(False), schema)
+    places = cut_lineage(near.mapInArrow(cut(False), schema))
     segments = near.mapInArrow(cut(True), schema + ", segment string")
     segments = segments.groupBy("shard", "s1", "s2").agg(F.first("segment").alias("segment"), F.sum("times").alias("times"))
 
@@ -195,9 +226,7 @@ def without_repeats(df: DataFrame, window: int = 35, text: str = "text") -> Data
             cut = [_words(r[3]) for r in rows]
             spans = recurring(cut, np.array([r[4] for r in rows], np.float64), window)
             out = [(r[0], r[1], r[2], *span) for r, mine in zip(rows, spans) for span in _merged(np.array(mine, np.int64).reshape(-1, 2)).tolist()]
-            columns = list(zip(*out)) or [[]] * 5
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["shard", "s1", "s2", "start", "end"])
+            return _located(out)
 
         held, size, last = [], 0, None
         for b in batches:
@@ -211,8 +240,15 @@ def without_repeats(df: DataFrame, window: int = 35, text: str = "text") -> Data
         if held:
             yield flush(held)
 
+    crowded = places.select("shard", "s1", "s2").distinct().groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > HOT)
+    crowded = cut_lineage(crowded.select("shard"))
+    dealt = [] if crowded.isEmpty() else [by_window(segments.join(crowded, "shard"), window)]
+    if dealt:
+        segments = segments.join(crowded, "shard", "left_anti")
     located = segments.repartition(n, "shard").sortWithinPartitions("shard", "s1", "s2").select("shard", "s1", "s2", "segment", "times")
-    located = located.mapInArrow(locate, "shard bigint, s1 bigint, s2 bigint, start int, end int")
+    located = located.mapInArrow(locate, LOCATED)
+    for more in dealt:
+        located = located.unionAll(more)
     spans = places.join(located, ["shard", "s1", "s2"]).groupBy("h1", "h2").agg(
         F.collect_set(F.struct((F.col("low") + F.col("start")).alias("start"), (F.col("low") + F.col("end")).alias("end"))).alias("spans"))
 
