@@ -49,7 +49,7 @@ def text_blocks(batches: Iterator[pa.RecordBatch], text: str = "text", size: int
             start = stop
 
 
-def pack(*arrays: np.ndarray) -> bytes:
+def pack(*arrays: np.ndarray, level: int = 1) -> bytes:
     """Arrays as one compressed blob; the bytes of wider numbers are laid out plane by plane."""
     head, body = [], []
     for a in arrays:
@@ -57,7 +57,7 @@ def pack(*arrays: np.ndarray) -> bytes:
         head.append([a.dtype.str, len(a)])
         body.append(a.view(np.uint8).reshape(len(a), -1).T.tobytes() if a.dtype.itemsize > 1 and len(a) else a.tobytes())
     head = json.dumps(head).encode()
-    return zstandard.ZstdCompressor(level=1).compress(struct.pack("<I", len(head)) + head + b"".join(body))
+    return zstandard.ZstdCompressor(level=level).compress(struct.pack("<I", len(head)) + head + b"".join(body))
 
 
 def unpack(blob: bytes) -> list[np.ndarray]:

@@ -25,11 +25,23 @@ from .ranges import partitions
 from .words import hash_spans
 
 SPLIT_BYTES = 8 << 20
+FEW, LEVEL = 240, 9
 _ROWS = "target int, chunk bigint, kind int, blob binary"
 _NAMES = ["target", "chunk", "kind", "blob"]
 _POSITIONS, _WORDS = 0, 1
 
 
+def _ranked(rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ranks in two streams, a byte for each and the rest of those that need more; they pack better than wide numbers."""
+    return np.minimum(rank, FEW).astype(np.uint8), narrow(rank[rank >= FEW] - FEW)
+
+
+def _from_ranked(low: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    rank = low.astype(np.int64)
+    rank[low == FEW] += rest
+    return rank
+
+
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     kinds = (pa.int32(), pa.int64(), pa.int32(), pa.binary())
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], _NAMES)
@@ -60,7 +72,7 @@ def encode(df: DataFrame, spec: bytes, key: str = "doc_id", text: str = "text")
             chunk = task << 32 | i
             rows = [(chunk % buckets, chunk, _POSITIONS, pack(
                 keys.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), keys.is_valid().to_numpy(zero_copy_only=False).astype(np.uint8),
-                np.searchsorted(starts, offsets), narrow(rank[back])))]
+                np.searchsorted(starts, offsets), *_ranked(rank[back]), level=LEVEL))]
             bucket = (words % np.uint64(buckets)).astype(np.int64)
             by = np.argsort(bucket, kind="stable")
             edges = np.searchsorted(bucket[by], np.arange(buckets + 1))
@@ -69,7 +81,7 @@ def encode(df: DataFrame, spec: bytes, key: str = "doc_id", text: str = "text")
                 mine = by[edges[k]: edges[k + 1]]
                 if len(mine):
                     mine = mine[np.argsort(rank[mine])]
-                    rows.append((k, chunk, _WORDS, pack(narrow(np.diff(rank[mine], prepend=0)), narrow(n[mine]), data[spread(s[mine], n[mine])])))
+                    rows.append((k, chunk, _WORDS, pack(narrow(np.diff(rank[mine], prepend=0)), narrow(n[mine]), data[spread(s[mine], n[mine])], level=LEVEL)))
             yield _batch(rows)
 
     def encode_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,12 +102,13 @@ def encode(df: DataFrame, spec: bytes, key: str = "doc_id", text: str = "text")
                     mine = known[word]
                     ids += mine
                     count.append(len(mine))
-                blob = pack(steps, narrow(np.array(count, np.int64)), narrow(np.array(ids, np.int64)))
+                blob = pack(steps, narrow(np.array(count, np.int64)), narrow(np.array(ids, np.int64)), level=LEVEL)
                 yield _batch([(row["target"], row["chunk"], _WORDS, blob)])
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in runs(batches, "chunk"):
-            keys, valid, edges, back = unpack(next(rows)["blob"])
+            keys, valid, edges, low, rest = unpack(next(rows)["blob"])
+            back = _from_ranked(low, rest)
             size = int(back.max()) + 1 if len(back) else 0
             at, count, flat, total = np.zeros(size, np.int64), np.zeros(size, np.int64), [], 0
             for row in rows:
