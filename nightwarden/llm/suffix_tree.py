@@ -11,10 +11,13 @@ are contexts of up to two symbols:
 * A state's distribution is smoothed into its suffix's: (c(state, w) + PRIOR * p(suffix, w)) / (c(state) + PRIOR).
 * A symbol is scored by the longest retained suffix of its history.
 
-Nothing is sampled. Text blocks send their distinct words with counts to word buckets and get numbers and totals back.
-Positions behind a candidate word go to the bucket of (word, next symbol), where the counts of all longer contexts with
-these two are complete, so that even a word that holds a third of all tokens is spread over its continuations. The
-buckets are written once; three passes over them find candidates, test them, and score. Only contexts reach the driver.
+Nothing is sampled, and no list of contexts is gathered anywhere: what is asked is asked by text blocks. A block sends
+its distinct words with counts to word buckets and gets numbers and totals back; then its distinct pairs of symbols with
+training counts to the buckets of their first symbols, which answer with totals and with the symbols' divergence; then
+its distinct triples to the buckets of their contexts, which answer by how much each triple's log probability changes.
+So a word or pair that holds a third of all tokens is a few entries per block; a word's pairs and contexts are also
+spread over buckets in proportion to its count, and a block adds up the parts of its divergence. There are at least as
+many buckets as leave BUCKET_TOKENS training tokens to each.
 
 Null and empty texts hold the end alone. Rows whose flag is null are not learned from. Repeated rows and equal keys
 count and are scored each. Without training rows every token has probability 1 / (0 + 0 + 1). An empty table gives an
@@ -41,8 +44,9 @@ SHARE = 1e-5
 DIVERGENCE = 0.02
 PRIORS = (1000.0, 500.0)
 CHUNK_BYTES = 4 << 20
+BUCKET_TOKENS = 4_000_000
 END = 0
-_POSITIONS, _WORDS, _DOCS, _KINDS = 0, 1, 2, 3
+_POSITIONS, _WORDS, _DOCS, _KINDS, _PAIRS, _TRIPLES = range(6)
 _ROWS, _NAMES = "target bigint, chunk bigint, kind int, blob binary", ["target", "chunk", "kind", "blob"]
 
 
@@ -92,58 +96,86 @@ def training_size(df: DataFrame, text: str, train: str) -> tuple[int, int]:
     return row[0], row[1]
 
 
-class Bucket:
-    """The positions of a bucket, sorted by (before, next, earlier); counts of the symbols come along."""
+class Block:
+    """The symbols of a text block by position, each with the one before it; END is the last of the block's symbols."""
 
-    def __init__(self, blob: bytes):
-        step, self.next, self.earlier, self.n_next, self.n_before, self.doc, chunk, train, self.chunks = unpack(blob)
-        self.before = np.cumsum(step.astype(np.int64))
-        self.next, self.earlier = self.next.astype(np.int64), self.earlier.astype(np.int64) - 1
-        self.n_next, self.n_before = self.n_next.astype(np.float64), self.n_before.astype(np.float64)
-        self.chunk, self.train = chunk, train.astype(np.float64)
-        self.pairs = _starts(self.before, self.next)
-        self.pair_size = np.diff(np.append(self.pairs, len(self.before)))
-        self.n_pair = np.add.reduceat(self.train, self.pairs) if len(self.pairs) else np.zeros(0)
-
-    def one(self, root: float) -> tuple[np.ndarray, np.ndarray]:
-        """For each (before, next): probability of next at the root, and behind the one symbol before."""
-        p0 = (self.n_next[self.pairs] + 1) / root
-        return p0, (self.n_pair + PRIORS[0] * p0) / (self.n_before[self.pairs] + PRIORS[0])
-
-
-class Contexts:
-    """Pairs of symbols with a number each, for look-up; at most 1 / SHARE of them."""
-
-    def __init__(self, key: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray):
-        self.key, self.a, self.b, self.n = key, a, b, n
-
-    @classmethod
-    def arrays(cls, rows: list) -> tuple:
-        """What tasks get: (keys in order, a, b, n)."""
-        a, b, n = (np.array([r[i] for r in rows], t) for i, t in (("a", np.int64), ("b", np.int64), ("n", np.float64)))
-        key = cls._key(a, b)
-        by = np.lexsort((b, a, key))
-        return key[by], a[by], b[by], n[by]
-
-    @staticmethod
-    def _key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return words.mix(a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ words.mix(b.astype(np.uint64) + np.uint64(7)))
-
-    def find(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """The index of each pair, or -1."""
-        if not len(self.key):
-            return np.full(len(a), -1)
-        at = np.minimum(np.searchsorted(self.key, self._key(a, b)), len(self.key) - 1)
-        return np.where((self.a[at] == a) & (self.b[at] == b), at, -1)
+    def __init__(self, rows: Iterator[dict], n_ends: int, n_train: int, routes: int):
+        self.keys, self.valid, self.learn, sizes, rank = unpack(next(rows)["blob"])
+        size = int(rank.max()) + 1 if len(rank) else 0
+        self.number, self.count = np.zeros(size + 1, np.int64), np.zeros(size + 1, np.int64)
+        self.number[size], self.count[size] = END, n_ends
+        self.rest = []
+        for row in rows:
+            if row["kind"] != _WORDS:
+                self.rest.append(row)
+                continue
+            steps, ids, n = unpack(row["blob"])
+            mine = np.cumsum(steps.astype(np.int64))
+            self.number[mine], self.count[mine] = ids, n
+        self.routes, self.fan = routes, _fan(self.count, n_train, routes)
+        self.sizes = sizes.astype(np.int64) + 1
+        self.doc = np.repeat(np.arange(len(self.keys)), self.sizes)
+        self.symbol = np.insert(rank.astype(np.int64), np.cumsum(self.sizes - 1), size)  # an end after each document
+        self.begin = np.cumsum(self.sizes) - self.sizes
+        self.before = np.empty_like(self.symbol)
+        self.before[1:], self.before[self.begin] = self.symbol[:-1], size
+        self.train = self.learn[self.doc].astype(np.int64)
+
+    def bucket(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Of symbols a, each spread by b over as many buckets as its count asks for."""
+        part = words.mix(self.number[b].astype(np.uint64) + np.uint64(7)) % self.fan[a].astype(np.uint64)
+        return ((words.mix(self.number[a].astype(np.uint64) + np.uint64(3)) + part) % np.uint64(self.routes)).astype(np.int64)
+
+    def pairs(self, least: int) -> tuple[np.ndarray, ...]:
+        """Distinct (before, next): both, training count, and the pair of each position; those to ask for, by bucket.
+
+        Pairs whose count must be 0 or whose first symbol is too rare are not asked for.
+        """
+        key, back = np.unique(self.before * len(self.number) + self.symbol, return_inverse=True)
+        a, b = key // len(self.number), key % len(self.number)
+        ask = np.flatnonzero((self.count[a] >= least) & (self.count[b] > 0))
+        bucket = self.bucket(a[ask], b[ask])
+        by = np.lexsort((self.number[b[ask]], self.number[a[ask]], bucket))
+        return a, b, np.bincount(back, self.train, minlength=len(a)).astype(np.int64), back, ask[by], bucket[by]
+
+    def starters(self, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols that may be contexts, with each bucket they are spread over; by bucket."""
+        some = np.flatnonzero(self.count >= least)
+        some = some[np.argsort(self.number[some])]
+        word, part = np.repeat(some, self.fan[some]), spread(np.zeros(len(some), np.int64), self.fan[some])
+        bucket = ((words.mix(self.number[word].astype(np.uint64) + np.uint64(3)) + part.astype(np.uint64)) % np.uint64(self.routes)).astype(np.int64)
+        by = np.argsort(bucket, kind="stable")
+        return word[by], bucket[by]
+
+
+def _fan(count: np.ndarray, n_train: int, routes: int) -> np.ndarray:
+    """Over how many buckets symbols are spread."""
+    return np.clip(-(-count.astype(np.int64) * routes // max(1, n_train)), 1, routes)
+
+
+def _edges(sorted_buckets: np.ndarray) -> list[tuple[int, int, int]]:
+    """(bucket, from, to) of each run."""
+    at = [*_starts(sorted_buckets).tolist(), len(sorted_buckets)]
+    return [(int(sorted_buckets[i]), i, j) for i, j in zip(at, at[1:])]
+
+
+def _merged(parts: list[tuple], keys: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Distinct rows of the first `keys` columns in order, all columns of each one's first entry, the row of each entry, the last column."""
+    columns = [np.concatenate(c) for c in zip(*parts)]
+    by = np.lexsort(columns[:keys][::-1])
+    at = _starts(*(c[by] for c in columns[:keys]))
+    back = np.empty(len(by), np.int64)
+    back[by] = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(by))))
+    return [c[by[at]] for c in columns], back, columns[-1]
 
 
 def score(df: DataFrame, train: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row; scores are log10."""
     spark = df.sparkSession
     buckets = max(1, partitions(spark))
-    routes = 2 * buckets
     docs = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
     n_train, n_ends = training_size(docs, "text", "train")
+    routes = max(2 * buckets, -(-n_train // BUCKET_TOKENS))
     least = max(2, ceil(SHARE * n_train))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,171 +232,145 @@ def score(df: DataFrame, train: Column, key: str = "doc_id", text: str = "text")
             number, n = numbers[bucket]
             yield _batch([(bucket, chunk, _WORDS, pack(steps, narrow(number[mine]), narrow(n[mine])))])
 
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Per block: base sums of the documents, and positions behind candidate words to their buckets."""
+    def ask_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Per block: its symbols, and the distinct pairs behind them, to their buckets."""
         for chunk, rows in runs(batches, "chunk"):
-            if chunk < 0:
-                yield from (_batch([tuple(r[c] for c in _NAMES)]) for r in rows)
-                continue
-            keys, valid, learn, sizes, rank = unpack(next(rows)["blob"])
-            size = int(rank.max()) + 1 if len(rank) else 0
-            number, count = np.zeros(size + 1, np.int64), np.zeros(size + 1, np.int64)
-            number[size], count[size] = END, n_ends
+            x = Block(rows, n_ends, n_train, routes)
+            a, b, n, _, ask, bucket = x.pairs(least)
+            word, home = x.starters(least)
+            asked = {k: ask[i:j] for k, i, j in _edges(bucket)}
+            out = []
+            for k, i, j in _edges(home):
+                mine = asked.get(k, ask[:0])
+                first = word[i:j]
+                sizes = np.zeros(len(x.number), np.int64)
+                np.add.at(sizes, a[mine], 1)
+                used, second = np.unique(b[mine], return_inverse=True)
+                out.append((k, chunk, _PAIRS, pack(
+                    narrow(np.diff(x.number[first], prepend=0)), narrow(x.count[first]), narrow(sizes[first]),
+                    narrow(x.number[used]), narrow(x.count[used]), narrow(second), narrow(n[mine]))))
+            yield _batch(out)
+
+    def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Totals of the pairs, and each symbol's sum of gains or its bucket's part of it, to the blocks."""
+        for target, rows in runs(batches, "target"):
+            parts, chunks, asked = [], [], []
             for row in rows:
-                steps, ids, n = unpack(row["blob"])
-                mine = np.cumsum(steps.astype(np.int64))
-                number[mine], count[mine] = ids, n
-            sizes = sizes.astype(np.int64)
-            doc = np.repeat(np.arange(len(keys)), sizes + 1)
-            symbol = np.insert(rank.astype(np.int64), np.cumsum(sizes), size)  # an end after each document
-            begin = np.cumsum(sizes + 1) - sizes - 1
-            before = np.empty_like(symbol)
-            before[1:], before[begin] = symbol[:-1], size
-            earlier = np.full_like(symbol, -1)
-            earlier[1:] = before[:-1]
-            earlier[begin] = -1
-            n = count[symbol]
-            logs = np.log10(n + 1.0)
-            go = count[before] >= least
-            many = len(keys)
-            yield _batch([(chunk % buckets, chunk, _DOCS, pack(
-                keys, valid, learn, sizes + 1, np.bincount(doc, n > 0, minlength=many).astype(np.int64), np.bincount(doc, logs, minlength=many),
-                np.bincount(doc[~go], logs[~go], minlength=many), np.bincount(doc[~go], minlength=many)))])
-            w0, w1, w2, d = symbol[go], before[go], earlier[go], doc[go]
-            mixed = words.mix(words.mix(number[w1].astype(np.uint64) + np.uint64(3)) ^ number[w0].astype(np.uint64))
-            bucket = (mixed % np.uint64(routes)).astype(np.int64)
-            # a context's first symbol is as frequent as the context, so rarer ones need not be told apart
-            w2 = np.where((w2 < 0) | (count[w2] < least), -1, w2)
-            by = np.lexsort((w2, w0, w1, bucket))
-            edges = np.searchsorted(bucket[by], np.arange(routes + 1))
+                first, n_first, sizes, number, count, second, n = unpack(row["blob"])
+                first = np.cumsum(first.astype(np.int64))
+                chunks.append(row["chunk"])
+                asked.append(first)
+                before = np.repeat(np.arange(len(first)), sizes)
+                parts.append((first[before], number[second].astype(np.int64), n_first[before].astype(np.int64), count[second].astype(np.int64), n.astype(np.int64)))
+            ends = np.cumsum([len(x[0]) for x in parts])[:-1]
+            (before, _, n_before, n_next, _), back, n = _merged(parts, 2)
+            parts.clear()
+            total = np.bincount(back, n, minlength=len(before)).astype(np.int64)
+            gain = left_out(total, (n_next + 1) / root, n_before.astype(np.float64), PRIORS[0])
+            at = _starts(before)
+            symbols, of, gain = before[at], n_before[at], np.add.reduceat(gain, at) if len(at) else np.zeros(0)
+            spread_out = _fan(of, n_train, routes) > 1
+            gain = np.where(spread_out, gain, np.where(gain >= of * DIVERGENCE, np.inf, -np.inf))
+            for chunk, first, mine in zip(chunks, asked, np.split(back, ends)):
+                where = np.minimum(np.searchsorted(symbols, first), max(0, len(symbols) - 1))
+                mine_gain = np.where(symbols[where] == first, gain[where], 0.0) if len(symbols) else np.zeros(len(first))
+                yield _batch([(target, chunk, _PAIRS, pack(narrow(total[mine]), mine_gain))])
+
+    def ask_triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Per block: sums of the documents by contexts of one symbol, and distinct triples to their contexts' buckets."""
+        for chunk, rows in runs(batches, "chunk"):
+            x = Block(rows, n_ends, n_train, routes)
+            a, b, _, pair, ask, bucket = x.pairs(least)
+            word, home = x.starters(least)
+            n_pair, gain = np.zeros(len(a), np.int64), np.zeros(len(x.number))
+            pairs_of, words_of = {k: ask[i:j] for k, i, j in _edges(bucket)}, {k: word[i:j] for k, i, j in _edges(home)}
+            for row in x.rest:  # in the order of the buckets, so that all blocks add up alike
+                total, part = unpack(row["blob"])
+                n_pair[pairs_of.get(row["target"], ask[:0])] = total
+                gain[words_of[row["target"]]] += part
+            kept = ((x.count >= least) & (gain >= x.count * DIVERGENCE)).astype(np.uint8)
+            p0 = (x.count[b] + 1) / root
+            p = np.where(kept[a] > 0, (n_pair + PRIORS[0] * p0) / (x.count[a] + PRIORS[0]), p0)
+            many = len(x.keys)
+            # the context is the pair that ends one position before; it may be too rare, and a text's first symbol has none
+            context = np.zeros(len(pair), np.int64)
+            context[1:] = n_pair[pair[:-1]]
+            context[x.begin] = 0
+            go = np.flatnonzero(context >= least)
+            key, back = np.unique(pair[go - 1] * len(a) + pair[go], return_inverse=True)
+            first, second = key // max(1, len(a)), key % max(1, len(a))
+            to = x.bucket(b[first], a[first])
+            by = np.lexsort((x.number[a[first]], x.number[b[first]], to))
+            place = np.empty(len(by), np.int64)
+            place[by] = np.arange(len(by))
+            back = place[back]
+            n = np.bincount(back, x.train[go], minlength=len(by)).astype(np.int64)
+            w2, w1, w0, second, to = a[first[by]], b[first[by]], b[second[by]], second[by], to[by]
+            at = np.argsort(back, kind="stable")
+            yield _batch([(chunk % routes, chunk, _DOCS, pack(
+                x.keys, x.valid, x.learn, x.sizes, np.bincount(x.doc, x.count[x.symbol] > 0, minlength=many).astype(np.int64),
+                np.bincount(x.doc, np.log10(x.count[x.symbol] + 1.0), minlength=many), np.bincount(x.doc, np.log10(p)[pair], minlength=many),
+                narrow(np.diff(back[at], prepend=0)), narrow(x.doc[go][at])))])
             out = []
-            for k in range(routes):
-                mine = by[edges[k]: edges[k + 1]]
-                if len(mine):
-                    used, local = np.unique(np.concatenate([w1[mine], w0[mine]]), return_inverse=True)
-                    a, b = np.split(local, 2)
-                    out.append((k, chunk, _POSITIONS, pack(
-                        narrow(number[used]), narrow(count[used]), narrow(a), narrow(b), narrow(np.where(w2[mine] < 0, 0, number[w2[mine]] + 1)),
-                        narrow(d[mine]), learn[d[mine]])))
+            for k, i, j in _edges(to):
+                used, local = np.unique(np.concatenate([w2[i:j], w1[i:j], w0[i:j]]), return_inverse=True)
+                out.append((k, chunk, _TRIPLES, pack(
+                    narrow(x.number[used]), narrow(x.count[used]), kept[used], *map(narrow, np.split(local, 3)), narrow(n_pair[second[i:j]]), narrow(n[i:j]))))
             yield _batch(out)
 
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """All positions of a bucket as one sorted row."""
-        for bucket, rows in runs(batches, "target"):
+    def count_triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """What contexts of two symbols, where retained, add to the log probability of each triple, to the blocks."""
+        for target, rows in runs(batches, "target"):
             parts, chunks = [], []
             for row in rows:
-                if row["kind"] != _POSITIONS:
+                if row["kind"] != _TRIPLES:
                     yield _batch([tuple(row[c] for c in _NAMES)])
                     continue
-                number, count, a, b, earlier, doc, learn = unpack(row["blob"])
-                at = np.full(len(a), len(chunks), np.uint32)
+                number, count, kept, *local, n_pair, n = unpack(row["blob"])
+                number, (a, b, c) = number.astype(np.int64), local
+                p = (count[c].astype(np.float64) + 1) / root
+                p = np.where(kept[b] > 0, (n_pair + PRIORS[0] * p) / (count[b].astype(np.float64) + PRIORS[0]), p)
                 chunks.append(row["chunk"])
-                parts.append((number[a], number[b], earlier, count[b], count[a], doc, at, learn))
-            if parts:
-                before, after, earlier, n_after, n_before, doc, at, learn = (np.concatenate(c) for c in zip(*parts))
-                parts.clear()
-                by = np.lexsort((earlier, after, before))
-                yield _batch([(bucket, -2, _POSITIONS, pack(
-                    narrow(np.diff(before[by], prepend=0)), *(narrow(c[by]) for c in (after, earlier, n_after, n_before, doc, at)), learn[by],
-                    np.array(chunks, np.int64)))])
-
-    rows = docs.mapInArrow(split, _ROWS).repartition(buckets, "target").mapInArrow(total, _ROWS)
-    rows = rows.repartition(buckets, "chunk").sortWithinPartitions("chunk", "kind").mapInArrow(route, _ROWS)
-    table = cut_lineage(rows.repartition(buckets, "target").sortWithinPartitions("target", "kind").mapInArrow(gather, _ROWS))
-
-    kinds = table.where(F.col("kind") == _KINDS).select("blob").collect()  # one number per bucket
-    n_kinds = sum(int(unpack(r["blob"])[0][0]) for r in kinds) + (n_ends > 0)
-    root = float(n_train + n_kinds + 1)
-    table_rows = table.where(F.col("kind") == _POSITIONS).select("blob")
-    found = "size int, a bigint, b bigint, n double, gain double"
-
-    def contexts(columns: list) -> pa.RecordBatch:
-        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["size", "a", "b", "n", "gain"])
-
-    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in _rows(batches):
-            x = Bucket(row["blob"])
-            p0, _ = x.one(root)
-            before, after, of = x.before[x.pairs], x.next[x.pairs], x.n_before[x.pairs]
-            at = _starts(before)
-            if len(at):
-                zero = np.zeros(len(at), np.int64)
-                yield contexts([zero + 1, zero, before[at], of[at], np.add.reduceat(left_out(x.n_pair, p0, of, PRIORS[0]), at)])
-            long = (x.n_pair >= least) & (after != END)
-            yield contexts([np.full(int(long.sum()), 2), before[long], after[long], x.n_pair[long], np.zeros(int(long.sum()))])
-
-    def summed(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("size", "a", "b").agg(F.max("n").alias("n"), F.sum("gain").alias("gain"))
-
-    first = summed(table_rows.mapInArrow(candidates, found)).where((F.col("size") == 2) | (F.col("gain") >= F.col("n") * DIVERGENCE)).collect()
-    single = spark.sparkContext.broadcast(Contexts.arrays([r for r in first if r["size"] == 1]))
-    longer = spark.sparkContext.broadcast(Contexts.arrays([r for r in first if r["size"] == 2]))
-
-    def shorter(x: Bucket) -> np.ndarray:
-        """For each (before, next): probability by the longest retained suffix of at most one symbol."""
-        p0, p1 = x.one(root)
-        before = x.before[x.pairs]
-        return np.where(Contexts(*single.value).find(np.zeros(len(before), np.int64), before) >= 0, p1, p0)
-
-    def triples(x: Bucket, longest: Contexts) -> tuple:
-        """Runs of (before, next, earlier): starts, index of the context or -1, training count, both probabilities."""
-        at = _starts(x.before, x.next, x.earlier)
-        n = np.add.reduceat(x.train, at) if len(at) else np.zeros(0)
-        context = longest.find(x.earlier[at], x.before[at])
-        context[x.earlier[at] < 0] = -1
-        p = np.repeat(shorter(x), x.pair_size)[at]
-        some = context >= 0
-        q = p.copy()
-        q[some] = (n[some] + PRIORS[1] * p[some]) / (longest.n[context[some]] + PRIORS[1])
-        return at, context, n, p, q
-
-    def divergences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in _rows(batches):
-            x = Bucket(row["blob"])
-            tested = Contexts(*longer.value)
-            _, context, n, p, _ = triples(x, tested)
-            some = context >= 0
-            gain = np.bincount(context[some], left_out(n[some], p[some], tested.n[context[some]], PRIORS[1]), minlength=len(tested.key))
-            some = np.flatnonzero(gain)
-            yield contexts([np.full(len(some), 2), tested.a[some], tested.b[some], tested.n[some], gain[some]])
-
-    second = summed(table_rows.mapInArrow(divergences, found)).where(F.col("gain") >= F.col("n") * DIVERGENCE).collect()
-    longest = spark.sparkContext.broadcast(Contexts.arrays(second))
-
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sums of log10 probabilities per document, for each block that a bucket has positions of."""
-        for row in _rows(batches):
-            x = Bucket(row["blob"])
-            at, _, _, _, q = triples(x, Contexts(*longest.value))
-            logs = np.repeat(np.log10(q), np.diff(np.append(at, len(x.before))))
-            owner = x.chunk.astype(np.int64) << 32 | x.doc.astype(np.int64)
-            owners, back = np.unique(owner, return_inverse=True)
-            sums = np.bincount(back, logs, minlength=len(owners))
-            which = owners >> 32
-            edges = [*_starts(which).tolist(), len(which)]
-            out = [(0, int(x.chunks[which[i]]), _WORDS, pack(narrow(owners[i:j] & 0xFFFFFFFF), sums[i:j])) for i, j in zip(edges, edges[1:])]
-            yield _batch(out)
+                parts.append((number[a], number[b], number[c], p, n.astype(np.int64)))
+            if not parts:
+                continue
+            ends = np.cumsum([len(x[0]) for x in parts])[:-1]
+            (a, b, _, p, _), back, n = _merged(parts, 3)
+            parts.clear()
+            n = np.bincount(back, n, minlength=len(a))
+            at = _starts(a, b)
+            size = np.diff(np.append(at, len(a)))
+            of = np.add.reduceat(n, at)
+            gain = np.add.reduceat(left_out(n, p, np.repeat(of, size), PRIORS[1]), at)
+            retained = np.repeat((of >= least) & (gain >= of * DIVERGENCE), size)
+            of = np.repeat(of, size)
+            more = np.where(retained, np.log10((n + PRIORS[1] * p) / (of + PRIORS[1]) / p), 0.0)
+            for chunk, mine in zip(chunks, np.split(back, ends)):
+                yield _batch([(target, chunk, _TRIPLES, pack(more[mine]))])
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in runs(batches, "chunk"):
-            sums, blob = {}, None
-            parts = []
-            for row in rows:
-                if row["kind"] == _DOCS:
-                    blob = row["blob"]
-                else:
-                    parts.append(unpack(row["blob"]))
-            keys, valid, learn, n_tokens, n_known, base, rest, n_rest = unpack(blob)
-            total = rest - n_rest * np.log10(root)
-            for doc, value in parts:
-                total += np.bincount(doc.astype(np.int64), value, minlength=len(keys))
+        for _, rows in runs(batches, "chunk"):  # the documents come first, then the answers in the order of the buckets
+            keys, valid, learn, n_tokens, n_known, base, total, step, doc = unpack(next(rows)["blob"])
+            more = [unpack(row["blob"])[0] for row in rows]
+            if more:
+                total = total + np.bincount(doc.astype(np.int64), np.concatenate(more)[np.cumsum(step.astype(np.int64))], minlength=len(keys))
             n = len(keys)
             yield pa.RecordBatch.from_arrays([
                 pa.array(keys, pa.int64(), mask=valid == 0), pa.array(learn == 0), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()),
                 pa.array(np.full(n, n_train), pa.int64()), pa.array(base - n_tokens * np.log10(root)), pa.array(total)],
                 [key, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    scored = table_rows.mapInArrow(apply, _ROWS).unionAll(table.where(F.col("kind") == _DOCS))
-    return scored.repartition(buckets, "chunk").sortWithinPartitions("chunk").mapInArrow(
+    def dealt(rows: DataFrame, by: str) -> DataFrame:
+        return rows.repartition(buckets, by).sortWithinPartitions(by, "kind", "target")
+
+    table = cut_lineage(docs.mapInArrow(split, _ROWS).repartition(buckets, "target").mapInArrow(total, _ROWS))
+    kinds = table.where(F.col("kind") == _KINDS).select("blob").collect()  # one number per bucket
+    n_kinds = sum(int(unpack(r["blob"])[0][0]) for r in kinds) + (n_ends > 0)
+    root = float(n_train + n_kinds + 1)
+    blocks = table.where(F.col("kind") != _KINDS)
+    pairs = dealt(blocks, "chunk").mapInArrow(ask_pairs, _ROWS)
+    pairs = dealt(pairs, "target").mapInArrow(count_pairs, _ROWS)
+    triples = dealt(blocks.unionAll(pairs), "chunk").mapInArrow(ask_triples, _ROWS)
+    triples = dealt(triples, "target").mapInArrow(count_triples, _ROWS)
+    return dealt(triples, "chunk").mapInArrow(
         finish, f"`{key}` bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")

@@ -37,6 +37,27 @@ def test_a_state_is_kept_only_where_it_tells_more(spark):
     assert got[0].score > got[0].base_score
 
 
+def test_a_hot_pair_is_a_few_entries_per_block():
+    symbols = np.tile([0, 1], 50000)
+    blob = blocks.pack(np.array([7]), np.ones(1, np.uint8), np.ones(1, np.uint8), np.array([len(symbols)]), blocks.narrow(symbols))
+    counted = blocks.pack(np.array([0, 1], np.uint8), np.array([1, 2], np.uint8), np.array([50000, 50000]))
+    x = suffix_tree.Block(iter([{"kind": 0, "blob": blob}, {"kind": 1, "blob": counted}]), 1, 100001, 64)
+    a, b, n, pair, ask, bucket = x.pairs(2)
+    assert sorted(zip(a.tolist(), b.tolist(), n.tolist())) == [(0, 1, 50000), (1, 0, 49999), (1, 2, 1), (2, 0, 1)]
+    assert len(pair) == 100001 and len(ask) == 3  # a context seen once is too rare to be asked for
+    word, home = x.starters(2)  # half of all tokens: spread over half of the buckets
+    assert [(word == i).sum() for i in (0, 1)] == [32, 32] and (np.diff(home) >= 0).all()
+
+
+def test_scores_do_not_depend_on_the_number_of_buckets(spark, docs, monkeypatch):
+    monkeypatch.setattr(suffix_tree, "PRIORS", (20.0, 10.0))
+    train = F.col("doc_id") % 3 > 0
+    want = sorted((r.score for r in suffix_tree.score(docs, train).collect()))
+    monkeypatch.setattr(suffix_tree, "BUCKET_TOKENS", 100)
+    monkeypatch.setattr(suffix_tree, "CHUNK_BYTES", 3000)
+    assert np.allclose(sorted(r.score for r in suffix_tree.score(docs, train).collect()), want, rtol=1e-9)
+
+
 def test_scores_without_training_rows_and_without_rows(spark, docs, empty):
     assert {r.base_score for r in suffix_tree.score(docs, F.lit(False)).collect()} == {0.0}
     got = suffix_tree.score(empty, F.lit(True))
