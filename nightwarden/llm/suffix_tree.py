@@ -4,8 +4,8 @@ Symbols are words (A-Z lower-cased) and one end per text; a text's history begin
 are contexts of up to two symbols:
 
 * The root gives a symbol (c + 1) / (N + V + 1), from its count c among the N training tokens of V kinds.
-* A context is a candidate if it makes up at least SHARE of the training tokens (so there are at most 1 / SHARE
-  candidates of a length, whatever the corpus). It is retained if its next-symbol distribution diverges from that of
+* A context is a candidate if it occurs LEAST times among the training tokens, however many these are. (A SHARE of them
+  may be asked for as well; it is 0.) It is retained if its next-symbol distribution diverges from that of
   its longest retained suffix: over its continuations, each left out of the counts when it is its turn, the mean log
   ratio of the two probabilities is at least DIVERGENCE nats. (With all counts in, rare contexts always seem to.)
 * A state's distribution is smoothed into its suffix's: (c(state, w) + PRIOR * p(suffix, w)) / (c(state) + PRIOR).
@@ -40,7 +40,7 @@ from . import words
 from .blocks import narrow, pack, runs, spread, text_blocks, unpack, utf8
 from .ranges import partitions
 
-SHARE = 1e-5
+LEAST, SHARE = 2, 0.0
 DIVERGENCE = 0.02
 PRIORS = (1000.0, 500.0)
 CHUNK_BYTES = 4 << 20
@@ -176,7 +176,7 @@ def score(df: DataFrame, train: Column, key: str = "doc_id", text: str = "text")
     docs = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
     n_train, n_ends = training_size(docs, "text", "train")
     routes = max(2 * buckets, -(-n_train // BUCKET_TOKENS))
-    least = max(2, ceil(SHARE * n_train))
+    least = max(LEAST, ceil(SHARE * n_train))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()

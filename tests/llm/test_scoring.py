@@ -58,6 +58,15 @@ def test_scores_do_not_depend_on_the_number_of_buckets(spark, docs, monkeypatch)
     assert np.allclose(sorted(r.score for r in suffix_tree.score(docs, train).collect()), want, rtol=1e-9)
 
 
+def test_a_context_counts_as_much_in_a_larger_corpus(spark):
+    rare = [(i, "qa qb qc qd") for i in range(6)]
+    more = [(100 + i, " ".join(f"w{(i * 7919 + j * j) % 997}" for j in range(2000))) for i in range(400)]
+    few = {r.doc_id: r for r in suffix_tree.score(spark.createDataFrame(rare + more[:20], "doc_id long, text string"), F.lit(True)).collect()}
+    many = {r.doc_id: r for r in suffix_tree.score(spark.createDataFrame(rare + more, "doc_id long, text string"), F.lit(True)).collect()}
+    assert many[0].train_tokens > 800000  # 1e-5 of these are more than the six times that each context occurs
+    assert few[0].score > few[0].base_score + 1 and many[0].score > many[0].base_score + 1
+
+
 def test_scores_without_training_rows_and_without_rows(spark, docs, empty):
     assert {r.base_score for r in suffix_tree.score(docs, F.lit(False)).collect()} == {0.0}
     got = suffix_tree.score(empty, F.lit(True))
