@@ -2,7 +2,7 @@
 
 Statistics are counted over the whole text (null: empty): byte classes, words, repeated and adjacent equal words, word
 ends, lines. Trees are fitted on histograms of binned statistics, on a sample of at most SAMPLE_ROWS labelled documents
-(those with the smallest hashes of their key), in one task, which the bound keeps small. The forest becomes five flat
+(those with the smallest hashes of their key), in one task, which gets nothing but their statistics. The forest becomes five flat
 arrays that every task holds; scoring walks all trees for a block of documents at once.
 
 Labels: null labels are left out; a key with several labels takes the smallest. Documents that share a key all count.
@@ -175,7 +175,7 @@ def train(df: DataFrame, labels: DataFrame, label: str = "quality", key: str = "
                                          ["feature", "threshold", "left", "right", "value", "roots", "base"])
 
     names = ["feature", "threshold", "left", "right", "value", "roots", "base"]
-    row = measured.coalesce(1).mapInArrow(learn_trees, ", ".join(f"`{c}` array<double>" for c in names)).collect()
+    row = measured.repartition(1).mapInArrow(learn_trees, ", ".join(f"`{c}` array<double>" for c in names)).collect()
     if not row:
         return fit(np.zeros((0, len(STATISTICS))), np.zeros(0))
     kinds = [np.int32, float, np.int32, np.int32, float, np.int32]

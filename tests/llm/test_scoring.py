@@ -87,6 +87,21 @@ def test_classifier_tells_junk_from_prose_on_held_out_rows(spark):
     assert np.mean([(r.score >= 0.7) == r.quality for r in held]) > 0.97
 
 
+def test_only_the_fit_is_in_one_task(spark):
+    rows = [(i, ["good text of words", "again again again"][i % 2] + f" {i}") for i in range(60)]
+    df = spark.createDataFrame(spark.sparkContext.parallelize(rows, 7), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int").coalesce(1)
+    sc = spark.sparkContext
+    sc.setJobGroup("fit", "fit")
+    try:
+        quality.train(df, labels)
+    finally:
+        sc.setJobGroup("", "")
+    tracker = sc.statusTracker()
+    stages = [s for j in tracker.getJobIdsForGroup("fit") for s in tracker.getJobInfo(j).stageIds]
+    assert 7 in {info.numTasks for info in map(tracker.getStageInfo, stages) if info}
+
+
 def test_trees_walk_as_they_are_built():
     rng = np.random.default_rng(1)
     x = rng.random((600, 4))
