@@ -48,9 +48,10 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces of all texts, placed in sequences of at most LIMIT tokens."""
+    """Token pieces of all texts, placed in sequences of at most LIMIT tokens and MAX_PIECES pieces."""
     pieces = packing.token_pieces(docs, vocabulary(), limit=LIMIT, end=2)
     return packing.best_fit(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), limit=LIMIT,
+                            max_pieces=packing.MAX_PIECES, weights=packing.WEIGHTS,
                             groups=max(1, -(-docs.count() // packing.GROUP_PIECES)))
 
 

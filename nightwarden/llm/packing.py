@@ -25,6 +25,7 @@ from .blocks import text_blocks, utf8
 from .pieces import encoder
 
 GROUP_PIECES = 8192
+MAX_PIECES, WEIGHTS = 64, (1.0, 1.0, 1.0)  # what the registered queries ask for
 PIECE_SCHEMA = "piece int, start bigint, length bigint, ids binary"
 
 

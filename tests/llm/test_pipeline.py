@@ -8,7 +8,7 @@ import pytest
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from nightwarden.llm import quality, queries
+from nightwarden.llm import packing, quality, queries
 
 from . import plain
 
@@ -65,6 +65,15 @@ def test_stages_do_what_they_say(spark, folder, library):
     assert len({r.sequence_id for r in packed}) <= sum(tokens.values()) / 1024 * 1.1 + 1
 
 
+def test_sequences_hold_a_bounded_number_of_pieces(spark, tmp_path):
+    rows = [(i, "a" if i else "b " * 900, "en", "s", 1) for i in range(300)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for got in (corpus_pipeline.pack_sequences(spark, docs, str(tmp_path)), queries.QUERIES["op5_packing"](spark, str(tmp_path))):
+        got = got.collect()
+        assert len(got) == 300 and max(Counter(r.sequence_id for r in got).values()) == packing.MAX_PIECES
+
+
 def test_the_whole_run(spark, folder):
     got = corpus_pipeline.run(spark, folder)
     assert got.count() > 100 and {"doc_id", "sequence_id"} <= set(got.columns)
