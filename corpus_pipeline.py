@@ -25,17 +25,19 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest doc_id, of each class of five-word shingle similarity 0.8 or more.
+    """One document of each class of five-word shingle similarity 0.8 or more.
 
-    Documents without words, and those without an id, are in no class and stay.
+    It is that of the smallest doc_id, rows without one last; of rows that share the id, that of the smallest row hash, and
+    of equal rows one. Documents without words are in no class and stay.
     """
-    classes = jaccard.classes_of(docs, n=5, num=80, den=100).where("doc_id IS NOT NULL AND n_shingles > 0")
-    dropped = classes.where("component_id <> doc_id").select("doc_id").distinct()
-    kept = docs.join(dropped, "doc_id", "left_anti")
-    # rows that repeat an id are of one class if their texts are; of equal texts one row stays
-    same = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.xxhash64(*docs.columns))
-    kept = kept.withColumn("__copy", F.row_number().over(same))
-    return kept.where("__copy = 1 OR doc_id IS NULL OR NOT coalesce(text, '') RLIKE '[^ \\\\x09-\\\\x0D]'").select(*docs.columns)
+    row, more = F.xxhash64(*docs.columns), F.xxhash64(F.lit(1), *docs.columns)
+    name = F.struct(F.col("doc_id").isNull().alias("without"), F.coalesce("doc_id", F.lit(0)).alias("id"), row.alias("row"), more.alias("more"))
+    docs = docs.withColumn("__name", name)
+    classes = jaccard.classes_of(docs, n=5, num=80, den=100, key="__name").where("n_shingles > 0")
+    dropped = classes.where("component_id <> __name").select("__name").distinct()
+    kept = docs.join(dropped, "__name", "left_anti")
+    kept = kept.withColumn("__copy", F.row_number().over(Window.partitionBy("__name").orderBy("__name")))
+    return kept.where("__copy = 1 OR NOT coalesce(text, '') RLIKE '[^ \\\\x09-\\\\x0D]'").drop("__name", "__copy")
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

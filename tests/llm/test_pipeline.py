@@ -74,6 +74,15 @@ def test_sequences_hold_a_bounded_number_of_pieces(spark, tmp_path):
         assert len(got) == 300 and max(Counter(r.sequence_id for r in got).values()) == packing.MAX_PIECES
 
 
+def test_near_copies_with_repeated_and_null_ids(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(3, a), (5, a), (5, b), (7, c), (7, c + " end"), (None, c + " tail"), (None, "x y z u v w"), (None, "x y z u v w"), (None, None), (8, " "), (8, " ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = Counter(map(tuple, corpus_pipeline.keep_one_of_near_copies(spark, docs, "").collect()))
+    assert {k: n for k, n in got.items() if k[0] != 7} == {(3, a): 1, (5, b): 1, (None, "x y z u v w"): 1, (None, None): 1, (8, " "): 2}
+    assert sum(n for k, n in got.items() if k[0] == 7) == 1
+
+
 def test_the_whole_run(spark, folder):
     got = corpus_pipeline.run(spark, folder)
     assert got.count() > 100 and {"doc_id", "sequence_id"} <= set(got.columns)
