@@ -1,9 +1,9 @@
 """A uniform random shuffle into shards of exact sizes, by a communication matrix.
 
-Rows are dealt into blocks by a hash of their keys. How many rows of each block go to each shard is drawn from the
-multivariate hypergeometric distribution, block after block, which is how a uniform permutation would fall; the matrix
-has blocks x shards numbers and is all that the driver sees. Each block is then permuted, its rows go to the shards in
-the drawn numbers, and each shard is permuted again, in slices whose sizes give the slots their offsets. Shard sizes
+Rows are dealt into blocks by a hash of their keys and of all columns, so rows of one key are spread. How many rows of
+each block go to each shard is drawn from the multivariate hypergeometric distribution, block after block, which is how a
+uniform permutation would fall; the matrix has blocks x shards numbers and is all that the driver sees. Each block is then
+permuted, its rows go to the shards in the drawn numbers, and each shard is permuted again, in slices whose sizes give the slots their offsets. Shard sizes
 are at most one apart. Everything depends on the seed and the rows alone, so a task that runs again deals alike.
 
 Ties: rows with equal keys are ordered by a hash of all columns; rows equal in all columns are interchangeable, and
@@ -77,27 +77,26 @@ def uniform_shards(df: DataFrame, shards: int, keys: list[str] | None = None, se
     slices = blocks // shards + 1
 
     def drawn(k: int):
-        return F.xxhash64(F.lit(seed * 4 + k), *keys)
+        return F.xxhash64(F.lit(seed * 4 + k), *keys, "__row")
 
-    dealt = df.withColumn("__block", F.pmod(drawn(0), F.lit(blocks)).cast("int"))
+    dealt = df.withColumn("__row", F.xxhash64(*df.columns)).withColumn("__block", F.pmod(drawn(0), F.lit(blocks)).cast("int"))
     counted = {r["__block"]: r["count"] for r in dealt.groupBy("__block").count().collect()}
     matrix = communication_matrix([counted.get(b, 0) for b in range(blocks)], shards, seed)
     edges = [[sum(row[: s + 1]) for s in range(shards)] for row in matrix]
     table = spark.range(1).select(F.posexplode(F.from_json(F.lit(json.dumps(edges)), "array<array<bigint>>"))).select(
         F.col("pos").alias("__block"), F.col("col").alias("__edges"))
 
-    def exchanged(rows: DataFrame, *tie) -> DataFrame:
-        inside = Window.partitionBy("__block").orderBy(drawn(1), *keys, *tie)
+    def exchanged(rows: DataFrame) -> DataFrame:
+        inside = Window.partitionBy("__block").orderBy(drawn(1), *keys, "__row")
         rows = rows.withColumn("__rank", F.row_number().over(inside)).join(F.broadcast(table), "__block")
         shard = F.size(F.filter("__edges", lambda e: e < F.col("__rank")))
         return rows.withColumn("shard", shard.cast("int")).withColumn(
             "__slice", F.pmod(drawn(2), F.lit(slices)).cast("int")).drop("__block", "__rank", "__edges")
 
-    sizes = exchanged(dealt.select("__block", *keys)).groupBy("shard", "__slice").agg(F.count("*").alias("__size"))
+    sizes = exchanged(dealt.select("__block", "__row", *keys)).groupBy("shard", "__slice").agg(F.count("*").alias("__size"))
     before = Window.partitionBy("shard").orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select("shard", "__slice", F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__start"))
-    tie = F.xxhash64(*df.columns)
-    inside = Window.partitionBy("shard", "__slice").orderBy(drawn(3), *keys, tie)
-    out = exchanged(dealt, tie).withColumn("slot", F.row_number().over(inside).cast("long") - 1)
+    inside = Window.partitionBy("shard", "__slice").orderBy(drawn(3), *keys, "__row")
+    out = exchanged(dealt).withColumn("slot", F.row_number().over(inside).cast("long") - 1)
     out = out.join(F.broadcast(sizes), ["shard", "__slice"]).withColumn("slot", F.col("slot") + F.col("__start"))
     return out.select(*df.columns, "shard", "slot")

@@ -97,3 +97,12 @@ def test_the_matrix_adds_up():
     matrix = sharding.communication_matrix(counts, 4, 1)
     assert [sum(r) for r in matrix] == counts and [sum(c) for c in zip(*matrix)] == [35, 35, 35, 34]
     assert sharding.communication_matrix([], 3, 1) == []
+
+
+def test_rows_of_one_key_are_spread_over_blocks(spark, monkeypatch):
+    seen, matrix = [], sharding.communication_matrix
+    monkeypatch.setattr(sharding, "communication_matrix", lambda counts, *a: seen.append(counts) or matrix(counts, *a))
+    df = spark.createDataFrame([(None if i % 2 else 5, f"text {i}") for i in range(600)], "doc_id long, text string")
+    got = sharding.uniform_shards(df, 4, ["doc_id"]).collect()
+    assert max(seen[0]) < 300 and min(seen[0]) > 120
+    assert sorted((r.shard, r.slot) for r in got) == [(s, i) for s in range(4) for i in range(150)] and len({r.text for r in got}) == 600
