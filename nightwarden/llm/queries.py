@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import configure, cut_lineage
-from . import jaccard, packing, quality, rans, repeats, suffix_tree, topk, word_bpe
+from . import jaccard, negatives, neighbours, packing, quality, rans, repeats, suffix_tree, topk, whitening, word_bpe
 from .pieces import read_spec
 from .ranges import with_next
 from .sharding import uniform_shards
@@ -146,3 +146,46 @@ def op10_fingerprints(spark, sf_dir):
         "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         as_text(a).alias("fingerprint"), as_text(b).alias("edited_fingerprint"),
         likeness(a, b).alias("near_edited"), likeness(a, c).alias("near_next"), containment(a, b).alias("inside_edited"))
+
+
+@query
+def op11_neighbours(spark, sf_dir):
+    """The 10 nearest rows found for every 100th embedding, by a hierarchical k-means tree."""
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    return neighbours.nearest(vectors, 10, F.col("vec_id") % 100 == 0, vector="embedding")
+
+
+@query
+def op12_whitening(spark, sf_dir):
+    """All embeddings, as whole numbers, projected on their first 32 principal axes and scaled to unit variance."""
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    return whitening.whiten(vectors, 32, vector="embedding")
+
+
+@query
+def op13_negatives(spark, sf_dir):
+    """For every 100th embedding and each of its 5 positives, the 10 best rows of other labels in the score window."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = rows.select("vec_id", topk.whole_numbers(F.col("embedding")).alias("vector"), label.alias("label"))
+    return negatives.mine(rows, F.col("vec_id") % 100 == 0)
+
+
+ORACLES["op13_negatives"] = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0 AND len([1 FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+), scored AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, CAST(list_dot_product(a.e, c.e) AS BIGINT) AS score
+  FROM v a JOIN v c ON c.vec_id <> a.vec_id WHERE a.vec_id % 100 = 0
+), positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT anchor_id, positive_id, vec_id AS negative_id, positive_score, score AS negative_score,
+  CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank
+FROM positives JOIN scored USING (anchor_id)
+WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY rank <= 10
+"""
