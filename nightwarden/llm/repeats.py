@@ -7,24 +7,27 @@ Equal texts are treated once, with their number. Each window has an anchor: its
 hash, so equal windows have equal anchors, and neighbours mostly share one. Then:
 
 1. Count the anchors (combined before the exchange). Only windows whose anchor occurs more than once can recur.
-2. The text around such anchors goes, once per distinct segment, to the shard of its anchor. There the windows that
-   occur more than once are confirmed, runs of them become phrases, and the phrases of a shard are compiled to an
-   automaton (over word numbers). All segments of the shard stream through it, and every occurrence is located.
-3. Places of occurrences go back to the texts that hold the segments.
+2. The text around such anchors goes, once per distinct segment, to the shard of its anchor. There passages are confirmed: windows that
+   occur more than once, in runs, are the phrases, each kept once.
+3. The phrases of a shard are compiled to an automaton over word numbers, and all documents stream through it, as the
+   distinct segments around the shard's anchors (a phrase can occur nowhere else). What the automata report are the places.
+4. Places go back to the texts that hold the segments.
 
-An anchor with more than HOT distinct segments around it doesn't gather them: they are dealt window by window, by the
-window's own hash, and windows that occur more than once are found by counting. The text moves once, into a table
-bucketed by text hash that all later steps join without moving it again.
+An anchor with more than PART distinct segments has several shards: its windows are dealt among them by their hash, and a
+segment visits those of its windows. The text moves once, into a table bucketed by text hash that all later steps join
+without moving it again.
 
 Null texts have no words; empty texts and texts shorter than the window stay as they are (words joined by one blank).
 Rows are kept, repeated ones too: their passages repeat, so all their windows go. An empty table gives an empty result.
-Texts are told apart by 128 bits, windows by 128 bits; phrases are located by their words.
+A very long text is one row and must fit in a task. Texts and windows are told apart by 128 bits, words by 64. Columns named like a
+result are replaced by `attach`; others are not touched.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import ahocorasick
 import numpy as np
@@ -38,7 +41,7 @@ from .blocks import text_blocks, utf8
 from .ranges import partitions
 
 ANCHOR = 8
-HOT = 20_000
+PART = 20_000
 SHARD_BYTES = 4 << 20
 
 
@@ -82,35 +85,65 @@ def anchors(h: np.ndarray, first: np.ndarray, window: int) -> tuple[np.ndarray,
     return t, g[at[low]], low - first[t], high - first[t]
 
 
-def recurring(segments: list[list[str]], weight: np.ndarray, window: int) -> list[list[tuple[int, int]]]:
-    """The word spans of each segment in which every window of that length occurs more than once in the segments.
+@dataclass
+class Segments:
+    """Texts of a shard as word numbers; the words of segment i are first[i] to first[i + 1] - 1."""
 
-    A segment stands for `weight` places; its windows are counted as often.
+    ids: np.ndarray
+    first: np.ndarray
+
+    def owners(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
+
+
+def window_hashes(h: np.ndarray, first: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(position, hash, hash) of each window that lies in one segment."""
+    owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    n = max(0, len(h) - window + 1)
+    at = np.flatnonzero(owner[:n] == owner[window - 1:])
+    return at, words.grams(h, window, 1)[at], words.grams(h, window, 2)[at]
+
+
+def confirm(segments: Segments, weight: np.ndarray, mine: np.ndarray, hashes: tuple[np.ndarray, ...], window: int) -> set[tuple[int, ...]]:
+    """The phrases: runs of windows of which each occurs more than once; a segment stands for `weight` places.
+
+    Only the windows marked in `mine` are judged; hashes are their positions and two hashes.
     """
-    ids: dict[str, int] = {}
-    rows = [tuple([ids.setdefault(w, len(ids)) for w in s]) for s in segments]
-    sizes = np.array([len(r) for r in rows])
-    flat = np.fromiter((x for r in rows for x in r), np.uint64, int(sizes.sum()))
-    h = words.mix((flat + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
-    first = np.concatenate([[0], np.cumsum(sizes)])
-    owner = np.repeat(np.arange(len(rows)), sizes)
-    n = len(h) - window + 1
-    valid = np.flatnonzero(owner[:n] == owner[window - 1:])
-    key = np.empty(len(valid), [("a", "<u8"), ("b", "<u8")])
-    key["a"], key["b"] = words.grams(h, window, 1)[valid], words.grams(h, window, 2)[valid]
+    at, one, two = (a[mine] for a in hashes)
+    key = np.empty(len(at), [("a", "<u8"), ("b", "<u8")])
+    key["a"], key["b"] = one, two
     _, back = np.unique(key, return_inverse=True)
-    again = np.bincount(back, weight[owner[valid]])[back] > 1
-    starts = valid[again]
+    owner = segments.owners()
+    starts = at[np.bincount(back, weight[owner[at]])[back] > 1] if len(at) else at
     if not len(starts):
-        return [[] for _ in rows]
+        return set()
     new = np.r_[True, (np.diff(starts) > 1) | (owner[starts[1:]] != owner[starts[:-1]])]
     low = starts[new]
     high = starts[np.r_[np.flatnonzero(new)[1:] - 1, len(starts) - 1]] + window
+    ids = segments.ids.tolist()
+    return {tuple(ids[a:b]) for a, b in zip(low.tolist(), high.tolist())}
+
+
+def compiled(phrases: set[tuple[int, ...]]) -> ahocorasick.Automaton:
     automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-    for i, a, b in zip(owner[low].tolist(), (low - first[owner[low]]).tolist(), (high - first[owner[low]]).tolist()):
-        automaton.add_word(rows[i][a:b], b - a)
+    for phrase in phrases:
+        automaton.add_word(phrase, len(phrase))
     automaton.make_automaton()
-    return [[(end + 1 - size, end + 1) for end, size in automaton.iter(row)] for row in rows]
+    return automaton
+
+
+def locate(automaton: ahocorasick.Automaton, segments: Segments) -> tuple[np.ndarray, np.ndarray]:
+    """(segment, spans) of every occurrence of a phrase, overlapping ones merged; spans are rows of start and end word."""
+    if not len(automaton):
+        return np.zeros(0, np.int64), np.zeros((0, 2), np.int64)
+    ids, first, found = segments.ids.tolist(), segments.first.tolist(), []
+    for i, (low, high) in enumerate(zip(first, first[1:])):
+        base = low + i + 1  # a gap between segments keeps their spans apart
+        found += [(base + end - size, base + end) for end, size in automaton.iter(tuple(ids[low:high]))]
+    spans = _merged(np.array(found, np.int64).reshape(-1, 2))
+    gaps = segments.first[:-1] + np.arange(len(first) - 1)
+    owner = np.searchsorted(gaps, spans[:, 0], "right") - 1
+    return owner, spans - gaps[owner, None]
 
 
 def _u64(a: np.ndarray) -> pa.Array:
@@ -128,40 +161,34 @@ def _merged(spans: np.ndarray) -> np.ndarray:
     return np.column_stack([spans[at, 0], np.maximum.reduceat(spans[:, 1], at)])
 
 
-def by_window(segments: DataFrame, window: int) -> DataFrame:
-    """Spans of windows that occur more than once, for segments of anchors that are too common for one shard."""
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in text_blocks(batches, "segment"):
-            data, offsets = utf8(b.column(3))
-            starts, ends, first = words.split(data, offsets)
-            h, count = words.hash_spans(data, starts, ends), np.diff(first) - window + 1
-            row = np.repeat(np.arange(b.num_rows), count)
-            start = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-            taken, at = pa.array(row), first[row] + start
-            yield pa.RecordBatch.from_arrays([
-                *(b.column(i).take(taken) for i in (0, 1, 2, 4)), pa.array(start, pa.int32()),
-                *(_u64(words.grams(h, window, seed)[at]) for seed in (1, 2))], ["shard", "s1", "s2", "times", "start", "w1", "w2"])
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = [(r["shard"], r["s1"], r["s2"], *span) for r in b.to_pylist()
-                    for span in _merged(np.array([(x, x + window) for x in r["starts"]], np.int64)).tolist()]
-            yield _located(rows)
-
-    rows = segments.select("shard", "s1", "s2", "segment", "times").mapInArrow(
-        cut, "shard bigint, s1 bigint, s2 bigint, times bigint, start int, w1 bigint, w2 bigint")
-    again = rows.groupBy("w1", "w2").agg(F.sum("times").alias("n")).where("n > 1").select("w1", "w2")
-    starts = rows.join(cut_lineage(again), ["w1", "w2"]).groupBy("shard", "s1", "s2").agg(F.collect_list("start").alias("starts"))
-    return starts.mapInArrow(merge, LOCATED)
+def _lists(rows: pa.RecordBatch, columns: list[str], owner: np.ndarray, **values: np.ndarray) -> pa.RecordBatch:
+    """One row for each row of `rows` that owns values (owner rises), with the values in a list of structs."""
+    there, counts = np.unique(owner, return_counts=True)
+    entries = pa.StructArray.from_arrays([pa.array(v, pa.int32()) for v in values.values()], list(values))
+    lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)], pa.int32()), entries)
+    taken = rows.take(pa.array(there))
+    return pa.RecordBatch.from_arrays([*(taken.column(c) for c in columns), lists], [*columns, "spans"])
 
 
-LOCATED = "shard bigint, s1 bigint, s2 bigint, start int, end int"
+def _whole_shards(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (shard, part) in batches of `size` bytes or more that hold whole shards."""
+    held = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held = b if held is None else pa.concat_batches([held, b])
+        if held.nbytes < size:
+            continue
+        shard, part = (held.column(c).to_numpy() for c in ("shard", "part"))
+        edges = np.flatnonzero((np.diff(shard) != 0) | (np.diff(part) != 0)) + 1
+        if len(edges):
+            yield held.slice(0, int(edges[-1]))
+            held = held.slice(int(edges[-1]))
+    if held is not None:
+        yield held
 
 
-def _located(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows)) or [[]] * 5
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["shard", "s1", "s2", "start", "end"])
+SEGMENTS = "shard bigint, s1 bigint, s2 bigint, segment string, times bigint, part int, parts int"
 
 
 def without_repeats(df: DataFrame, window: int = 35, text: str = "text") -> DataFrame:
@@ -191,7 +218,7 @@ def without_repeats(df: DataFrame, window: int = 35, text: str = "text") -> Data
     near = texts.join(cut_lineage(near), ["h1", "h2"])  # the texts stay where they are
 
     def cut(with_text: bool):
-        """Segments around recurring anchors: (shard key, h1, h2, times, low) and their words, or the words' hashes."""
+        """Segments around recurring anchors: (shard, s1, s2) and their words, or the text that holds them and where."""
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in text_blocks(batches):
                 data, offsets = utf8(b.column(0))
@@ -204,53 +231,70 @@ def without_repeats(df: DataFrame, window: int = 35, text: str = "text") -> Data
                 low, high = low.astype(np.int64), high.astype(np.int64)
                 a, e = first[t] + low, first[t] + high + window
                 one, two = words.span_hashes(h, a, e)
-                taken = pa.array(t)
-                columns = [pa.array(key, pa.int64()), _u64(one), _u64(two), *(b.column(i).take(taken) for i in (1, 2, 3)), pa.array(low, pa.int32())]
-                names = ["shard", "s1", "s2", "h1", "h2", "times", "low"]
                 if with_text:
                     raw = data.tobytes()
                     seg = [raw[starts[i]:ends[j - 1]] for i, j in zip(a.tolist(), e.tolist())]
-                    columns.append(pa.array([s.decode() for s in seg], pa.string()))
-                    names.append("segment")
-                yield pa.RecordBatch.from_arrays(columns, names)
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array(key, pa.int64()), _u64(one), _u64(two), b.column(3).take(pa.array(t)), pa.array([s.decode() for s in seg], pa.string())],
+                        ["shard", "s1", "s2", "times", "segment"])
+                    continue
+                by = np.lexsort((low, two, one, key, t))
+                t, one, two, key, low = t[by], one[by], two[by], key[by], low[by]
+                new = np.flatnonzero(np.r_[True, (np.diff(t) != 0) | (np.diff(key) != 0) | (one[1:] != one[:-1]) | (two[1:] != two[:-1])]) if len(t) else np.zeros(0, np.int64)
+                taken = pa.array(t[new])
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(key[new], pa.int64()), _u64(one[new]), _u64(two[new]), b.column(1).take(taken), b.column(2).take(taken),
+                    pa.ListArray.from_arrays(pa.array(np.r_[new, len(t)], pa.int32()), pa.array(low, pa.int32()))],
+                    ["shard", "s1", "s2", "h1", "h2", "lows"])
         return run
 
-    schema = "shard bigint, s1 bigint, s2 bigint, h1 bigint, h2 bigint, times bigint, low int"
     near = near.select("text", "h1", "h2", "times", "near")
-    places = cut_lineage(near.mapInArrow(cut(False), schema))
-    segments = near.mapInArrow(cut(True), schema + ", segment string")
+    places = cut_lineage(near.mapInArrow(cut(False), "shard bigint, s1 bigint, s2 bigint, h1 bigint, h2 bigint, lows array<int>"))
+    segments = near.mapInArrow(cut(True), "shard bigint, s1 bigint, s2 bigint, times bigint, segment string")
     segments = segments.groupBy("shard", "s1", "s2").agg(F.first("segment").alias("segment"), F.sum("times").alias("times"))
 
-    def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(rows: list[tuple]) -> pa.RecordBatch:
-            cut = [_words(r[3]) for r in rows]
-            spans = recurring(cut, np.array([r[4] for r in rows], np.float64), window)
-            out = [(r[0], r[1], r[2], *span) for r, mine in zip(rows, spans) for span in _merged(np.array(mine, np.int64).reshape(-1, 2)).tolist()]
-            return _located(out)
-
-        held, size, last = [], 0, None
-        for b in batches:
-            for row in zip(*(c.to_pylist() for c in b.columns)):
-                if size >= SHARD_BYTES and row[0] != last:  # an automaton holds whole anchors
-                    yield flush(held)
-                    held, size = [], 0
-                held.append(row)
-                size += len(row[3])
-                last = row[0]
-        if held:
-            yield flush(held)
-
-    crowded = places.select("shard", "s1", "s2").distinct().groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > HOT)
-    crowded = cut_lineage(crowded.select("shard"))
-    dealt = [] if crowded.isEmpty() else [by_window(segments.join(crowded, "shard"), window)]
-    if dealt:
-        segments = segments.join(crowded, "shard", "left_anti")
-    located = segments.repartition(n, "shard").sortWithinPartitions("shard", "s1", "s2").select("shard", "s1", "s2", "segment", "times")
-    located = located.mapInArrow(locate, LOCATED)
-    for more in dealt:
-        located = located.unionAll(more)
-    spans = places.join(located, ["shard", "s1", "s2"]).groupBy("h1", "h2").agg(
-        F.collect_set(F.struct((F.col("low") + F.col("start")).alias("start"), (F.col("low") + F.col("end")).alias("end"))).alias("spans"))
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each part that a segment of a crowded anchor has windows in."""
+        for b in text_blocks(batches, "segment"):
+            data, offsets = utf8(b.column(3))
+            starts, ends, first = words.split(data, offsets)
+            at, one, _ = window_hashes(words.hash_spans(data, starts, ends), first, window)
+            row = np.searchsorted(first, at, "right") - 1
+            parts = b.column(5).to_numpy().astype(np.uint64)
+            goes = np.unique(np.column_stack([row, (one % parts[row]).astype(np.int64)]), axis=0)
+            taken = pa.array(goes[:, 0])
+            yield pa.RecordBatch.from_arrays(
+                [*(b.column(i).take(taken) for i in range(5)), pa.array(goes[:, 1], pa.int32()), b.column(5).take(taken)],
+                ["shard", "s1", "s2", "segment", "times", "part", "parts"])
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _whole_shards(batches, SHARD_BYTES):
+            data, offsets = utf8(b.column(3))
+            starts, ends, first = words.split(data, offsets)
+            h = words.hash_spans(data, starts, ends)
+            mine = Segments(np.unique(h, return_inverse=True)[1], first)
+            hashes = window_hashes(h, first, window)
+            row = np.searchsorted(first, hashes[0], "right") - 1
+            part, parts = b.column(5).to_numpy(), b.column(6).to_numpy().astype(np.uint64)
+            judged = (hashes[1] % parts[row]).astype(np.int64) == part[row]
+            phrases = confirm(mine, b.column(4).to_numpy().astype(np.float64), judged, hashes, window)
+            owner, spans = locate(compiled(phrases), mine)
+            yield _lists(b, ["shard", "s1", "s2"], owner, start=spans[:, 0], end=spans[:, 1])
+
+    crowded = places.select("shard", "s1", "s2").distinct().groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > PART)
+    crowded = cut_lineage(crowded.select("shard", F.ceil(F.col("n") / PART).cast("int").alias("parts")))
+    columns = ["shard", "s1", "s2", "segment", "times"]
+    if crowded.isEmpty():
+        segments = segments.select(*columns, F.lit(0).alias("part"), F.lit(1).alias("parts"))
+    else:
+        segments = cut_lineage(segments.join(crowded, "shard", "left").select(*columns, "parts"))
+        segments = segments.where("parts IS NULL").select(*columns, F.lit(0).alias("part"), F.lit(1).alias("parts")).unionAll(
+            segments.where("parts IS NOT NULL").mapInArrow(deal, SEGMENTS))
+    located = segments.repartition(n, "shard", "part").sortWithinPartitions("shard", "part", "s1", "s2")
+    located = located.mapInArrow(stream, "shard bigint, s1 bigint, s2 bigint, spans array<struct<start:int,end:int>>")
+    if not crowded.isEmpty():  # a segment has a row from each part
+        located = located.groupBy("shard", "s1", "s2").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    spans = places.join(located, ["shard", "s1", "s2"]).groupBy("h1", "h2").agg(F.collect_list(F.struct("lows", "spans")).alias("spans"))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_blocks(batches):
@@ -260,7 +304,8 @@ def without_repeats(df: DataFrame, window: int = 35, text: str = "text") -> Data
             a, e = starts.tolist(), ends.tolist()
             for i, spans in enumerate(b.column(3).to_pylist()):
                 pieces, at, removed = [], int(first[i]), 0
-                for s, t in _merged(np.array([(x["start"], x["end"]) for x in spans or ()], np.int64).reshape(-1, 2)).tolist():
+                gone_words = [(low + x["start"], low + x["end"]) for r in spans or () for low in r["lows"] for x in r["spans"]]
+                for s, t in _merged(np.array(gone_words, np.int64).reshape(-1, 2)).tolist():
                     pieces += [raw[a[w]:e[w]] for w in range(at, int(first[i]) + s)]
                     at = int(first[i]) + t
                     removed += t - s
@@ -275,14 +320,6 @@ def without_repeats(df: DataFrame, window: int = 35, text: str = "text") -> Data
         keep, "h1 bigint, h2 bigint, kept string, n_words bigint, n_removed bigint")
 
 
-def _words(segment: str) -> list[str]:
-    """Words between blanks and the controls from tab to carriage return, and nothing else."""
-    return [w for w in segment.translate(_BLANKS).split(" ") if w]
-
-
-_BLANKS = {c: " " for c in range(9, 14)}
-
-
 def attach(df: DataFrame, results: DataFrame, text: str = "text", how: str = "inner") -> DataFrame:
     """Every row of df and its text's results; a column of df that clashes with a result is replaced."""
     names = [c for c in results.columns if c not in ("h1", "h2")]

@@ -102,9 +102,9 @@ def test_smallest_of_each_stretch():
         assert repeats.smallest(g, n).tolist() == want
 
 
-@pytest.mark.parametrize("window,hot", [(35, 20_000), (35, 2), (12, 20_000), (5, 1), (1, 20_000)])
-def test_repeated_passages_go(spark, docs, rows, window, hot, monkeypatch):
-    monkeypatch.setattr(repeats, "HOT", hot)
+@pytest.mark.parametrize("window,part", [(35, 20_000), (35, 2), (12, 20_000), (5, 1), (1, 20_000)])
+def test_repeated_passages_go(spark, docs, rows, window, part, monkeypatch):
+    monkeypatch.setattr(repeats, "PART", part)
     monkeypatch.setattr(repeats, "SHARD_BYTES", 5000)
     got = repeats.attach(docs, repeats.without_repeats(docs, window))
     assert got.columns.count("kept") == 1 and "slot" in got.columns
@@ -113,6 +113,28 @@ def test_repeated_passages_go(spark, docs, rows, window, hot, monkeypatch):
     assert any(removed for _, _, removed, _ in want)
 
 
+def test_what_the_automaton_misses_stays(spark, monkeypatch):
+    passages = [" ".join(f"{c}{i}" for i in range(20)) for c in "ab"]
+    df = spark.createDataFrame([(i, f"x{i} {passages[i % 2]} y{i}") for i in range(6)], "doc_id int, text string")
+    confirm = repeats.confirm
+    for least, left in ((0, []), (25, [0, 1, 2, 3, 4, 5])):
+        monkeypatch.setattr(repeats, "confirm", lambda *a, least=least: {p for p in confirm(*a) if len(p) >= least})
+        rows = repeats.attach(df, repeats.without_repeats(df, 10)).collect()
+        assert sorted(r.doc_id for r in rows if not r.n_removed) == left
+
+
+def test_places_and_spans_meet_once_per_segment(spark, monkeypatch):
+    line = " ".join(f"w{i}" for i in range(12))
+    df = spark.createDataFrame([(i, f"{line} {line} {line} z{i}") for i in range(40)], "doc_id int, text string")
+    joined = []
+    join = type(df).join
+    monkeypatch.setattr(type(df), "join", lambda a, b, on=None, *more: joined.append((a, on, out := join(a, b, on, *more))) or out)
+    got = repeats.without_repeats(df, 10).collect()
+    assert all(r.n_words == 37 and r.n_removed == 36 for r in got)
+    (places, _, out), = [j for j in joined if j[1] == ["shard", "s1", "s2"]]
+    assert out.count() <= places.count()
+
+
 def test_chained_overlaps_are_judged_window_by_window(spark):
     w = [f"t{i}" for i in range(60)]
     texts = [" ".join(w), " ".join(w[:30]) + " x", "y " + " ".join(w[20:50]), " ".join(w[40:])]
