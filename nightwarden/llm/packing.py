@@ -4,8 +4,9 @@ A document becomes pieces: its token ids and the end id, cut into `limit` tokens
 piece takes the remainder). Pieces go into sequences under three capacities: tokens, number of pieces, and attention
 cost (the sum of squared piece lengths). Pieces are placed by falling length; of all open sequences that keep every
 capacity, the one with the smallest weighted residual norm afterwards is taken (or, with rule "dot", the largest weighted
-dot product of demand and residual). Packing runs in independent groups of thousands of pieces, dealt by hash, so no
-task sees the whole; each group leaves at most a few open sequences.
+dot product of demand and residual). By default the piece capacity is the token limit and the cost capacity its square, so
+they weigh in the choice but cost no sequence; smaller ones bind. Packing runs in independent groups of thousands of
+pieces, dealt by hash, so no task sees the whole; each group leaves at most a few open sequences.
 
 Null and empty texts give one piece that holds the end id alone. Repeated rows are packed each. Ties: the sequence opened
 first; pieces of one length in the order of their columns. An empty table gives an empty result. Input columns named
@@ -25,7 +26,9 @@ from .blocks import text_blocks, utf8
 from .pieces import encoder
 
 GROUP_PIECES = 8192
-MAX_PIECES, WEIGHTS = 64, (1.0, 1.0, 1.0)  # what the registered queries ask for
+GROUP_SEQUENCES = 1024
+TOKEN_BYTES = 4  # about so many bytes of text make a token; only the size of groups depends on it
+WEIGHTS = (1.0, 1.0, 1.0)
 PIECE_SCHEMA = "piece int, start bigint, length bigint, ids binary"
 
 
@@ -57,6 +60,15 @@ def token_pieces(df: DataFrame, spec: bytes, key: str = "doc_id", text: str = "t
     return df.select(key, text).mapInArrow(cut, f"`{key}` {kind}, {PIECE_SCHEMA}")
 
 
+def groups_for(docs: DataFrame, text: str = "text", limit: int = 1024) -> int:
+    """How many groups to pack the pieces of all texts in: about GROUP_PIECES short pieces each, more of them if they are tiny.
+
+    A document has at most one piece that isn't full. Only the length of texts is read.
+    """
+    n, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()
+    return max(1, min(-(-n // GROUP_PIECES), -(-(size + n) // (TOKEN_BYTES * limit * GROUP_SEQUENCES))))
+
+
 def place(demand: np.ndarray, capacity: np.ndarray, weights: np.ndarray, rule: str = "norm") -> tuple[np.ndarray, np.ndarray]:
     """(bin, position in its bin's order) of each item; demand has a row of resources per item, in placing order.
 
@@ -98,9 +110,10 @@ def place(demand: np.ndarray, capacity: np.ndarray, weights: np.ndarray, rule: s
     return chosen, order
 
 
-def best_fit(items: DataFrame, limit: int = 1024, max_pieces: int = 1024, max_cost: int = 1024 * 1024,
-             weights: tuple = (1.0, 0.0, 0.0), rule: str = "norm", groups: int | None = None) -> DataFrame:
+def best_fit(items: DataFrame, limit: int = 1024, max_pieces: int | None = None, max_cost: int | None = None,
+             weights: tuple = WEIGHTS, rule: str = "norm", groups: int | None = None) -> DataFrame:
     """Add sequence_id and offset to rows with a `length`; `groups` defaults to one per GROUP_PIECES rows."""
+    max_pieces, max_cost = limit if max_pieces is None else max_pieces, limit ** 2 if max_cost is None else max_cost
     items = items.drop("sequence_id", "offset")
     groups = groups or max(1, -(-items.count() // GROUP_PIECES))
     rows = items.withColumn("__group", F.pmod(F.xxhash64(*items.columns), F.lit(groups)).cast("int"))

@@ -91,12 +91,11 @@ def op4_quality(spark, sf_dir):
 
 @query
 def op5_packing(spark, sf_dir):
-    """All documents as token pieces, packed into sequences of at most 1024 tokens and MAX_PIECES pieces."""
+    """All documents as token pieces, packed into sequences of at most 1024 tokens."""
     docs = documents(spark, sf_dir)
     pieces = packing.token_pieces(docs, vocabulary(), limit=1024, end=2)
     pieces = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
-    groups = -(-docs.count() // packing.GROUP_PIECES)  # a document has at most one piece that isn't full
-    return packing.best_fit(pieces, limit=1024, max_pieces=packing.MAX_PIECES, weights=packing.WEIGHTS, groups=max(1, groups))
+    return packing.best_fit(pieces, limit=1024, groups=packing.groups_for(docs, limit=1024))
 
 
 @query

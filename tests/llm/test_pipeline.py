@@ -65,13 +65,30 @@ def test_stages_do_what_they_say(spark, folder, library):
     assert len({r.sequence_id for r in packed}) <= sum(tokens.values()) / 1024 * 1.1 + 1
 
 
-def test_sequences_hold_a_bounded_number_of_pieces(spark, tmp_path):
-    rows = [(i, "a" if i else "b " * 900, "en", "s", 1) for i in range(300)]
+def test_tiny_texts_fill_their_sequences(spark, tmp_path, library):
+    rows = [(i, " a" * (i % 6), "en", "s", 1) for i in range(9000)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    tokens = sum(len(library.encode(r[1], add_special_tokens=False).ids) + 1 for r in rows)
     for got in (corpus_pipeline.pack_sequences(spark, docs, str(tmp_path)), queries.QUERIES["op5_packing"](spark, str(tmp_path))):
         got = got.collect()
-        assert len(got) == 300 and max(Counter(r.sequence_id for r in got).values()) == packing.MAX_PIECES
+        assert len(got) == 9000 and len({r.sequence_id for r in got}) <= -(-tokens // 1024) * 1.01 + 1
+
+
+def test_smaller_capacities_bind(spark):
+    items = spark.createDataFrame([(i, 1 + i % 40) for i in range(3000)], "doc_id long, length long")
+    for limits, value in (({"max_pieces": 7}, lambda lengths: len(lengths) <= 7), ({"max_cost": 9000}, lambda lengths: sum(n * n for n in lengths) <= 9000)):
+        got = {}
+        for r in packing.best_fit(items, limit=1024, **limits).collect():
+            got.setdefault(r.sequence_id, []).append(r.length)
+        assert all(map(value, got.values())) and len(got) > 3000 * 20.5 / 1024
+
+
+def test_an_empty_table_stays_empty(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score string"
+    spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
 def test_near_copies_with_repeated_and_null_ids(spark):
