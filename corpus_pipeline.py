@@ -1,7 +1,8 @@
 """A training-data pipeline over `documents`: quality classifier, near-duplicate join, substring dedup, packing.
 
 Each stage takes (spark, docs, sf_dir), works on all that the one before kept, and returns the columns of documents; the
-last one returns token pieces with their places. `n_chars` follows the text where a stage changes it.
+last one returns token pieces with their places. `n_chars` follows the text where a stage changes it. A very long text is one
+row, which must fit in a task. An empty table stays empty through all stages. Further columns are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -50,11 +51,10 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces of all texts, placed in sequences of at most LIMIT tokens and MAX_PIECES pieces."""
+    """Token pieces of all texts, placed in sequences of at most LIMIT tokens."""
     pieces = packing.token_pieces(docs, vocabulary(), limit=LIMIT, end=2)
-    return packing.best_fit(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), limit=LIMIT,
-                            max_pieces=packing.MAX_PIECES, weights=packing.WEIGHTS,
-                            groups=max(1, -(-docs.count() // packing.GROUP_PIECES)))
+    pieces = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    return packing.best_fit(pieces, limit=LIMIT, groups=packing.groups_for(docs, limit=LIMIT))
 
 
 STAGES = [
