@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import rules as ru
 from ..session import scratch_path
 from ..streaming import detect as sd
+from ..streaming import ordered as so
 from . import detectors as dt
 from .fixture import from_events, table, with_ev
 from .registry import ORACLES, query
@@ -31,6 +32,42 @@ def run(stream: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(path)
 
 
+END = "9999-end-of-input"
+DAY = timedelta(days=1)
+FILES = 4
+
+
+def end_marker(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row whose time closes every window; its host and address are END."""
+    schema = table(spark, sf_dir, "events").schema
+    return spark.createDataFrame([(-1, datetime(2300, 1, 1), 0, "error", 0.0, '{"k": 0}')], schema)
+
+
+def marked(ev: DataFrame) -> DataFrame:
+    """Events with the end marker told apart from all others."""
+    last = F.col("seq") == -1
+    return ev.withColumns({c: F.when(last, END).otherwise(F.col(c)) for c in ("hostname", "source_ip")})
+
+
+def arriving(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
+    """The events as FILES files in time order, one a micro-batch, and how late rows come: every fifth is a file late.
+
+    The end marker is a file of its own.
+    """
+    rows = table(spark, sf_dir, "events")
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    cuts = rows.select(F.percentile(us, [i / FILES for i in range(FILES + 1)])).first()[0]
+    part = sum((us >= int(c)).cast("int") for c in cuts[1:-1])
+    part = F.least(part + (F.col("event_id") % 5 == 0).cast("int"), F.lit(FILES - 1))
+    path = scratch_path(spark, "arriving")
+    for i in range(FILES):
+        rows.filter(part == i).coalesce(1).write.mode("append").parquet(path)
+    end_marker(spark, sf_dir).coalesce(1).write.mode("append").parquet(path)
+    late = max(cuts[min(i + 2, FILES)] - cuts[i] for i in range(FILES))
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return marked(from_events(stream)), f"{int(late // 1_000_000) + 1} seconds"
+
+
 PLAIN = {r: w for r, w in MATCHES.items() if r not in ("ssh-brute-force-001", "win-failed-logon-001")}
 HITS_SQL = "hits AS (" + " UNION ALL ".join(
     [f"SELECT '{r}' AS rule_id, seq, ts, hostname FROM ev WHERE {w}" for r, w in PLAIN.items()]
@@ -51,8 +88,23 @@ def stream_rules(spark, sf_dir):
 @query("stream_count", with_ev(C13_SQL, select="""
 SELECT hostname, source_ip, us AS fired_us, lo AS seq_lo, hi AS seq_hi, n AS n_events FROM c13"""))
 def stream_count(spark, sf_dir):
-    """H3: the counting rule with keyed state."""
-    return run(sd.count_alerts(event_stream(spark, sf_dir), count_rule()), "stream-count")
+    """The counting rule with keyed state, over rows that arrive in several files and late."""
+    stream, delay = arriving(spark, sf_dir)
+    return run(so.count_alerts(stream, count_rule(), delay=delay, slice=DAY), "stream-count")
+
+
+@query("stream_enum", with_ev(dt.D2_SQL, select="SELECT source_ip, us AS fired_us, lo AS seq_lo, hi AS seq_hi, n AS n_events FROM d2"))
+def stream_enum(spark, sf_dir):
+    """Account enumeration with keyed state, over rows that arrive in several files and late."""
+    stream, delay = arriving(spark, sf_dir)
+    return run(so.enum_alerts(stream, dt.CFG.enum_users, delay, DAY), "stream-enum")
+
+
+@query("stream_stuffing", with_ev(dt.D3_SQL, select="SELECT source_ip, us AS fired_us, lo AS seq_lo, hi AS seq_hi, n AS n_events FROM d3"))
+def stream_stuffing(spark, sf_dir):
+    """H3, D3: credential stuffing with keyed state, over rows that arrive in several files and late."""
+    stream, delay = arriving(spark, sf_dir)
+    return run(so.stuffing_alerts(stream, dt.STUFFING.failures, dt.STUFFING.window, delay, DAY), "stream-stuffing")
 
 
 @query("stream_dedup", with_ev(HITS_SQL, select="""
@@ -63,17 +115,12 @@ def stream_dedup(spark, sf_dir):
         "rule_id", "hostname", F.col("minute").cast("timestamp_ntz").alias("minute"))
 
 
-END = "9999-end-of-input"
-
-
 def closed_stream(spark, sf_dir) -> DataFrame:
-    """The events stream and one late marker row, whose time closes every window; the marker's host is END."""
+    """The events stream and the end marker."""
     path = scratch_path(spark, "end-of-input")
-    schema = table(spark, sf_dir, "events").schema
-    marker = spark.createDataFrame([(-1, datetime(2300, 1, 1), 0, "error", 0.0, '{"k": 0}')], schema)
+    marker = end_marker(spark, sf_dir)
     marker.coalesce(1).write.parquet(path)
-    end = from_events(spark.readStream.schema(schema).parquet(path)).withColumn("hostname", F.lit(END))
-    return event_stream(spark, sf_dir).unionByName(end)
+    return event_stream(spark, sf_dir).unionByName(marked(from_events(spark.readStream.schema(marker.schema).parquet(path))))
 
 
 @query("stream_windows", with_ev("""

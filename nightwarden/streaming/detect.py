@@ -1,21 +1,16 @@
-"""Structured Streaming forms of the operators (H1-H8, A7). They use the batch Column builders."""
+"""Structured Streaming forms of the operators (H1, H2, H4-H8, A7; H3 is in `ordered`). They use the batch Column builders."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import timedelta
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.predicates import is_success_auth
 from ..operators import rules as ru
 from ..plans.analysis import AnalysisConfig, analyze
-from ..schema import with_micros
 from ..session import stages
 from ..sources.lines import parse_lines
 
@@ -55,51 +50,6 @@ def rule_hits(events: DataFrame, rules: list[ru.Rule], work_hours: tuple[int, in
     return hits.unionByName(late)
 
 
-COUNT_OUTPUT = "hostname string, source_ip string, fired_us long, seq_lo long, seq_hi long, n_events long"
-
-
-def count_alerts(
-    events: DataFrame, rule: ru.Rule, window: timedelta = timedelta(minutes=5), threshold: int | None = None,
-    delay: str = "10 minutes",
-) -> DataFrame:
-    """H3: a counting rule on a stream; fires at n matches of one host and address within the window, then clears.
-
-    The state of a key is at most n-1 matches; it expires one window after the latest. Inside a micro-batch rows are
-    put in time order; a row older than what an earlier batch already counted is taken as it comes. How many rows
-    one batch holds is the source's rate limit (maxFilesPerTrigger or maxBytesPerTrigger). Matches without a readable
-    time are left out, as in batch; `untimed` counts them.
-    """
-    n = threshold or rule.threshold()
-    width = (rule.timeframe or window) // timedelta(microseconds=1)
-
-    def step(key, batches, state: GroupState):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        held = list(zip(*state.get)) if state.exists else []
-        rows = pd.concat([b[["us", "seq"]] for b in batches]).sort_values(["us", "seq"])
-        fired = []
-        for us, seq in zip(rows["us"].tolist(), rows["seq"].tolist()):
-            held = [h for h in held if h[0] >= us - width]
-            held.append((us, seq))
-            if len(held) >= n:
-                fired.append((*key, us, held[0][1], seq, len(held)))
-                held = []
-        state.update(([h[0] for h in held], [h[1] for h in held]))
-        if held:
-            due = max(h[0] for h in held) + width
-            state.setTimeoutTimestamp(max(due // 1000 + 1, state.getCurrentWatermarkMs() + 1))
-        elif state.exists:
-            state.remove()
-        yield pd.DataFrame(fired, columns=["hostname", "source_ip", "fired_us", "seq_lo", "seq_hi", "n_events"]).astype(
-            {c: np.int64 for c in ("fired_us", "seq_lo", "seq_hi", "n_events")})
-
-    matches = with_micros(ru.with_matches(events.withWatermark("ts", delay), [rule]).filter("__rule_0 AND ts IS NOT NULL")).select(
-        "hostname", F.coalesce("source_ip", F.lit("")).alias("source_ip"), "ts", "us", "seq")
-    return matches.groupBy("hostname", "source_ip").applyInPandasWithState(
-        step, COUNT_OUTPUT, "held_us array<long>, held_seq array<long>", "append", GroupStateTimeout.EventTimeTimeout)
-
-
 def untimed(events: DataFrame) -> DataFrame:
     """How many rows per file have no readable time, so that windows and counting rules can't place them."""
     return events.filter("ts IS NULL").groupBy("source_file").agg(F.count("*").alias("rows"))

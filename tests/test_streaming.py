@@ -1,5 +1,7 @@
 """Streams give what the batch operators give."""
 
+import random
+from datetime import timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +10,7 @@ from nightwarden.operators import rules as ru
 from nightwarden.plans.analysis import AnalysisConfig
 from nightwarden.schema import EVENT_SCHEMA
 from nightwarden.streaming import detect as sd
+from nightwarden.streaming import ordered as so
 
 from . import helpers as h
 
@@ -15,6 +18,9 @@ RULE = ru.parse_rule({"title": "t", "detection": {
     "selection": {"status": "failure"}, "timeframe": "60s", "condition": "selection | count() >= 3"}}, "t")
 
 
+CLOSING = [h.failure(ip="end", at=10**8)]  # its time closes all that is open
+
+
 def write_parts(spark, folder, parts):
     """One parquet folder per part, in arrival order."""
     seq = 0
@@ -34,9 +40,10 @@ def test_count_state_carries_over_files(spark, tmp_path):
         [h.failure(at=0), h.failure(at=10), h.failure(ip="2.2.2.2", at=5)],
         [h.failure(at=55), h.failure(at=56), h.failure(ip="2.2.2.2", at=70)],
         [h.failure(at=58), h.failure(at=59), h.failure(at=200)],
+        CLOSING,
     ])
     out = str(tmp_path / "out")
-    query = sd.to_table(sd.count_alerts(read_stream(spark, tmp_path), RULE, delay="1 hour"), out, f"{out}-cp")
+    query = sd.to_table(so.count_alerts(read_stream(spark, tmp_path), RULE, delay="1 hour"), out, f"{out}-cp")
     query.awaitTermination()
     got = h.rows(spark.read.parquet(out), "source_ip", "seq_lo", "seq_hi", "n_events")
     batch = ru.count_evidence(spark.read.parquet(str(tmp_path / "p")), RULE)
@@ -45,6 +52,65 @@ def test_count_state_carries_over_files(spark, tmp_path):
     assert got == want and len(got) == 2
 
 
+def arrivals(seed, n=400, files=5):
+    """Rows in time order, dealt to files with some of them late, and the closing row; (files, rows in order of time and seq)."""
+    rng = random.Random(seed)
+    at, rows = 0, []
+    for _ in range(n):
+        at += rng.choice([0, 1, 5, 20, 90])
+        make = h.failure if rng.random() < 0.8 else h.success
+        rows.append(make(ip=rng.choice(["1.1.1.1", "1.1.1.1", "2.2.2.2"]), user=f"u{rng.randrange(6)}", at=at))
+    parts = [[] for _ in range(files)]
+    for i, r in enumerate(rows):
+        parts[min(files - 1, i * files // n + (rng.random() < 0.2))].append(r)
+    for p in parts:
+        rng.shuffle(p)
+    return [*parts, CLOSING]
+
+
+@pytest.mark.parametrize("seed,slice_s", [(1, 60), (2, 7), (3, 100_000)])
+def test_detectors_on_streams_equal_their_definitions(spark, tmp_path, seed, slice_s):
+    parts = arrivals(seed)
+    write_parts(spark, str(tmp_path), parts)
+    mine, width = {}, 120
+    for r in sorted((r for p in parts for r in p), key=lambda r: (r["at"], r["seq"])):
+        mine.setdefault(r["source_ip"], []).append(r)
+    span = timedelta(seconds=slice_s)
+    delay = f"{max(r['at'] for r in parts[-2])} seconds"
+    runs = {
+        "enum": (so.enum_alerts(read_stream(spark, tmp_path), 4, delay, span),
+                 lambda rs: h.loop_distinct([(r["username"], r["seq"]) for r in rs if r["status"] == "failure"], 4)),
+        "stuffing": (so.stuffing_alerts(read_stream(spark, tmp_path), 3, timedelta(seconds=width), delay, span),
+                     lambda rs: h.loop_stuffing([(h.US0 + r["at"] * 10**6, r["seq"], r["status"] == "failure") for r in rs], 3, width * 10**6)),
+        "count": (so.count_alerts(read_stream(spark, tmp_path), RULE, delay=delay, slice=span),
+                  lambda rs: h.loop_count([(r["at"], r["seq"]) for r in rs if r["status"] == "failure"], 3, 60)),
+    }
+    for name, (stream, loop) in runs.items():
+        out = str(tmp_path / name)
+        sd.to_table(stream, out, f"{out}-cp").awaitTermination()
+        got = h.rows(spark.read.parquet(out), "source_ip", "seq_lo", "seq_hi", "n_events")
+        want = sorted((ip, *f) for ip, rs in mine.items() for f in loop(rs))
+        assert got == want and len(want) > 10
+
+
+def test_state_holds_slices_and_shrinks(spark, tmp_path):
+    """Rows of a key wait by slice; once all has been decided, only what the next row needs is kept."""
+    write_parts(spark, str(tmp_path), [[h.failure(at=i, user=f"u{i % 3}") for i in range(300)], [h.failure(at=i, user="u1") for i in range(300, 600)], CLOSING])
+    out = str(tmp_path / "out")
+    query = sd.to_table(so.stuffing_alerts(read_stream(spark, tmp_path), 10, timedelta(seconds=60), "10 seconds", timedelta(seconds=5)), out, f"{out}-cp")
+    query.awaitTermination()
+    rows = [p.stateOperators[0].numRowsTotal for p in query.recentProgress if p.stateOperators]
+    assert max(rows) > 60 and rows[-1] <= 60 and spark.read.parquet(out).count() == 0
+
+
+def test_rows_behind_the_watermark_are_counted(spark, tmp_path):
+    write_parts(spark, str(tmp_path), [[h.failure(at=a) for a in (0, 1)], [h.failure(at=5000)], [h.failure(at=5001)], [h.failure(at=2), h.failure(at=5002)], CLOSING])
+    out = str(tmp_path / "out")
+    query = sd.to_table(so.count_alerts(read_stream(spark, tmp_path), RULE, delay="1 minute"), out, f"{out}-cp")
+    query.awaitTermination()
+    assert sd.late_rows(query) == 1 and spark.read.parquet(out).count() == 0
+
+
 def test_dedup_over_files_and_late_rows(spark, tmp_path):
     hits = [{"at": 0, "event_id": 4698}, {"at": 30, "event_id": 4698}, {"at": 60, "event_id": 4698}]
     write_parts(spark, str(tmp_path), [[dict(r) for r in hits], [dict(r) for r in hits], [{"at": 7200, "event_id": 4698}],
@@ -91,8 +157,8 @@ def test_numbered_lines_are_unique_in_a_batch(spark, parts):
 
 
 def test_rows_without_a_time_do_not_stop_a_count(spark, tmp_path):
-    write_parts(spark, str(tmp_path), [[h.failure(at=0), h.failure(at=None), h.failure(at=10)], [h.failure(at=None), h.failure(at=20)]])
+    write_parts(spark, str(tmp_path), [[h.failure(at=0), h.failure(at=None), h.failure(at=10)], [h.failure(at=None), h.failure(at=20)], CLOSING])
     out = str(tmp_path / "out")
-    sd.to_table(sd.count_alerts(read_stream(spark, tmp_path), RULE, delay="1 hour"), out, f"{out}-cp").awaitTermination()
+    sd.to_table(so.count_alerts(read_stream(spark, tmp_path), RULE, delay="1 hour"), out, f"{out}-cp").awaitTermination()
     assert [r.n_events for r in spark.read.parquet(out).collect()] == [3]
     assert [r["rows"] for r in sd.untimed(spark.read.parquet(str(tmp_path / "p"))).collect()] == [2]
