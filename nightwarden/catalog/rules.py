@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.predicates import event_projection, is_failed_auth, is_success_auth
 from ..functions.severity import attack_tactics, attack_techniques, level_to_severity, severity_weight
 from ..operators import rules as ru
+from ..operators.rule_index import match_indexed
 from .detectors import FAILED, SUCCESS
 from .fixture import DAY_US, events, table, with_ev
 from .registry import query
@@ -232,3 +233,38 @@ def rules_by_severity(spark, sf_dir):
     return ru.rules_by_severity(listed).select(
         "rule_id", "severity", "weight", F.array_join("techniques", ",").alias("techniques"),
         F.coalesce("matches", F.lit(0)).alias("matches"))
+
+
+INDEXED_USERS = 500
+
+
+def user_rules(spark, sf_dir) -> list[ru.Rule]:
+    """Four rules for each of the first INDEXED_USERS users of the events: on values, texts, exceptions and alternatives."""
+    users = [r[0] for r in table(spark, sf_dir, "events").select("user_id").distinct().orderBy("user_id").limit(INDEXED_USERS).collect()]
+
+    def detections(u: int) -> list[dict]:
+        return [
+            {"a": {"TargetUserName": f"USER{u}", "EventID": [4625, 4672]}, "condition": "a"},
+            {"a": {"message|contains": f"for user{u} from 8.8", "status": "failure"}, "condition": "a"},
+            {"a": {"user": f"user{u}", "channel": "security"}, "b": {"computer|endswith": ["1", "unknown"]}, "condition": "a and not b"},
+            {"a": {"commandline|startswith": "/usr/bin", "user": f"user{u}"}, "b": {"message|startswith": "Page viewed", "user": f"user{u}"},
+             "condition": "1 of them"},
+        ]
+
+    return [ru.parse_rule({"id": f"u{u}-{t}", "title": "t", "detection": d}, "r") for u in users for t, d in enumerate(detections(u))]
+
+
+@query("rule_index_scan", with_ev(f"""
+u AS (SELECT DISTINCT user_id FROM events ORDER BY user_id LIMIT {INDEXED_USERS}),
+h AS (
+  SELECT user_id, seq, 0 AS t FROM ev WHERE event_id IN (4625, 4672)
+  UNION ALL SELECT user_id, seq, 1 FROM ev WHERE message LIKE '%for user%' AND source_ip LIKE '8.8%' AND status = 'failure'
+  UNION ALL SELECT user_id, seq, 2 FROM ev WHERE channel = 'Security' AND NOT (hostname = 'host1' OR hostname = 'unknown')
+  UNION ALL SELECT user_id, seq, 3 FROM ev WHERE command_line LIKE '/usr/bin%' OR kind = 'view')""",
+    select="SELECT 'u' || user_id || '-' || t AS rule_id, seq FROM h JOIN u USING (user_id)"))
+def rule_index_scan(spark, sf_dir):
+    """C14: thousands of rules by the predicate-counting index, over all events."""
+    rules = user_rules(spark, sf_dir)
+    hits = match_indexed(events(spark, sf_dir), rules, carry=("seq",))
+    ids = spark.createDataFrame([(i, r.id) for i, r in enumerate(rules)], "rule_ord int, rule_id string")
+    return hits.join(ids, "rule_ord").select("rule_id", "seq")
