@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
 
 from pyspark.sql import functions as F
 
@@ -181,18 +182,24 @@ def keyword_rules(spark, sf_dir):
 
 COUNT_RULE = {"title": "Failed logons", "level": "high", "tags": ["attack.credential_access", "attack.t1110"],
               "detection": {"selection": {"EventID": 4625}, "timeframe": "3d", "condition": "selection | count() >= 4"}}
-C13_SQL = f"""
-c13_in AS (SELECT hostname, source_ip, us, seq, row_number() OVER (PARTITION BY hostname, source_ip ORDER BY us, seq) AS rn
-  FROM ev WHERE event_id = 4625),
-c13_walk AS (
-  SELECT hostname, source_ip, rn, us, seq, [{{'us': us, 'seq': seq}}] AS held, false AS fire FROM c13_in WHERE rn = 1
+
+
+def greedy_sql(name: str, source: str, condition: str, days: int, n: int) -> str:
+    """CTEs for a counting rule per host and address: n matches within the days, then from zero."""
+    held = f"CASE WHEN w.fire THEN [] ELSE list_filter(w.held, lambda x: x.us >= i.us - {days * DAY_US}) END"
+    return f"""
+{name}_in AS (SELECT hostname, source_ip, us, seq, row_number() OVER (PARTITION BY hostname, source_ip ORDER BY us, seq) AS rn
+  FROM {source} WHERE {condition}),
+{name}_walk AS (
+  SELECT hostname, source_ip, rn, us, seq, [{{'us': us, 'seq': seq}}] AS held, false AS fire FROM {name}_in WHERE rn = 1
   UNION ALL
   SELECT i.hostname, i.source_ip, i.rn, i.us, i.seq,
-    list_append(CASE WHEN w.fire THEN [] ELSE list_filter(w.held, lambda x: x.us >= i.us - {3 * DAY_US}) END,
-                {{'us': i.us, 'seq': i.seq}}),
-    len(CASE WHEN w.fire THEN [] ELSE list_filter(w.held, lambda x: x.us >= i.us - {3 * DAY_US}) END) + 1 >= 4
-  FROM c13_walk w JOIN c13_in i ON i.hostname = w.hostname AND i.source_ip = w.source_ip AND i.rn = w.rn + 1),
-c13 AS (SELECT hostname, source_ip, us, held[1].seq AS lo, seq AS hi, len(held) AS n, held FROM c13_walk WHERE fire)"""
+    list_append({held}, {{'us': i.us, 'seq': i.seq}}), len({held}) + 1 >= {n}
+  FROM {name}_walk w JOIN {name}_in i ON i.hostname = w.hostname AND i.source_ip = w.source_ip AND i.rn = w.rn + 1),
+{name} AS (SELECT hostname, source_ip, us, held[1].seq AS lo, seq AS hi, len(held) AS n, held FROM {name}_walk WHERE fire)"""
+
+
+C13_SQL = greedy_sql("c13", "ev", "event_id = 4625", 3, 4)
 
 
 def count_rule() -> ru.Rule:
@@ -210,24 +217,25 @@ def rule_count_greedy(spark, sf_dir):
         "first_host", F.array_join("techniques", ",").alias("techniques"), F.array_join("tactics", ",").alias("tactics"))
 
 
-def _rules_by_severity_sql() -> str:
-    """One line per bundled rule, stated here so the SQL side does not depend on the loader."""
-    rows = [
-        ("ssh-brute-force-001", "high", 4, "T1110,T1110.001"), ("login-after-failures-001", "high", 4, "T1110,T1078"),
-        ("sudo-root-001", "medium", 3, "T1548,T1548.003"), ("win-audit-clear-001", "critical", 5, "T1070,T1070.001"),
-        ("win-failed-logon-001", "high", 4, "T1110,T1110.003"), ("win-schtask-001", "medium", 3, "T1053,T1053.005"),
-        ("win-lolbins-001", "high", 4, "T1218,T1059"),
-    ]
-    counts = "\nUNION ALL\n".join(
-        f"SELECT '{r}' AS rule_id, '{s}' AS severity, {w} AS weight, '{t}' AS techniques, "
-        f"(SELECT count(*) FROM ev WHERE {MATCHES[r]}) AS matches" for r, s, w, t in rows)
-    return with_ev(f"c AS ({counts})", select="SELECT * FROM c ORDER BY weight DESC")
+# Stated here so the SQL side does not depend on the loader: severity, weight and two techniques of each bundled rule.
+LISTED = [
+    ("ssh-brute-force-001", "high", 4, "T1110,T1110.001"), ("login-after-failures-001", "high", 4, "T1110,T1078"),
+    ("sudo-root-001", "medium", 3, "T1548,T1548.003"), ("win-audit-clear-001", "critical", 5, "T1070,T1070.001"),
+    ("win-failed-logon-001", "high", 4, "T1110,T1110.003"), ("win-schtask-001", "medium", 3, "T1053,T1053.005"),
+    ("win-lolbins-001", "high", 4, "T1218,T1059"),
+    ("3f7c9e25-d1a8-4b6f-c2e0-8a5d3f7b9c1e", "high", 4, "T1110"), ("9c3f5e27-b4d1-4a7c-8b2e-3c8f1d5a7b9e", "medium", 3, "T1136,T1136.001"),
+    ("7b2e4f18-a3c9-4d6b-8e1f-2a9c5d7b0e3f", "high", 4, "T1078.003"), ("4a7c3d21-b2f1-4e8a-9c0d-5f8e2a1b3c4d", "medium", 3, "T1110,T1110.001"),
+    ("2d8a6c14-e5b9-4f3c-9a7d-1b4e6c8f2a0d", "high", 4, "T1548.003"), ("5e9b1d37-c6f2-4a8e-b3c5-7d0f2e4a8b1c", "critical", 5, "T1136,T1078.003"),
+]
+EVERY_MATCH = MATCHES | {r: _has_any("message", words) for r, words in KEYWORDS.items()}
 
 
-@query("rules_by_severity", _rules_by_severity_sql())
+@query("rules_by_severity", with_ev("c AS (" + "\nUNION ALL\n".join(
+    f"SELECT '{r}' AS rule_id, '{s}' AS severity, {w} AS weight, '{t}' AS techniques, "
+    f"(SELECT count(*) FROM ev WHERE {EVERY_MATCH[r]}) AS matches" for r, s, w, t in LISTED) + ")", select="SELECT * FROM c ORDER BY weight DESC"))
 def rules_by_severity(spark, sf_dir):
-    """The field rules by severity with two techniques each, and how many events each matches."""
-    rules = [r for r in ru.load_rules()[0] if "keywords" not in r.selections]
+    """All rules by severity with two techniques each, and how many events each matches."""
+    rules, _ = ru.load_rules()
     counts = ru.match_rules(events(spark, sf_dir), rules).groupBy("rule_ord").agg(F.count("*").alias("matches"))
     listed = ru.rules_table(spark, rules).join(counts, "rule_ord", "left")
     return ru.rules_by_severity(listed).select(
@@ -235,6 +243,44 @@ def rules_by_severity(spark, sf_dir):
         F.coalesce("matches", F.lit(0)).alias("matches"))
 
 
+# What some events of the table say and stand for instead, by their k, so that every bundled rule has something to find.
+TOLD = {
+    10: "error: maximum authentication attempts exceeded for ", 11: "useradd[7]: new user: UID=0, name=", 12: "Accepted publickey for root, key of ",
+    13: "sudo: COMMAND=/bin/zsh by ", 14: "pam_unix(sshd:auth): authentication failure; uid=0 user=",
+}
+SEEN = {50: 1102, 51: 4698}
+SPIKE = timedelta(days=60)
+
+
+def told_events(spark, sf_dir):
+    """The events with TOLD and SEEN in place."""
+    ev = events(spark, sf_dir)
+    k = F.element_at(F.split(F.try_element_at("raw", F.lit("TaskName")), r"\\"), -1).cast("int")
+    message, event_id = F.col("message"), F.col("event_id")
+    for at, text in TOLD.items():
+        message = F.when(k == at, F.concat(F.lit(text), "username")).otherwise(message)
+    for at, number in SEEN.items():
+        event_id = F.when(k == at, number).otherwise(event_id)
+    return ev.withColumns({"message": message, "event_id": event_id.cast("int")})
+
+
+TOLD_SQL = ("told AS (SELECT * REPLACE (CASE k " + " ".join(f"WHEN {k} THEN '{t}' || username" for k, t in TOLD.items()) + " ELSE message END AS message, CASE k "
+            + " ".join(f"WHEN {k} THEN {n}" for k, n in SEEN.items()) + " ELSE event_id END AS event_id) FROM ev)")
+COUNTED = {"ssh-brute-force-001": 6, "win-failed-logon-001": 11}  # more than 5, more than 10
+
+
+@query("bundled_rules_fire", with_ev(
+    TOLD_SQL, *(greedy_sql(f"count{n}", "told", MATCHES[r], SPIKE.days, n) for r, n in COUNTED.items()),
+    select="\nUNION ALL\n".join(
+        [f"SELECT '{r}' AS rule_id, hostname || '|' || source_ip AS key_value, lo AS seq_lo, hi AS seq_hi, n AS n_events FROM count{n}"
+         for r, n in COUNTED.items()]
+        + [f"SELECT '{r}', hostname, seq, seq, 1 FROM told WHERE {w}" for r, w in EVERY_MATCH.items() if r not in COUNTED])))
+def bundled_rules_fire(spark, sf_dir):
+    """The alerts of all bundled rules; two of them fire by count."""
+    alerts, _ = ru.detect(told_events(spark, sf_dir), ru.load_rules()[0], SPIKE)
+    return alerts.select("rule_id", "key_value", "seq_lo", "seq_hi", "n_events")
+
+
 INDEXED_USERS = 500
 
 

@@ -14,7 +14,7 @@ from ..streaming import ordered as so
 from . import detectors as dt
 from .fixture import from_events, table, with_ev
 from .registry import ORACLES, query
-from .rules import C13_SQL, MATCHES, count_rule
+from .rules import C13_SQL, EVERY_MATCH, count_rule
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,15 +68,14 @@ def arriving(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
     return marked(from_events(stream)), f"{int(late // 1_000_000) + 1} seconds"
 
 
-PLAIN = {r: w for r, w in MATCHES.items() if r not in ("ssh-brute-force-001", "win-failed-logon-001")}
+PLAIN = {r: w for r, w in EVERY_MATCH.items() if r not in ("ssh-brute-force-001", "win-failed-logon-001")}
 HITS_SQL = "hits AS (" + " UNION ALL ".join(
     [f"SELECT '{r}' AS rule_id, seq, ts, hostname FROM ev WHERE {w}" for r, w in PLAIN.items()]
     + [f"SELECT 'threshold_after_hours_login', seq, ts, hostname FROM ev WHERE {dt.SUCCESS} AND NOT (hour(ts) >= 6 AND hour(ts) < 22)"]) + ")"
 
 
 def _hits(spark, sf_dir) -> DataFrame:
-    rules = [r for r in ru.load_rules()[0] if "keywords" not in r.selections]
-    return sd.rule_hits(event_stream(spark, sf_dir), rules)
+    return sd.rule_hits(event_stream(spark, sf_dir), ru.load_rules()[0])
 
 
 @query("stream_rules", with_ev(HITS_SQL, select="SELECT rule_id, seq, hostname FROM hits"))

@@ -13,7 +13,7 @@ TABLES = ("events documents pages conversations labels benchmark").split()
 QUICK = [
     "auth_flags", "rule_condition_mix", "rule_scan_all", "keyword_rules", "rules_by_severity", "authlog_event_mix",
     "json_category_status", "winxml_normalize", "brute_force", "brute_force_unbounded", "process_burst", "anomaly_features",
-    "numbered_actions", "activity_sessions",
+    "numbered_actions", "activity_sessions", "rule_index_scan", "bundled_rules_fire",
 ]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
@@ -33,6 +33,11 @@ def test_query_equals_sql(spark, name):
     assert canonical(map(tuple, got.select(*sorted(got.columns)).collect())) == canonical(want.fetchall())
 
 
+def test_every_bundled_rule_fires(spark):
+    rows = entry.queries()["bundled_rules_fire"](spark, "/root/testdata/sf0.01").groupBy("rule_id").max("n_events").collect()
+    assert len(rows) == 13 and {r.rule_id: r[1] for r in rows}["win-failed-logon-001"] == 11
+
+
 def test_registry_is_consistent(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert set(QUERIES) - set(ORACLES) == {"isolation_forest"}
