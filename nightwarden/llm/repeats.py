@@ -26,6 +26,7 @@ result are replaced by `attach`; others are not touched.
 from __future__ import annotations
 
 import uuid
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -42,7 +43,7 @@ from .ranges import partitions
 
 ANCHOR = 8
 PART = 20_000
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 
 
 def text_keys(text: str = "text"):
@@ -136,11 +137,14 @@ def locate(automaton: ahocorasick.Automaton, segments: Segments) -> tuple[np.nda
     """(segment, spans) of every occurrence of a phrase, overlapping ones merged; spans are rows of start and end word."""
     if not len(automaton):
         return np.zeros(0, np.int64), np.zeros((0, 2), np.int64)
-    ids, first, found = segments.ids.tolist(), segments.first.tolist(), []
+    ids, first = segments.ids.tolist(), segments.first.tolist()
+    starts, ends = array("q"), array("q")
     for i, (low, high) in enumerate(zip(first, first[1:])):
         base = low + i + 1  # a gap between segments keeps their spans apart
-        found += [(base + end - size, base + end) for end, size in automaton.iter(tuple(ids[low:high]))]
-    spans = _merged(np.array(found, np.int64).reshape(-1, 2))
+        for end, size in automaton.iter(tuple(ids[low:high])):
+            starts.append(base + end - size)
+            ends.append(base + end)
+    spans = _merged(np.column_stack([np.array(starts), np.array(ends)]))
     gaps = segments.first[:-1] + np.arange(len(first) - 1)
     owner = np.searchsorted(gaps, spans[:, 0], "right") - 1
     return owner, spans - gaps[owner, None]
@@ -170,12 +174,17 @@ def _lists(rows: pa.RecordBatch, columns: list[str], owner: np.ndarray, **values
     return pa.RecordBatch.from_arrays([*(taken.column(c) for c in columns), lists], [*columns, "spans"])
 
 
+def _slices(batch: pa.RecordBatch, size: int) -> Iterator[pa.RecordBatch]:
+    """The rows in slices of about `size` bytes, by their mean."""
+    step = max(1, batch.num_rows * size // max(batch.nbytes, 1))
+    for low in range(0, batch.num_rows, step):
+        yield batch.slice(low, step)
+
+
 def _whole_shards(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (shard, part) in batches of `size` bytes or more that hold whole shards."""
+    """Rows sorted by (shard, part) in batches of about `size` bytes, or of a larger shard, that hold whole shards."""
     held = None
-    for b in batches:
-        if not b.num_rows:
-            continue
+    for b in (part for whole in batches for part in _slices(whole, size // 4)):
         held = b if held is None else pa.concat_batches([held, b])
         if held.nbytes < size:
             continue
