@@ -107,9 +107,9 @@ def test_the_whole_run(spark, folder):
 
 def test_the_queries_are_registered():
     names = set(entry.queries())
-    assert {n: [q for q in names if re.match(rf"op{n}_", q)] for n in range(1, 11)} == {
-        n: [q for q in queries.QUERIES if re.match(rf"op{n}_", q)] for n in range(1, 11)}
-    assert len([q for q in names if re.match(r"op\d+_", q)]) == 10 and "pipeline" in names
+    assert {n: [q for q in names if re.match(rf"op{n}_", q)] for n in range(1, 14)} == {
+        n: [q for q in queries.QUERIES if re.match(rf"op{n}_", q)] for n in range(1, 14)}
+    assert len([q for q in names if re.match(r"op\d+_", q)]) == 13 and "pipeline" in names
 
 
 COLUMNS = {
