@@ -2,8 +2,8 @@
 
 A plain ``Window.partitionBy(key)`` puts a hot key into one task. Here every heavy step works on bounded pieces:
 
-* ``running_count`` orders rows inside (key, time slice) and adds the counts of the key's earlier slices, which come
-  from a small pre-aggregated table;
+* ``running_count`` cuts the order of all rows into ranges of about equally many rows, whatever their keys and times, and
+  adds what earlier ranges hold of a range's first key, the only one that can have begun before it;
 * ``shifted`` and ``fold_chunks`` cut a key by row position into chunks of at most ``chunk_rows`` rows. What crosses a
   chunk border is either a few overlapping rows (lag, lead) or a small state (greedy selection, distinct counting).
 
@@ -17,40 +17,76 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import cut_lineage
+
 SECOND = 1_000_000
-SLICE_US = 10 * SECOND
 CHUNK_ROWS = 65_536
 
 
+def counted_ranges(df: DataFrame, keys: list[str], order: list[str], unit: Column) -> DataFrame:
+    """df by ranges of (keys, order), with the number of its range and, in __inside, the running sum of unit per key in it.
+
+    The cuts are sampled quantiles of the rows, so a key or a time that many rows share is spread over ranges. Written
+    once, as cuts drawn again would differ; rows without a key or time have no place in the order and stay out.
+    """
+    placed = df.dropna(subset=[*keys, *order[:1]]).withColumn("__unit", unit)
+    fields = [*df.schema.fields, T.StructField("__range", T.IntegerType()), T.StructField("__inside", T.LongType())]
+
+    def number(batches):
+        last, carried = None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            opens = np.zeros(batch.num_rows, dtype=bool)
+            for k in keys:
+                column = batch.column(k)
+                opens[1:] |= pc.not_equal(column[1:], column[:-1]).to_numpy(zero_copy_only=False)
+            first = [batch.column(k)[0].as_py() for k in keys]
+            units = batch.column("__unit").to_numpy(zero_copy_only=False)
+            sums = np.cumsum(units)
+            opened = np.maximum.accumulate(np.where(opens, np.arange(len(units)), 0))
+            inside = sums - np.where(opened > 0, sums[opened - 1], 0)
+            inside[opened == 0] += carried if first == last else 0
+            last, carried = [batch.column(k)[-1].as_py() for k in keys], int(inside[-1])
+            yield batch.drop_columns(["__unit"]).append_column("__inside", pa.array(inside, pa.int64()))
+
+    return cut_lineage(
+        placed.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
+        .select(*df.columns, F.spark_partition_id().alias("__range"), "__unit").mapInArrow(number, T.StructType(fields)))
+
+
 def running_count(
     df: DataFrame,
     keys: list[str],
     out: str,
     order: list[str] = ("us", "seq"),
     flag: Column | None = None,
-    slice_us: int = SLICE_US,
 ) -> DataFrame:
-    """Add out: rows of the same key up to and including this one (only those where flag holds)."""
-    unit = F.lit(1).cast("long") if flag is None else flag.cast("long")
-    sliced = df.withColumn("__slice", F.expr(f"us div {slice_us}")).withColumn("__unit", unit)
-    earlier = Window.partitionBy(*keys).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+    """Add out: rows of the same key up to and including this one (only those where flag holds).
+
+    Rows without a key or a time are left out. Order columns tell all rows of a key apart.
+    """
+    unit = F.lit(1).cast("long") if flag is None else F.coalesce(flag.cast("long"), F.lit(0).cast("long"))
+    ranges = counted_ranges(df, list(keys), list(order), unit)
+    ends = ranges.groupBy("__range").agg(
+        F.min(F.struct(F.lit(0).alias("__zero"), *keys)).alias("__lo"),
+        F.max(F.struct(F.lit(0).alias("__zero"), *keys, *order, "__inside")).alias("__hi"))
+    head = F.struct(*[F.col(f"__hi.{k}") for k in ["__zero", *keys]])
+    so_far = Window.partitionBy("__key").orderBy("__range").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = Window.partitionBy(F.lit(0)).orderBy("__range")  # one row per range
     offsets = (
-        sliced.groupBy(*keys, "__slice").agg(F.sum("__unit").alias("__n"))
-        .select(*keys, "__slice", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
-    )
-    inside = (
-        Window.partitionBy(*keys, "__slice").orderBy(*order)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
+        ends.withColumn("__key", head).withColumn("__sum", F.sum("__hi.__inside").over(so_far))
+        .withColumn("__past", F.when(F.lag("__key").over(before) == F.col("__lo"), F.lag("__sum").over(before)))
+        .filter("__past IS NOT NULL").select("__range", *[F.col(f"__lo.{k}") for k in keys], "__past"))
     return (
-        sliced.withColumn("__inside", F.sum("__unit").over(inside))
-        .join(offsets, [*keys, "__slice"])
-        .withColumn(out, F.col("__before") + F.col("__inside"))
-        .drop("__slice", "__unit", "__inside", "__before")
+        ranges.join(F.broadcast(offsets), ["__range", *keys], "left")
+        .select(*df.columns, (F.col("__inside") + F.coalesce("__past", F.lit(0))).alias(out))
     )
 
 

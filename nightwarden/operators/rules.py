@@ -349,7 +349,7 @@ def count_evidence(
         with_micros(with_matches(events, [rule]).filter("__rule_0")).select(*EVIDENCE_EVENT_COLUMNS)
         .withColumn("__ip", F.coalesce("source_ip", F.lit("")))
     )
-    ranked = cut_lineage(running_count(matches, key, "rank"))
+    ranked = running_count(matches, key, "rank")
     able = (
         shifted(ranked, key, "us", 1 - n, "__nth_us", chunk_rows=chunk_rows)
         .filter(F.col("us") - F.col("__nth_us") <= width).select(*key, "rank"))

@@ -4,6 +4,7 @@ import random
 from datetime import timedelta
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from nightwarden.operators import ordered as o
@@ -51,7 +52,7 @@ def df(spark, data):
 
 
 def test_running_count(df, data):
-    got = h.rows(o.running_count(df, ["key"], "n", flag=F.col("failed"), slice_us=7_000_000), "key", "seq", "n")
+    got = h.rows(o.running_count(df, ["key"], "n", flag=F.col("failed")), "key", "seq", "n")
     want = []
     for key, rows in by_key(data).items():
         n = 0
@@ -61,6 +62,39 @@ def test_running_count(df, data):
     assert got == sorted(want)
 
 
+def test_running_count_spreads_one_key_at_one_time(spark):
+    """A third of the rows has one key and one time; rows without key or time have no place."""
+    n = 30_000
+    data = spark.range(n).select(
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 500)).alias("key"),
+        F.when(F.col("id") % 3 == 0, 86_400_000_000).otherwise(F.col("id") * 977 % 86_400_000_000).alias("us"),
+        ((F.col("id") * 7_919) % n).alias("seq"))
+    lost = data.limit(5).select("key", F.lit(None).cast("long").alias("us"), "seq").unionByName(
+        data.limit(5).select(F.lit(None).cast("string").alias("key"), "us", "seq"))
+    settings = {"spark.sql.shuffle.partitions": "24", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {name: spark.conf.get(name) for name in settings}
+    try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+        table = data.unionByName(lost)
+        sizes = [r["count"] for r in o.counted_ranges(table, ["key"], ["us", "seq"], F.lit(1).cast("long")).groupBy("__range").count().collect()]
+        got = o.running_count(table, ["key"], "rank")
+        w = Window.partitionBy("key").orderBy("us", "seq")
+        assert len(sizes) > 12 and sum(sizes) == n and max(sizes) <= 2 * sorted(sizes)[len(sizes) // 2]
+        assert got.count() == n
+        assert got.exceptAll(data.withColumn("rank", F.row_number().over(w).cast("long"))).count() == 0
+    finally:
+        for name, value in old.items():
+            spark.conf.set(name, value)
+
+
+def test_running_count_without_keys(spark):
+    data = spark.range(1_000).select((F.col("id") % 10).alias("us"), F.col("id").alias("seq"))
+    got = [(r.us, r.seq) for r in o.running_count(data, [], "rank").orderBy("rank").collect()]
+    assert got == sorted(got) and len(got) == 1_000
+    assert o.running_count(data.limit(0).withColumn("key", F.lit("a")), ["key"], "rank").count() == 0
+
+
 @pytest.mark.parametrize("offset", [3, -3])
 def test_shifted(df, data, offset):
     ranked = o.running_count(df, ["key"], "rank")
