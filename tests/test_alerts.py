@@ -1,5 +1,7 @@
 """De-duplication, correlation, incidents, report, anomaly scoring, and whole runs with known results."""
 
+import hashlib
+import math
 import random
 from datetime import datetime, timedelta
 
@@ -221,24 +223,59 @@ def test_too_few_events_give_no_scores(spark):
     assert an.score_events(h.events(spark, [{"at": i} for i in range(20)])).count() == 20
 
 
+def drawn_per_tree(df):
+    return {r.tree: r.n for r in df.groupBy("tree").agg(F.sum("drawn").alias("n")).collect()}
+
+
 def test_tree_samples_are_whole_or_exact(spark):
-    feats = an.features(h.events(spark, [{"at": i} for i in range(300)]))
-    sizes = {r["count"] for r in an.tree_samples(feats, 300, trees=5).groupBy("tree").count().collect()}
-    assert sizes == {256}
-    small = {r["count"] for r in an.tree_samples(feats.limit(30), 30, trees=5).groupBy("tree").count().collect()}
-    assert small == {30}
-
-
-def test_trees_see_the_whole_of_a_large_input(spark):
-    feats = spark.range(60_000).select(F.col("id").alias("seq"), *[F.lit(0.0).alias(f) for f in an.FEATURES])
-    drawn = an.tree_samples(feats, 60_000, trees=40).select("tree", "seq").collect()
-    per_tree = {}
-    for r in drawn:
-        per_tree.setdefault(r.tree, []).append(r.seq)
-    assert {len(v) for v in per_tree.values()} == {256} and len(per_tree) == 40
-    assert len({r.seq for r in drawn}) == 40 * 256
-    fifths = [sum(r.seq // 12_000 == i for r in drawn) for i in range(5)]
-    assert max(fifths) < 1.15 * min(fifths)
+    feats = an.vectors(an.features(h.events(spark, [{"at": i * 600} for i in range(300)])))
+    assert drawn_per_tree(an.tree_samples(feats, 300, trees=5)) == dict.fromkeys(range(5), 256)
+    small = feats.withColumn("n", F.lit(2).cast("long"))
+    total = 2 * small.count()
+    assert {r.drawn for r in an.tree_samples(small, total, trees=5).collect()} == {2}
+
+
+def test_samples_are_the_smallest_draws(spark):
+    """A vector of a third of the events and 300 rare ones, against all draws made one by one."""
+    counts = {0: 500, **{i: 1 + i % 5 for i in range(1, 301)}}
+    rows = [(*[float(v)] * len(an.FEATURES), n) for v, n in counts.items()]
+    feats = spark.createDataFrame(rows, ", ".join(f"{f} double" for f in an.FEATURES) + ", n long")
+    got = {(r.tree, int(r.hour_of_day)): r.drawn for r in an.tree_samples(feats, sum(counts.values()), 4, 40).collect()}
+    want = {}
+    for tree in range(4):
+        times = []
+        for v, n in counts.items():
+            name, at = "|".join([str(v)] * len(an.FEATURES)), 0.0
+            for j in range(1, n + 1):
+                u = (int(hashlib.md5(f"42|{tree}|{name}|{j}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+                at += -math.log(u) / (n - j + 1)
+                times.append((at, v))
+        for _, v in sorted(times)[:40]:
+            want[tree, v] = want.get((tree, v), 0) + 1
+    assert got == want
+
+
+def test_samples_follow_the_counts(spark):
+    """One vector has 60,000 events of 120,000, ten others share the rest: each tree's sample is drawn from all of them."""
+    rows = [(*[float(v)] * len(an.FEATURES), 60_000 if v == 0 else 6_000) for v in range(11)]
+    feats = spark.createDataFrame(rows, ", ".join(f"{f} double" for f in an.FEATURES) + ", n long")
+    drawn = an.tree_samples(feats, 120_000, trees=40)
+    assert set(drawn_per_tree(drawn).values()) == {256}
+    share = {int(r.hour_of_day): r.n / (40 * 256) for r in drawn.groupBy("hour_of_day").agg(F.sum("drawn").alias("n")).collect()}
+    assert abs(share[0] - 0.5) < 0.02 and all(abs(share[v] - 0.05) < 0.01 for v in range(1, 11))
+
+
+def test_leaves_hold_what_the_trees_drew(spark):
+    rows = [{"at": i * 977, "source_ip": "8.8.8.8" if i % 7 else None, "event_id": 4620 + i % 9} for i in range(700)]
+    distinct = an.vectors(an.features(h.events(spark, rows)))
+    samples = an.tree_samples(distinct, 700, trees=6, sample=64).cache()
+    nodes = an.grow(samples, 64).cache()
+    reached = an.leaves(distinct, nodes, 6, 64).join(samples, ["tree", *an.FEATURES])
+    got = {(r.tree, r.node): r.n for r in reached.groupBy("tree", "node").agg(F.sum("drawn").alias("n")).collect()}
+    assert got == {(r.tree, r.node): r.size for r in nodes.filter("feature = -1").collect()}
+    assert {r.size for r in nodes.filter("node = 0").collect()} == {64}
+    plan = an.score_vectors(distinct, nodes, 6, 64)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "MapInPandas" not in plan
 
 
 def test_scores_do_not_depend_on_partitioning(spark):
