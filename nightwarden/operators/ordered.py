@@ -29,17 +29,22 @@ SECOND = 1_000_000
 CHUNK_ROWS = 65_536
 
 
+FIRST, LAST = 1, 2
+
+
 def counted_ranges(df: DataFrame, keys: list[str], order: list[str], unit: Column) -> DataFrame:
-    """df by ranges of (keys, order), with the number of its range and, in __inside, the running sum of unit per key in it.
+    """df by ranges of (keys, order): the number of the range, __inside (the running sum of unit per key in it), and
+    __edge, which marks the FIRST and the LAST row of a range (or adds up both).
 
     The cuts are sampled quantiles of the rows, so a key or a time that many rows share is spread over ranges. Written
     once, as cuts drawn again would differ; rows without a key or time have no place in the order and stay out.
     """
     placed = df.dropna(subset=[*keys, *order[:1]]).withColumn("__unit", unit)
-    fields = [*df.schema.fields, T.StructField("__range", T.IntegerType()), T.StructField("__inside", T.LongType())]
+    fields = [*df.schema.fields, T.StructField("__range", T.IntegerType()), T.StructField("__inside", T.LongType()),
+              T.StructField("__edge", T.IntegerType())]
 
     def number(batches):
-        last, carried = None, 0
+        last, carried, held = None, 0, None
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -48,13 +53,20 @@ def counted_ranges(df: DataFrame, keys: list[str], order: list[str], unit: Colum
                 column = batch.column(k)
                 opens[1:] |= pc.not_equal(column[1:], column[:-1]).to_numpy(zero_copy_only=False)
             first = [batch.column(k)[0].as_py() for k in keys]
-            units = batch.column("__unit").to_numpy(zero_copy_only=False)
-            sums = np.cumsum(units)
-            opened = np.maximum.accumulate(np.where(opens, np.arange(len(units)), 0))
+            sums = np.cumsum(batch.column("__unit").to_numpy(zero_copy_only=False))
+            opened = np.maximum.accumulate(np.where(opens, np.arange(len(sums)), 0))
             inside = sums - np.where(opened > 0, sums[opened - 1], 0)
             inside[opened == 0] += carried if first == last else 0
+            edge = np.zeros(len(sums), dtype="int32")
+            if held is None:
+                edge[0] = FIRST
+            else:
+                yield held[0].append_column("__edge", pa.array(held[1]))
             last, carried = [batch.column(k)[-1].as_py() for k in keys], int(inside[-1])
-            yield batch.drop_columns(["__unit"]).append_column("__inside", pa.array(inside, pa.int64()))
+            held = batch.drop_columns(["__unit"]).append_column("__inside", pa.array(inside, pa.int64())), edge
+        if held is not None:
+            held[1][-1] += LAST
+            yield held[0].append_column("__edge", pa.array(held[1]))
 
     return cut_lineage(
         placed.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
@@ -74,16 +86,16 @@ def running_count(
     """
     unit = F.lit(1).cast("long") if flag is None else F.coalesce(flag.cast("long"), F.lit(0).cast("long"))
     ranges = counted_ranges(df, list(keys), list(order), unit)
-    ends = ranges.groupBy("__range").agg(
-        F.min(F.struct(F.lit(0).alias("__zero"), *keys)).alias("__lo"),
-        F.max(F.struct(F.lit(0).alias("__zero"), *keys, *order, "__inside")).alias("__hi"))
-    head = F.struct(*[F.col(f"__hi.{k}") for k in ["__zero", *keys]])
-    so_far = Window.partitionBy("__key").orderBy("__range").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = Window.partitionBy(F.lit(0)).orderBy("__range")  # one row per range
+    edges = ranges.filter("__edge > 0").withColumn("__key", F.struct(F.lit(0).alias("__zero"), *keys))
+    row = Window.partitionBy(F.lit(0)).orderBy("__range", "__edge")  # two rows per range at most
+    before = F.coalesce(
+        F.sum(F.when(F.col("__edge") >= LAST, F.col("__inside"))).over(row.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    goes_on = F.coalesce(F.lag("__key").over(row) == F.col("__key"), F.lit(False))
     offsets = (
-        ends.withColumn("__key", head).withColumn("__sum", F.sum("__hi.__inside").over(so_far))
-        .withColumn("__past", F.when(F.lag("__key").over(before) == F.col("__lo"), F.lag("__sum").over(before)))
-        .filter("__past IS NOT NULL").select("__range", *[F.col(f"__lo.{k}") for k in keys], "__past"))
+        edges.withColumns({"__before": before, "__goes_on": goes_on})
+        .withColumn("__base", F.last(F.when(~F.col("__goes_on"), F.col("__before")), ignorenulls=True).over(row))
+        .withColumn("__past", F.col("__before") - F.col("__base"))
+        .filter(f"__edge != {LAST} AND __past > 0").select("__range", *keys, "__past"))
     return (
         ranges.join(F.broadcast(offsets), ["__range", *keys], "left")
         .select(*df.columns, (F.col("__inside") + F.coalesce("__past", F.lit(0))).alias(out))
