@@ -149,8 +149,7 @@ def stream_foreach_file(spark, sf_dir):
     path = scratch_path(spark, "stream-files")
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        alerts, _ = dt.detect_all(batch)
-        alerts.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        dt.detect_all(batch).alerts().write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     sd.per_batch(event_stream(spark, sf_dir), handle, f"{path}-checkpoint").awaitTermination()
     return dt.plain(spark.read.parquet(path))
