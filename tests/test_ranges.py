@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from nightwarden.operators import alerts as al
+from nightwarden.operators import correlate as co
 from nightwarden.operators import ordered as o
 from nightwarden.operators import thresholds as th
 
@@ -84,3 +85,58 @@ def test_blocks_cover_a_range_once(spark, first, last):
     assert len(blocks) <= 2 * (last - first + 1).bit_length()
     above = spark.range(1).select(o.blocks_of(F.lit(last).cast("long"), F.lit(9)).alias("b")).first().b
     assert [tuple(b) for b in above] == [(level, (last - 1) >> level) for level in range(10)]
+
+
+# ---- alerts that share blocks of rows -----------------------------------------------------------------------------
+
+@pytest.fixture(scope="module")
+def overlapping(spark, rows):
+    """Found ranges, a few listed alerts beside them, and all evidence by definition."""
+    ev = h.events(spark, rows + [h.success(ip=f"10.0.0.{i % 3}", user=f"u{i}", host=f"h{i % 5}", at=37 * i, seq=1000 + i) for i in range(60)])
+    found = th.find(ev, {RULE: CFG, "threshold_after_hours_login": CFG})
+    return found, al.dedup(found.alerts()).cache()
+
+
+def test_shared_entities_equal_listed_ones(overlapping):
+    found, alerts = overlapping
+    columns = ["alert_id", "kind", "value", "first_us", "first_seq"]
+    want = al.entities(found.evidence()).join(alerts.select("alert_id"), "alert_id", "left_semi")
+    assert set(map(tuple, found.entities().of(alerts).rows().select(columns).collect())) == set(map(tuple, want.select(columns).collect()))
+    assert found.entities().of(alerts).rows().count() == want.count() > 100
+
+
+@pytest.mark.parametrize("minutes,group_edges", [(1, 5), (1, 10**6), (30, 5)])
+def test_correlation_over_blocks_equals_the_sequential_definition(overlapping, minutes, group_edges):
+    found, alerts = overlapping
+    entities, window = found.entities().of(alerts), timedelta(minutes=minutes)
+    members = co.correlate(alerts, entities, window, group_edges).cache()
+    held = {}
+    for r in al.indicators(al.entities(found.evidence())).collect():
+        held.setdefault(r.alert_id, set()).add((r.kind, r.value))
+    time = {r.alert_id: r.us for r in alerts.collect()}
+    order = [r.alert_id for r in members.orderBy("pos").collect()]
+    want = h.loop_correlate([(time[a], held.get(a, set())) for a in order], minutes * 60_000_000)
+    assert [r.incident for r in members.orderBy("pos").collect()] == want and len(set(want)) > 1
+    listed = co.incident_entities(members, found.entities().of(alerts).rows()).collect()
+    assert sorted(map(str, co.incident_entities(members, entities).collect())) == sorted(map(str, listed))
+    assert sorted(map(str, co.correlate_components(alerts, entities, window).collect())) == sorted(
+        map(str, co.correlate_components(alerts, entities.rows(), window).collect()))
+
+
+def test_counted_timeline_equals_all_evidence(overlapping):
+    found, alerts = overlapping
+    members = co.correlate(alerts, found.entities().of(alerts), timedelta(minutes=1)).cache()
+    columns = ["incident", "us", "seq", "hostname", "username", "source_ip", "category"]
+    want = co.timeline(members, found.evidence(), al.alert_id()).groupBy(columns).agg(F.count("*").alias("n"))
+    got = found.timeline(members).groupBy(columns).agg(F.sum("times").alias("n"))
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_alerts_over_the_same_rows_share_blocks(spark):
+    """A thousand alerts with up to a thousand users each: links grow with the alerts, not with alerts times users."""
+    found = th.find(h.events(spark, [h.failure(user=f"u{i}", at=60 * i) for i in range(1_000)]), {
+        RULE: th.ThresholdConfig(window=timedelta(days=1)), "threshold_after_hours_login": CFG})
+    entities = found.entities()
+    assert entities.uses.count() + entities.blocks.count() < 991 * 20 + 1_000 * 3 * 10
+    members = co.correlate(found.alerts(), entities, group_edges=100)
+    assert {r.incident for r in members.collect()} == {1} and members.count() == 991
