@@ -223,7 +223,7 @@ def without_repeats(df: DataFrame, window: int = 35, text: str = "text") -> Data
     found = texts.select("text", "h1", "h2", "times").mapInArrow(find, "anchor bigint, h1 bigint, h2 bigint, times bigint, low int, high int")
     often = found.groupBy("anchor").agg(F.sum("times").alias("n")).where("n > 1").select("anchor")
     often = cut_lineage(often)  # so that the join has an exchange of its own on both sides, and a hot anchor can be split
-    near = found.join(often, "anchor").groupBy("h1", "h2").agg(F.collect_list(F.struct("low", "high", "anchor")).alias("near"))
+    near = found.join(often, "anchor", "left_semi").groupBy("h1", "h2").agg(F.collect_list(F.struct("low", "high", "anchor")).alias("near"))
     near = texts.join(cut_lineage(near), ["h1", "h2"])  # the texts stay where they are
 
     def cut(with_text: bool):

@@ -187,3 +187,16 @@ def test_ranges_follow_the_keys(spark):
     parts = [p for _, p in got]
     assert parts == sorted(parts) and set(parts) <= set(range(6)) and len(set(parts)) > 3
     assert len({p for (_, k), p in got if k == 5}) == 1
+
+
+def test_recurring_anchors_are_looked_up_not_multiplied(spark, monkeypatch):
+    """A passage that many texts share: the lookup of recurring anchors gives no row more than there are windows' anchors."""
+    from nightwarden.llm import repeats
+
+    plans, write = [], repeats.cut_lineage
+    monkeypatch.setattr(repeats, "cut_lineage", lambda df, *by: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), write(df, *by))[1])
+    passage = " ".join(f"w{i}" for i in range(50))
+    docs = spark.createDataFrame([(i, f"a{i} {passage} b{i}") for i in range(40)], "doc_id long, text string")
+    assert {r.n_removed for r in repeats.without_repeats(docs).collect()} == {50}
+    joins = [line for plan in plans for line in plan.splitlines() if "Join" in line and "anchor" in line]
+    assert joins and all("LeftSemi" in line for line in joins)
