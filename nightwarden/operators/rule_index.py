@@ -2,8 +2,8 @@
 
 A rule's condition becomes terms (any may hold) of selections that must hold or must not. Every test of a selection that must hold is an
 indexed predicate where its literals can be looked up: equality by (field, value), contained, leading and trailing texts by
-(field, rarest trigram of the literal). An event's own values and trigrams are looked up in Arrow batches, hits are counted, and a term's
-rule is evaluated only for events that hit all its predicates. Evaluation is exact and data-driven: the rules travel as a table of tests,
+(field, rarest trigram of the literal). An event's own values and trigrams are looked up in Arrow batches. A term is met by the predicate that
+fewest terms share; then its hits are counted, and its rule is evaluated only for events that hit all its predicates. Evaluation is exact and data-driven: the rules travel as a table of tests,
 so the plan does not grow with their number. Terms without a predicate that can be looked up are evaluated for every event.
 
 Results equal `rules.match_rules` for rules that look at one event. Missing values match no test but null itself; ties do not
@@ -168,35 +168,45 @@ _RULES = ("__rule int, rule_ord int, selections array<array<array<struct<field:i
 
 
 class Index:
-    """From texts of a field to the predicates that they may satisfy, and from predicates to terms."""
+    """From texts of a field to atoms, and from atoms to the terms whose predicates they may satisfy.
+
+    Each term is found by the predicate that it shares with the fewest others, so that a predicate of hundreds of rules costs an event nothing;
+    its other predicates are then counted among the event's atoms.
+    """
 
     def __init__(self, rows: list[tuple[str, int, int, int, int]]):
         terms = sorted({(rule, term) for _, rule, term, _, _ in rows})
         number = {t: i for i, t in enumerate(terms)}
-        predicates: dict[tuple, int] = {}
-        found: dict[str, list[int]] = {}
-        self.of_term, wanted, self.always = [], np.zeros(len(terms), np.int64), []
-        for atom, rule, term, predicate, needed in rows:
-            t = number[rule, term]
-            if atom == EVERY:
-                self.always.append(t)
-                continue
-            p = predicates.setdefault((t, predicate), len(predicates))
-            if p == len(self.of_term):
-                self.of_term.append(t)
-            found.setdefault(atom, []).append(p)
-            wanted[t] = needed
-        self.found = {atom: np.array(ps) for atom, ps in found.items()}
-        self.of_term, self.wanted, self.always = np.array(self.of_term, np.int64), wanted, np.array(self.always, np.int64)
         self.rule, self.term = (np.array([t[i] for t in terms], np.int64) for i in (0, 1))
-        self.by_value, self.by_gram = ({a.split(kind)[0] for a in found if kind in a} for kind in "=~")
-
-    def predicates(self, name: str, text: str) -> np.ndarray:
-        atoms = [f"{name}={text}"] if name in self.by_value else []
-        if name in self.by_gram:
-            atoms += {f"{name}~{g}" for g in grams(text)}
-        hits = [self.found[a] for a in atoms if a in self.found]
-        return np.unique(np.concatenate(hits)) if hits else NONE
+        self.always = np.array([number[rule, term] for atom, rule, term, _, _ in rows if atom == EVERY], np.int64)
+        rows = [r for r in rows if r[0] != EVERY]
+        atom = {a: i for i, a in enumerate(dict.fromkeys(r[0] for r in rows))}
+        self.atoms = max(len(atom), 1)
+        self.found, self.by_gram = atom, {}
+        for a, i in atom.items():
+            if a[-GRAM - 1:-GRAM] == "~":
+                self.by_gram.setdefault(a[:-GRAM - 1], {})[a[-GRAM:]] = i
+        # every (term, predicate, atom), in this order, with the runs of terms and of predicates
+        held = np.array(sorted({(number[rule, term], p, atom[a]) for a, rule, term, p, _ in rows}), np.int64).reshape(-1, 3)
+        self.atom_of, new = held[:, 2], np.ones(len(held), bool)
+        new[1:] = (np.diff(held[:, :2], axis=0) != 0).any(axis=1)
+        self.begin = np.searchsorted(held[:, 0], np.arange(len(terms) + 1))
+        self.opens = new
+        shared = np.bincount(self.atom_of, minlength=self.atoms)
+        at = np.flatnonzero(new)
+        sharing = np.add.reduceat(shared[self.atom_of], at) if len(at) else NONE
+        of = held[at, 0]
+        best = np.lexsort((sharing, of))
+        best = best[np.r_[True, np.diff(of[best]) != 0]] if len(best) else best
+        chosen = np.isin(np.cumsum(new) - 1, best)
+        by = np.argsort(self.atom_of[chosen], kind="stable")
+        self.seed_term = held[chosen, 0][by]
+        self.seed_begin = np.searchsorted(self.atom_of[chosen][by], np.arange(self.atoms + 1))
+
+    def atoms_of(self, name: str, text: str) -> list[int]:
+        """The atoms that a text of a field has."""
+        value, found = self.found.get(f"{name}={text}"), self.by_gram.get(name, {})
+        return [*([] if value is None else [value]), *(found[g] for g in found.keys() & set(grams(text)))]
 
     def candidates(self, names: list[str], texts: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
         """(event, term) of the terms whose predicates are all hit, in order; an event has a list of texts for each name."""
@@ -205,18 +215,37 @@ class Index:
         values = inner.flatten().dictionary_encode()
         each, back = np.unique(owner % len(names) * max(len(values.dictionary), 1) + values.indices.to_numpy(), return_inverse=True)
         words = values.dictionary.to_pylist()
-        lists = [self.predicates(names[k // len(words)], words[k % len(words)]) for k in each.tolist()]
-        sizes = np.array([len(x) for x in lists], np.int64)[back] if len(back) else NONE
-        hit = np.concatenate([lists[i] for i in back.tolist()]) if len(back) else NONE
-        event = np.repeat(owner // len(names), sizes)
-        pairs = np.unique(event * max(len(self.of_term), 1) + hit)  # a predicate counts once for an event
+        lists = [self.atoms_of(names[k // len(words)], words[k % len(words)]) for k in each.tolist()]
+        sizes, flat = np.array([len(x) for x in lists], np.int64), np.array([a for x in lists for a in x], np.int64)
+        hit = flat[spread((np.cumsum(sizes) - sizes)[back], sizes[back])]
+        pairs = np.unique(np.repeat(owner // len(names), sizes[back]) * self.atoms + hit)  # an atom counts once for an event
+        event, hit = pairs // self.atoms, pairs % self.atoms
         n = max(len(self.rule), 1)
-        keys, met = np.unique(pairs // max(len(self.of_term), 1) * n + self.of_term[pairs % max(len(self.of_term), 1)], return_counts=True)
-        keys = keys[met == self.wanted[keys % n]]
+        low, many = self.seed_begin[hit], np.diff(self.seed_begin)[hit]
+        keys = np.unique(np.repeat(event, many) * n + self.seed_term[spread(low, many)])
+        keys = keys[self._all_hit(keys // n, keys % n, pairs)]
         every = (np.arange(len(texts))[:, None] * n + self.always).ravel()
         keys = np.sort(np.concatenate([keys, every]))
         return keys // n, keys % n
 
+    def _all_hit(self, event: np.ndarray, term: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+        """Whether an event has an atom of each predicate of a term; pairs are events' atoms, sorted."""
+        if not len(event):
+            return np.zeros(0, bool)
+        sizes = np.diff(self.begin)[term]
+        at = spread(self.begin[term], sizes)
+        want = np.repeat(event, sizes) * self.atoms + self.atom_of[at]
+        met = pairs[np.minimum(np.searchsorted(pairs, want), len(pairs) - 1)] == want
+        opens = np.flatnonzero(self.opens[at])
+        of = np.repeat(np.arange(len(event)), sizes)[opens]
+        return np.bincount(of, ~np.logical_or.reduceat(met, opens), minlength=len(event)) == 0
+
+
+def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The positions starts[i], starts[i] + 1, ... of all spans, one span after the other."""
+    ends = np.cumsum(lengths)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - ends + lengths, lengths)
+
 
 NONE = np.zeros(0, np.int64)
 

@@ -1,7 +1,9 @@
 """The rule index finds what evaluating every rule finds."""
 
 import random
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 
 from nightwarden.operators import rule_index as ri
@@ -82,3 +84,16 @@ def test_no_rules_and_no_events(spark):
     ev = h.events(spark, event_rows(1, 5))
     assert ri.match_indexed(ev, []).count() == 0
     assert ri.match_indexed(ev.limit(0), random_rules(1, 5)).count() == 0
+
+
+def test_a_predicate_of_many_rules_costs_an_event_nothing():
+    """2,000 rules share a status and differ in the user; what an event is looked up by is its user."""
+    rules = [rule(i, {"s": {"status": "failure", "user": f"u{i}", "message|contains": ["failed", "wrong"]}}) for i in range(2_000)]
+    index = ri.Index(ri.index_rows([ri.compile_rule(r) for r in rules]))
+    events = [[["failure"], [f"u{i}"], ["it failed"] if i % 2 else ["fine"]] for i in range(2_000)]
+    tracemalloc.start()
+    event, term = index.candidates(["status", "user", "message"], pa.array(events, pa.list_(pa.list_(pa.string()))))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert event.tolist() == term.tolist() == list(range(1, 2_000, 2))
+    assert peak < 8 << 20
