@@ -10,6 +10,7 @@ from nightwarden.operators import alerts as al
 from nightwarden.operators import correlate as co
 from nightwarden.operators import ordered as o
 from nightwarden.operators import thresholds as th
+from nightwarden.plans.analysis import AnalysisConfig, analyze
 
 from . import helpers as h
 
@@ -140,3 +141,24 @@ def test_alerts_over_the_same_rows_share_blocks(spark):
     assert entities.uses.count() + entities.blocks.count() < 991 * 20 + 1_000 * 3 * 10
     members = co.correlate(found.alerts(), entities, group_edges=100)
     assert {r.incident for r in members.collect()} == {1} and members.count() == 991
+
+
+def test_evidence_of_chosen_alerts_lists_no_other_ranges(spark, rows):
+    found = th.find(h.spread(h.events(spark, rows), 3), {RULE: CFG})
+    alerts = found.alerts().withColumn("alert_id", al.alert_id())
+    some = alerts.filter("mark % 3 = 0").cache()
+    chosen = found.of(some)
+    assert 0 < chosen.ranges[RULE].spans.count() == some.select("key_value", "mark").distinct().count() < found.ranges[RULE].spans.count()
+    want = found.evidence().withColumn("alert_id", al.alert_id()).join(some.select("alert_id"), "alert_id", "left_semi").drop("alert_id")
+    got = chosen.evidence()
+    assert got.columns == want.columns and got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+
+
+def test_a_run_chooses_ranges_before_it_lists_them(spark, rows):
+    """The evidence of a run is not joined by alert once it is listed."""
+    events = h.spread(h.events(spark, rows), 3)
+    result = analyze(events, AnalysisConfig(rules=[], thresholds=CFG, use_anomaly=False))
+    plan = result.evidence._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan[plan.index("__part"):]  # below the join that lists rows, as a plan reads from the result down
+    kept = {r.alert_id for r in result.alerts.collect()}
+    assert {r[0] for r in result.evidence.select(al.alert_id()).distinct().collect()} == kept
