@@ -215,15 +215,23 @@ def without_repeats(df: DataFrame, window: int = 35, text: str = "text") -> Data
             data, offsets = utf8(b.column(0))
             starts, ends, first = words.split(data, offsets)
             t, key, low, high = anchors(words.hash_spans(data, starts, ends), first, window)
-            t = pa.array(t)
-            yield pa.RecordBatch.from_arrays([
-                _u64(key), *(b.column(i).take(t) for i in (1, 2, 3)), pa.array(low, pa.int32()), pa.array(high, pa.int32())],
-                ["anchor", "h1", "h2", "times", "low", "high"])
-
-    found = texts.select("text", "h1", "h2", "times").mapInArrow(find, "anchor bigint, h1 bigint, h2 bigint, times bigint, low int, high int")
+            by = np.argsort(key, kind="stable")
+            t, key, low, high = t[by], key[by], low[by], high[by]
+            new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+            times = np.add.reduceat(b.column(3).to_numpy()[t], new) if len(key) else np.zeros(0, np.int64)
+            at = pa.array(t)
+            places = pa.StructArray.from_arrays(
+                [b.column(1).take(at), b.column(2).take(at), pa.array(low, pa.int32()), pa.array(high, pa.int32())], ["h1", "h2", "low", "high"])
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[new, len(key)], pa.int32()), places)
+            yield pa.RecordBatch.from_arrays([_u64(key[new]), pa.array(times, pa.int64()), lists], ["anchor", "times", "places"])
+
+    # a row for each anchor of a block of texts, so that one that many texts share meets the count in a few rows
+    found = texts.select("text", "h1", "h2", "times").mapInArrow(
+        find, "anchor bigint, times bigint, places array<struct<h1:bigint,h2:bigint,low:int,high:int>>")
     often = found.groupBy("anchor").agg(F.sum("times").alias("n")).where("n > 1").select("anchor")
     often = cut_lineage(often)  # so that the join has an exchange of its own on both sides, and a hot anchor can be split
-    near = found.join(often, "anchor", "left_semi").groupBy("h1", "h2").agg(F.collect_list(F.struct("low", "high", "anchor")).alias("near"))
+    near = found.join(often, "anchor", "left_semi").select("anchor", F.inline("places"))
+    near = near.groupBy("h1", "h2").agg(F.collect_list(F.struct("low", "high", "anchor")).alias("near"))
     near = texts.join(cut_lineage(near), ["h1", "h2"])  # the texts stay where they are
 
     def cut(with_text: bool):
