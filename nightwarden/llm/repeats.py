@@ -14,8 +14,10 @@ hash, so equal windows have equal anchors, and neighbours mostly share one. Then
 4. Places go back to the texts that hold the segments.
 
 An anchor with more than PART distinct segments has several shards: its windows are dealt among them by their hash, and a
-segment visits those of its windows. The text moves once, into a table bucketed by text hash that all later steps join
-without moving it again.
+segment visits those of its windows. The text moves once, into a table of text blocks (about GROUP_BYTES each, chosen by the
+text's hash; one pass over the column finds how many) bucketed by block. All later steps ask by block without moving it again:
+a block sends each of its anchors once and gets back those that recur, then sends each of its segments once and gets back
+their spans. So a passage that all texts share is a few rows per block, however many texts the block has.
 
 Null texts have no words; empty texts and texts shorter than the window stay as they are (words joined by one blank).
 Rows are kept, repeated ones too: their passages repeat, so all their windows go. An empty table gives an empty result.
@@ -38,12 +40,13 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from . import words
-from .blocks import text_blocks, utf8
+from .blocks import spread, text_blocks, utf8
 from .ranges import partitions
 
 ANCHOR = 8
 PART = 20_000
 SHARD_BYTES = 2 << 20
+GROUP_BYTES = 256 << 10
 
 
 def text_keys(text: str = "text"):
@@ -165,6 +168,37 @@ def _merged(spans: np.ndarray) -> np.ndarray:
     return np.column_stack([spans[at, 0], np.maximum.reduceat(spans[:, 1], at)])
 
 
+def _firsts(*columns: np.ndarray) -> np.ndarray:
+    """Where each run of equal rows begins."""
+    new = np.ones(len(columns[0]), bool)
+    if len(new):
+        new[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+    return np.flatnonzero(new)
+
+
+def _sums(values: np.ndarray, at: np.ndarray) -> pa.Array:
+    return pa.array(np.add.reduceat(values, at) if len(at) else np.zeros(0, np.int64), pa.int64())
+
+
+def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Equal texts of a batch as one row with their number, so that many copies don't travel to one task."""
+    for b in batches:
+        one, two = (b.column(c).to_numpy() for c in ("h1", "h2"))
+        by = np.lexsort((two, one))
+        new = _firsts(one[by], two[by])
+        taken = b.take(pa.array(by[new]))
+        yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(np.diff(np.append(new, len(by))), pa.int64())], [*b.schema.names, "times"])
+
+
+def _in_order(rows: pa.Table) -> pa.Table:
+    """The texts of a block by their hashes: each has the same place in it whenever the block is read."""
+    return rows.take(np.lexsort((rows["h2"].to_numpy(), rows["h1"].to_numpy()))).combine_chunks()
+
+
+def _array(column: pa.ChunkedArray) -> pa.Array:
+    return column.chunk(0) if column.num_chunks == 1 else pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
+
+
 def _lists(rows: pa.RecordBatch, columns: list[str], owner: np.ndarray, **values: np.ndarray) -> pa.RecordBatch:
     """One row for each row of `rows` that owns values (owner rises), with the values in a list of structs."""
     there, counts = np.unique(owner, return_counts=True)
@@ -205,69 +239,61 @@ def without_repeats(df: DataFrame, window: int = 35, text: str = "text") -> Data
     spark = df.sparkSession
     n = max(1, partitions(spark))
     table = f"texts_{uuid.uuid4().hex}"
+    size = df.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
+    blocks = max(4 * n, -(-size // GROUP_BYTES))
     texts = df.select(*text_keys(text), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    texts = texts.groupBy("h1", "h2").agg(F.first("text").alias("text"), F.count("*").alias("times"))
-    texts.write.bucketBy(n, "h1", "h2").sortBy("h1", "h2").saveAsTable(table)
+    texts = texts.mapInArrow(_once, "h1 bigint, h2 bigint, text string, times bigint")
+    texts = texts.withColumn("block", F.pmod(F.col("h1"), F.lit(blocks).cast("long"))).repartition(n, "block")
+    texts = texts.groupBy("block", "h1", "h2").agg(F.first("text").alias("text"), F.sum("times").alias("times"))
+    texts.write.bucketBy(n, "block").sortBy("block").saveAsTable(table)
     texts = spark.table(table)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_blocks(batches):
             data, offsets = utf8(b.column(0))
             starts, ends, first = words.split(data, offsets)
-            t, key, low, high = anchors(words.hash_spans(data, starts, ends), first, window)
-            by = np.argsort(key, kind="stable")
-            t, key, low, high = t[by], key[by], low[by], high[by]
-            new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
-            times = np.add.reduceat(b.column(3).to_numpy()[t], new) if len(key) else np.zeros(0, np.int64)
-            at = pa.array(t)
-            places = pa.StructArray.from_arrays(
-                [b.column(1).take(at), b.column(2).take(at), pa.array(low, pa.int32()), pa.array(high, pa.int32())], ["h1", "h2", "low", "high"])
-            lists = pa.ListArray.from_arrays(pa.array(np.r_[new, len(key)], pa.int32()), places)
-            yield pa.RecordBatch.from_arrays([_u64(key[new]), pa.array(times, pa.int64()), lists], ["anchor", "times", "places"])
-
-    # a row for each anchor of a block of texts, so that one that many texts share meets the count in a few rows
-    found = texts.select("text", "h1", "h2", "times").mapInArrow(
-        find, "anchor bigint, times bigint, places array<struct<h1:bigint,h2:bigint,low:int,high:int>>")
+            t, key, _, _ = anchors(words.hash_spans(data, starts, ends), first, window)
+            block, times = b.column(1).to_numpy()[t], b.column(2).to_numpy()[t]
+            by = np.lexsort((key, block))
+            block, key, times = block[by], key[by], times[by]
+            new = _firsts(block, key)
+            yield pa.RecordBatch.from_arrays([pa.array(block[new], pa.int64()), _u64(key[new]), _sums(times, new)], ["block", "anchor", "times"])
+
+    found = texts.select("text", "block", "times").mapInArrow(find, "block bigint, anchor bigint, times bigint")
     often = found.groupBy("anchor").agg(F.sum("times").alias("n")).where("n > 1").select("anchor")
     often = cut_lineage(often)  # so that the join has an exchange of its own on both sides, and a hot anchor can be split
-    near = found.join(often, "anchor", "left_semi").select("anchor", F.inline("places"))
-    near = near.groupBy("h1", "h2").agg(F.collect_list(F.struct("low", "high", "anchor")).alias("near"))
-    near = texts.join(cut_lineage(near), ["h1", "h2"])  # the texts stay where they are
+    near = cut_lineage(found.join(often, "anchor", "left_semi").select("block", "anchor"))
 
     def cut(with_text: bool):
-        """Segments around recurring anchors: (shard, s1, s2) and their words, or the text that holds them and where."""
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in text_blocks(batches):
-                data, offsets = utf8(b.column(0))
-                starts, ends, first = words.split(data, offsets)
-                h = words.hash_spans(data, starts, ends)
-                lists = b.column(4)
-                each = np.diff(lists.offsets.to_numpy())
-                low, high, key = (c.to_numpy(zero_copy_only=False) for c in lists.flatten().flatten())
-                t = np.repeat(np.arange(b.num_rows), each)
-                low, high = low.astype(np.int64), high.astype(np.int64)
-                a, e = first[t] + low, first[t] + high + window
-                one, two = words.span_hashes(h, a, e)
-                if with_text:
-                    raw = data.tobytes()
-                    seg = [raw[starts[i]:ends[j - 1]] for i, j in zip(a.tolist(), e.tolist())]
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array(key, pa.int64()), _u64(one), _u64(two), b.column(3).take(pa.array(t)), pa.array([s.decode() for s in seg], pa.string())],
-                        ["shard", "s1", "s2", "times", "segment"])
-                    continue
-                by = np.lexsort((low, two, one, key, t))
-                t, one, two, key, low = t[by], one[by], two[by], key[by], low[by]
-                new = np.flatnonzero(np.r_[True, (np.diff(t) != 0) | (np.diff(key) != 0) | (one[1:] != one[:-1]) | (two[1:] != two[:-1])]) if len(t) else np.zeros(0, np.int64)
-                taken = pa.array(t[new])
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(key[new], pa.int64()), _u64(one[new]), _u64(two[new]), b.column(1).take(taken), b.column(2).take(taken),
-                    pa.ListArray.from_arrays(pa.array(np.r_[new, len(t)], pa.int32()), pa.array(low, pa.int32()))],
-                    ["shard", "s1", "s2", "h1", "h2", "lows"])
+        """Distinct segments of a block around recurring anchors: (shard, s1, s2) and their words, or the texts that hold them and where."""
+        def run(rows: pa.Table, recurring: pa.Table) -> pa.Table:
+            rows = _in_order(rows)
+            data, offsets = utf8(_array(rows["text"]))
+            starts, ends, first = words.split(data, offsets)
+            h = words.hash_spans(data, starts, ends)
+            t, key, low, high = anchors(h, first, window)
+            key = key.view(np.int64)
+            mine = np.flatnonzero(np.isin(key, recurring["anchor"].to_numpy()))
+            t, key, low, high = t[mine], key[mine], low[mine], high[mine]
+            a, e = first[t] + low, first[t] + high + window
+            one, two = words.span_hashes(h, a, e)
+            by = np.lexsort((low, t, two, one, key))
+            t, key, low, one, two, a, e = (x[by] for x in (t, key, low, one, two, a, e))
+            new = _firsts(key, one, two)
+            names = [pa.array(key[new], pa.int64()), _u64(one[new]), _u64(two[new])]
+            if with_text:
+                raw = data.tobytes()
+                seg = [raw[starts[i]:ends[j - 1]].decode() for i, j in zip(a[new].tolist(), e[new].tolist())]
+                return pa.table([*names, _sums(rows["times"].to_numpy()[t], new), pa.array(seg, pa.string())], ["shard", "s1", "s2", "times", "segment"])
+            places = pa.StructArray.from_arrays([pa.array(t, pa.int32()), pa.array(low, pa.int32())], ["text", "low"])
+            places = pa.ListArray.from_arrays(pa.array(np.append(new, len(t)), pa.int32()), places)
+            return pa.table([pa.array(np.full(len(new), rows["block"][0].as_py()), pa.int64()), *names, places], ["block", "shard", "s1", "s2", "places"])
         return run
 
-    near = near.select("text", "h1", "h2", "times", "near")
-    places = cut_lineage(near.mapInArrow(cut(False), "shard bigint, s1 bigint, s2 bigint, h1 bigint, h2 bigint, lows array<int>"))
-    segments = near.mapInArrow(cut(True), "shard bigint, s1 bigint, s2 bigint, times bigint, segment string")
+    by_block = texts.select("block", "h1", "h2", "text", "times").groupBy("block")  # the texts stay where they are
+    near = by_block.cogroup(near.groupBy("block"))
+    places = cut_lineage(near.applyInArrow(cut(False), "block bigint, shard bigint, s1 bigint, s2 bigint, places array<struct<text:int,low:int>>"))
+    segments = near.applyInArrow(cut(True), "shard bigint, s1 bigint, s2 bigint, times bigint, segment string")
     segments = segments.groupBy("shard", "s1", "s2").agg(F.first("segment").alias("segment"), F.sum("times").alias("times"))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -311,30 +337,35 @@ def without_repeats(df: DataFrame, window: int = 35, text: str = "text") -> Data
     located = located.mapInArrow(stream, "shard bigint, s1 bigint, s2 bigint, spans array<struct<start:int,end:int>>")
     if not crowded.isEmpty():  # a segment has a row from each part
         located = located.groupBy("shard", "s1", "s2").agg(F.flatten(F.collect_list("spans")).alias("spans"))
-    spans = places.join(located, ["shard", "s1", "s2"]).groupBy("h1", "h2").agg(F.collect_list(F.struct("lows", "spans")).alias("spans"))
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in text_blocks(batches):
-            data, offsets = utf8(b.column(0))
-            starts, ends, first = words.split(data, offsets)
-            raw, kept, gone = data.tobytes(), [], []
-            a, e = starts.tolist(), ends.tolist()
-            for i, spans in enumerate(b.column(3).to_pylist()):
-                pieces, at, removed = [], int(first[i]), 0
-                gone_words = [(low + x["start"], low + x["end"]) for r in spans or () for low in r["lows"] for x in r["spans"]]
-                for s, t in _merged(np.array(gone_words, np.int64).reshape(-1, 2)).tolist():
-                    pieces += [raw[a[w]:e[w]] for w in range(at, int(first[i]) + s)]
-                    at = int(first[i]) + t
-                    removed += t - s
-                pieces += [raw[a[w]:e[w]] for w in range(at, int(first[i + 1]))]
-                kept.append(b" ".join(pieces).decode())
-                gone.append(removed)
-            yield pa.RecordBatch.from_arrays([
-                b.column(1), b.column(2), pa.array(kept, pa.string()), pa.array(np.diff(first), pa.int64()), pa.array(gone, pa.int64())],
-                ["h1", "h2", "kept", "n_words", "n_removed"])
-
-    return texts.join(spans, ["h1", "h2"], "left").select("text", "h1", "h2", "spans").mapInArrow(
-        keep, "h1 bigint, h2 bigint, kept string, n_words bigint, n_removed bigint")
+    spans = places.join(located, ["shard", "s1", "s2"]).select("block", "places", "spans")
+
+    def keep(rows: pa.Table, spans: pa.Table) -> pa.Table:
+        rows = _in_order(rows)
+        data, offsets = utf8(_array(rows["text"]))
+        starts, ends, first = words.split(data, offsets)
+        there, inside = _array(spans["places"]), _array(spans["spans"])
+        each = np.diff(there.offsets.to_numpy())
+        (t, low), (a, e) = ((c.to_numpy(zero_copy_only=False).astype(np.int64) for c in x.flatten().flatten()) for x in (there, inside))
+        begin = inside.offsets.to_numpy().astype(np.int64)
+        begin, many = np.repeat(begin[:-1] - begin[0], each), np.repeat(np.diff(begin), each)
+        place, span = np.repeat(np.arange(len(t)), many), spread(begin, many)  # a place has all the spans of its segment
+        base = first[t[place]] + low[place]
+        gone = np.zeros(int(first[-1]) + 1, np.int64)
+        np.add.at(gone, base + a[span], 1)
+        np.add.at(gone, base + e[span], -1)
+        gone = np.cumsum(gone)[:-1] > 0
+        kept = np.flatnonzero(~gone)
+        size = ends[kept] - starts[kept] + 1
+        out = np.append(data, np.uint8(32))[spread(starts[kept], size)]
+        edge = np.append(0, np.cumsum(size))
+        out[edge[1:] - 1] = 32
+        raw, edge = out.tobytes(), edge[np.searchsorted(kept, first)].tolist()
+        texts = [raw[i:max(i, j - 1)].decode() for i, j in zip(edge, edge[1:])]
+        removed = np.diff(np.append(0, np.cumsum(gone))[first])
+        return pa.table([rows["h1"], rows["h2"], pa.array(texts, pa.string()), pa.array(np.diff(first), pa.int64()), pa.array(removed, pa.int64())],
+                        ["h1", "h2", "kept", "n_words", "n_removed"])
+
+    return by_block.cogroup(spans.groupBy("block")).applyInArrow(keep, "h1 bigint, h2 bigint, kept string, n_words bigint, n_removed bigint")
 
 
 def attach(df: DataFrame, results: DataFrame, text: str = "text", how: str = "inner") -> DataFrame:

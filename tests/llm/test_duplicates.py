@@ -200,3 +200,25 @@ def test_recurring_anchors_are_looked_up_not_multiplied(spark, monkeypatch):
     assert {r.n_removed for r in repeats.without_repeats(docs).collect()} == {50}
     joins = [line for plan in plans for line in plan.splitlines() if "Join" in line and "anchor" in line]
     assert joins and all("LeftSemi" in line for line in joins)
+
+
+def test_a_passage_that_many_texts_share_is_looked_up_by_block(spark, monkeypatch):
+    """Recurring anchors come back once for each block, not once for each text, and the texts' rows aren't multiplied by them."""
+    passage = " ".join(f"w{i}" for i in range(50))
+    counts, plans, write = {}, [], repeats.cut_lineage
+
+    def written(df, *by):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        out = write(df, *by)
+        counts[many].append((out.columns, out.count()))
+        return out
+
+    monkeypatch.setattr(repeats, "cut_lineage", written)
+    for many in (150, 600):
+        counts[many] = []
+        docs = spark.createDataFrame([(i, f"a{i} {passage} b{i}") for i in range(many)], "doc_id long, text string")
+        assert {r.n_removed for r in repeats.without_repeats(docs).collect()} == {50}
+    blocks = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    (anchors,), (near,) = ([n for columns, n in counts[600] if columns == c] for c in (["anchor"], ["block", "anchor"]))
+    assert near <= blocks * anchors and near < 600
+    assert not any("Generate" in plan for plan in plans)
