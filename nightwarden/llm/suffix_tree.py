@@ -313,9 +313,12 @@ def score(df: DataFrame, train: Column, key: str = "doc_id", text: str = "text")
                 narrow(np.diff(back[at], prepend=0)), narrow(x.doc[go][at])))])
             out = []
             for k, i, j in _edges(to):
-                used, local = np.unique(np.concatenate([w2[i:j], w1[i:j], w0[i:j]]), return_inverse=True)
+                symbols = np.concatenate([w2[i:j], w1[i:j], w0[i:j]])
+                number, where, local = np.unique(x.number[symbols], return_index=True, return_inverse=True)
+                used, (c2, c1, c0) = symbols[where], np.split(local, 3)  # in the order of the numbers, so that c1 rises and its steps are short
                 out.append((k, chunk, _TRIPLES, pack(
-                    narrow(x.number[used]), narrow(x.count[used]), kept[used], *map(narrow, np.split(local, 3)), narrow(n_pair[second[i:j]]), narrow(n[i:j]))))
+                    narrow(np.diff(number, prepend=0)), narrow(x.count[used]), kept[used], narrow(c2), narrow(np.diff(c1, prepend=0)), narrow(c0),
+                    narrow(n_pair[second[i:j]]), narrow(n[i:j]))))
             yield _batch(out)
 
     def count_triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -327,7 +330,8 @@ def score(df: DataFrame, train: Column, key: str = "doc_id", text: str = "text")
                     yield _batch([tuple(row[c] for c in _NAMES)])
                     continue
                 number, count, kept, *local, n_pair, n = unpack(row["blob"])
-                number, (a, b, c) = number.astype(np.int64), local
+                number, (a, b, c) = np.cumsum(number.astype(np.int64)), local
+                b = np.cumsum(b.astype(np.int64))
                 p = (count[c].astype(np.float64) + 1) / root
                 p = np.where(kept[b] > 0, (n_pair + PRIORS[0] * p) / (count[b].astype(np.float64) + PRIORS[0]), p)
                 chunks.append(row["chunk"])
@@ -363,13 +367,13 @@ def score(df: DataFrame, train: Column, key: str = "doc_id", text: str = "text")
     def dealt(rows: DataFrame, by: str) -> DataFrame:
         return rows.repartition(buckets, by).sortWithinPartitions(by, "kind", "target")
 
-    table = cut_lineage(docs.mapInArrow(split, _ROWS).repartition(buckets, "target").mapInArrow(total, _ROWS))
+    table = cut_lineage(docs.mapInArrow(split, _ROWS).repartition(buckets, "target").mapInArrow(total, _ROWS), release=True)
     kinds = table.where(F.col("kind") == _KINDS).select("blob").collect()  # one number per bucket
     n_kinds = sum(int(unpack(r["blob"])[0][0]) for r in kinds) + (n_ends > 0)
     root = float(n_train + n_kinds + 1)
     blocks = table.where(F.col("kind") != _KINDS)
     pairs = dealt(blocks, "chunk").mapInArrow(ask_pairs, _ROWS)
-    pairs = dealt(pairs, "target").mapInArrow(count_pairs, _ROWS)
+    pairs = cut_lineage(dealt(pairs, "target").mapInArrow(count_pairs, _ROWS), release=True)  # the questions leave the disk before the triples come
     triples = dealt(blocks.unionAll(pairs), "chunk").mapInArrow(ask_triples, _ROWS)
     triples = dealt(triples, "target").mapInArrow(count_triples, _ROWS)
     return dealt(triples, "chunk").mapInArrow(

@@ -135,3 +135,23 @@ def test_classifier_edge_cases(spark, docs, rows, empty):
     one = spark.createDataFrame([(rows[3][0], 1), (rows[3][0], 1), (None, 0), (rows[4][0], None)], "doc_id long, quality int")
     assert {r.score for r in quality.with_score(docs, quality.train(docs, one)).collect()} == {1.0}
     assert quality.with_score(empty, quality.train(empty, none)).count() == 0
+
+
+def test_shuffle_files_leave_the_disk_when_a_result_is_written(spark):
+    from nightwarden.session import cut_lineage
+
+    def shuffled():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().iterator()
+        names = []
+        while files.hasNext():
+            names.append(files.next().getName())
+        return {n for n in names if n.startswith("shuffle_")}
+
+    df = spark.range(1000).repartition(3, "id")
+    before = shuffled()
+    assert cut_lineage(df, release=True).count() == 1000
+    released = {n for n in shuffled() - before if n.endswith(".data")}
+    assert cut_lineage(df).count() == 1000
+    kept = {n for n in shuffled() - before - released if n.endswith(".data")}
+    assert len(released) < len(kept)
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
