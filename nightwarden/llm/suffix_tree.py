@@ -14,7 +14,8 @@ are contexts of up to two symbols:
 Nothing is sampled, and no list of contexts is gathered anywhere: what is asked is asked by text blocks. A block sends
 its distinct words with counts to word buckets and gets numbers and totals back; then its distinct pairs of symbols with
 training counts to the buckets of their first symbols, which answer with totals and with the symbols' divergence; then
-its distinct triples to the buckets of their contexts, which answer by how much each triple's log probability changes.
+its distinct triples to the buckets of their contexts, which answer with totals and with the contexts that are retained.
+What a block knows of its documents isn't sent along: it is worked out again from the block when the answers are there.
 So a word or pair that holds a third of all tokens is a few entries per block; a word's pairs and contexts are also
 spread over buckets in proportion to its count, and a block adds up the parts of its divergence. There are at least as
 many buckets as leave BUCKET_TOKENS training tokens to each.
@@ -46,7 +47,7 @@ PRIORS = (1000.0, 500.0)
 CHUNK_BYTES = 4 << 20
 BUCKET_TOKENS = 4_000_000
 END = 0
-_POSITIONS, _WORDS, _DOCS, _KINDS, _PAIRS, _TRIPLES = range(6)
+_POSITIONS, _WORDS, _KINDS, _PAIRS, _TRIPLES = range(5)
 _ROWS, _NAMES = "target bigint, chunk bigint, kind int, blob binary", ["target", "chunk", "kind", "blob"]
 
 
@@ -276,41 +277,38 @@ def score(df: DataFrame, train: Column, key: str = "doc_id", text: str = "text")
                 mine_gain = np.where(symbols[where] == first, gain[where], 0.0) if len(symbols) else np.zeros(len(first))
                 yield _batch([(target, chunk, _PAIRS, pack(narrow(total[mine]), mine_gain))])
 
-    def ask_triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Per block: sums of the documents by contexts of one symbol, and distinct triples to their contexts' buckets."""
-        for chunk, rows in runs(batches, "chunk"):
-            x = Block(rows, n_ends, n_train, routes)
-            a, b, _, pair, ask, bucket = x.pairs(least)
-            word, home = x.starters(least)
-            n_pair, gain = np.zeros(len(a), np.int64), np.zeros(len(x.number))
-            pairs_of, words_of = {k: ask[i:j] for k, i, j in _edges(bucket)}, {k: word[i:j] for k, i, j in _edges(home)}
-            for row in x.rest:  # in the order of the buckets, so that all blocks add up alike
+    def with_triples(rows: Iterator[dict]) -> tuple:
+        """A block, which of its symbols are retained, and its distinct pairs and triples; what is asked and what is answered have one order."""
+        x = Block(rows, n_ends, n_train, routes)
+        a, b, _, pair, ask, bucket = x.pairs(least)
+        word, home = x.starters(least)
+        n_pair, gain = np.zeros(len(a), np.int64), np.zeros(len(x.number))
+        pairs_of, words_of = {k: ask[i:j] for k, i, j in _edges(bucket)}, {k: word[i:j] for k, i, j in _edges(home)}
+        for row in x.rest:  # in the order of the buckets, so that all blocks add up alike
+            if row["kind"] == _PAIRS:
                 total, part = unpack(row["blob"])
                 n_pair[pairs_of.get(row["target"], ask[:0])] = total
                 gain[words_of[row["target"]]] += part
-            kept = ((x.count >= least) & (gain >= x.count * DIVERGENCE)).astype(np.uint8)
-            p0 = (x.count[b] + 1) / root
-            p = np.where(kept[a] > 0, (n_pair + PRIORS[0] * p0) / (x.count[a] + PRIORS[0]), p0)
-            many = len(x.keys)
-            # the context is the pair that ends one position before; it may be too rare, and a text's first symbol has none
-            context = np.zeros(len(pair), np.int64)
-            context[1:] = n_pair[pair[:-1]]
-            context[x.begin] = 0
-            go = np.flatnonzero(context >= least)
-            key, back = np.unique(pair[go - 1] * len(a) + pair[go], return_inverse=True)
-            first, second = key // max(1, len(a)), key % max(1, len(a))
-            to = x.bucket(b[first], a[first])
-            by = np.lexsort((x.number[a[first]], x.number[b[first]], to))
-            place = np.empty(len(by), np.int64)
-            place[by] = np.arange(len(by))
-            back = place[back]
-            n = np.bincount(back, x.train[go], minlength=len(by)).astype(np.int64)
-            w2, w1, w0, second, to = a[first[by]], b[first[by]], b[second[by]], second[by], to[by]
-            at = np.argsort(back, kind="stable")
-            yield _batch([(chunk % routes, chunk, _DOCS, pack(
-                x.keys, x.valid, x.learn, x.sizes, np.bincount(x.doc, x.count[x.symbol] > 0, minlength=many).astype(np.int64),
-                np.bincount(x.doc, np.log10(x.count[x.symbol] + 1.0), minlength=many), np.bincount(x.doc, np.log10(p)[pair], minlength=many),
-                narrow(np.diff(back[at], prepend=0)), narrow(x.doc[go][at])))])
+        kept = ((x.count >= least) & (gain >= x.count * DIVERGENCE)).astype(np.uint8)
+        # the context is the pair that ends one position before; it may be too rare, and a text's first symbol has none
+        context = np.zeros(len(pair), np.int64)
+        context[1:] = n_pair[pair[:-1]]
+        context[x.begin] = 0
+        go = np.flatnonzero(context >= least)
+        key, back = np.unique(pair[go - 1] * len(a) + pair[go], return_inverse=True)
+        first, second = key // max(1, len(a)), key % max(1, len(a))
+        to = x.bucket(b[first], a[first])
+        by = np.lexsort((x.number[a[first]], x.number[b[first]], to))
+        place = np.empty(len(by), np.int64)
+        place[by] = np.arange(len(by))
+        return x, kept, (a, b, n_pair, pair), (first[by], second[by], to[by], go, place[back])
+
+    def ask_triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Per block: its distinct triples to their contexts' buckets."""
+        for chunk, rows in runs(batches, "chunk"):
+            x, kept, (a, b, n_pair, _), (first, second, to, go, back) = with_triples(rows)
+            n = np.bincount(back, x.train[go], minlength=len(to)).astype(np.int64)
+            w2, w1, w0 = a[first], b[first], b[second]
             out = []
             for k, i, j in _edges(to):
                 symbols = np.concatenate([w2[i:j], w1[i:j], w0[i:j]])
@@ -322,13 +320,10 @@ def score(df: DataFrame, train: Column, key: str = "doc_id", text: str = "text")
             yield _batch(out)
 
     def count_triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """What contexts of two symbols, where retained, add to the log probability of each triple, to the blocks."""
+        """1 more than the total of each triple whose context is retained, 0 for others, to the blocks."""
         for target, rows in runs(batches, "target"):
             parts, chunks = [], []
             for row in rows:
-                if row["kind"] != _TRIPLES:
-                    yield _batch([tuple(row[c] for c in _NAMES)])
-                    continue
                 number, count, kept, *local, n_pair, n = unpack(row["blob"])
                 number, (a, b, c) = np.cumsum(number.astype(np.int64)), local
                 b = np.cumsum(b.astype(np.int64))
@@ -336,8 +331,6 @@ def score(df: DataFrame, train: Column, key: str = "doc_id", text: str = "text")
                 p = np.where(kept[b] > 0, (n_pair + PRIORS[0] * p) / (count[b].astype(np.float64) + PRIORS[0]), p)
                 chunks.append(row["chunk"])
                 parts.append((number[a], number[b], number[c], p, n.astype(np.int64)))
-            if not parts:
-                continue
             ends = np.cumsum([len(x[0]) for x in parts])[:-1]
             (a, b, _, p, _), back, n = _merged(parts, 3)
             parts.clear()
@@ -346,22 +339,27 @@ def score(df: DataFrame, train: Column, key: str = "doc_id", text: str = "text")
             size = np.diff(np.append(at, len(a)))
             of = np.add.reduceat(n, at)
             gain = np.add.reduceat(left_out(n, p, np.repeat(of, size), PRIORS[1]), at)
-            retained = np.repeat((of >= least) & (gain >= of * DIVERGENCE), size)
-            of = np.repeat(of, size)
-            more = np.where(retained, np.log10((n + PRIORS[1] * p) / (of + PRIORS[1]) / p), 0.0)
+            total = np.where(np.repeat((of >= least) & (gain >= of * DIVERGENCE), size), n + 1, 0).astype(np.int64)
             for chunk, mine in zip(chunks, np.split(back, ends)):
-                yield _batch([(target, chunk, _TRIPLES, pack(more[mine]))])
+                yield _batch([(target, chunk, _TRIPLES, pack(narrow(total[mine])))])
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in runs(batches, "chunk"):  # the documents come first, then the answers in the order of the buckets
-            keys, valid, learn, n_tokens, n_known, base, total, step, doc = unpack(next(rows)["blob"])
-            more = [unpack(row["blob"])[0] for row in rows]
-            if more:
-                total = total + np.bincount(doc.astype(np.int64), np.concatenate(more)[np.cumsum(step.astype(np.int64))], minlength=len(keys))
-            n = len(keys)
+        """Sums of the documents by contexts of up to one symbol, and what retained contexts of two symbols add to them."""
+        for _, rows in runs(batches, "chunk"):
+            x, kept, (a, b, n_pair, pair), (first, second, _, go, back) = with_triples(rows)
+            p0 = (x.count[b] + 1) / root
+            p = np.where(kept[a] > 0, (n_pair + PRIORS[0] * p0) / (x.count[a] + PRIORS[0]), p0)
+            many = len(x.keys)
+            n = np.concatenate([back[:0], *(unpack(row["blob"])[0] for row in x.rest if row["kind"] == _TRIPLES)]).astype(np.int64)
+            # a context's total is that of its pair: every pair but one that ends a text has a next symbol
+            more = np.where(n > 0, np.log10((np.maximum(n, 1) - 1 + PRIORS[1] * p[second]) / (n_pair[first] + PRIORS[1]) / p[second]), 0.0)
+            at = np.argsort(back, kind="stable")
+            total = np.bincount(x.doc, np.log10(p)[pair], minlength=many) + np.bincount(x.doc[go][at], more[back[at]], minlength=many)
+            base = np.bincount(x.doc, np.log10(x.count[x.symbol] + 1.0), minlength=many)
             yield pa.RecordBatch.from_arrays([
-                pa.array(keys, pa.int64(), mask=valid == 0), pa.array(learn == 0), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()),
-                pa.array(np.full(n, n_train), pa.int64()), pa.array(base - n_tokens * np.log10(root)), pa.array(total)],
+                pa.array(x.keys, pa.int64(), mask=x.valid == 0), pa.array(x.learn == 0), pa.array(x.sizes, pa.int64()),
+                pa.array(np.bincount(x.doc, x.count[x.symbol] > 0, minlength=many).astype(np.int64)),
+                pa.array(np.full(many, n_train), pa.int64()), pa.array(base - x.sizes * np.log10(root)), pa.array(total)],
                 [key, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     def dealt(rows: DataFrame, by: str) -> DataFrame:
@@ -374,7 +372,8 @@ def score(df: DataFrame, train: Column, key: str = "doc_id", text: str = "text")
     blocks = table.where(F.col("kind") != _KINDS)
     pairs = dealt(blocks, "chunk").mapInArrow(ask_pairs, _ROWS)
     pairs = cut_lineage(dealt(pairs, "target").mapInArrow(count_pairs, _ROWS), release=True)  # the questions leave the disk before the triples come
-    triples = dealt(blocks.unionAll(pairs), "chunk").mapInArrow(ask_triples, _ROWS)
-    triples = dealt(triples, "target").mapInArrow(count_triples, _ROWS)
-    return dealt(triples, "chunk").mapInArrow(
+    known = blocks.unionAll(pairs)
+    triples = dealt(known, "chunk").mapInArrow(ask_triples, _ROWS)
+    triples = cut_lineage(dealt(triples, "target").mapInArrow(count_triples, _ROWS), release=True)  # and these before the answers go back
+    return dealt(known.unionAll(triples), "chunk").mapInArrow(
         finish, f"`{key}` bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")

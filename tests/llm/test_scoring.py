@@ -67,6 +67,15 @@ def test_a_context_counts_as_much_in_a_larger_corpus(spark):
     assert few[0].score > few[0].base_score + 1 and many[0].score > many[0].base_score + 1
 
 
+def test_answers_about_triples_are_small_numbers_without_the_documents(spark, monkeypatch):
+    written, cut = [], suffix_tree.cut_lineage
+    monkeypatch.setattr(suffix_tree, "cut_lineage", lambda df, **more: written.append(cut(df, **more)) or written[-1])
+    texts = [(i, " ".join(f"w{(i * 7919 + j * j) % 97}" for j in range(1000))) for i in range(100)]
+    got = suffix_tree.score(spark.createDataFrame(texts, "doc_id long, text string"), F.lit(True)).agg(F.sum("n_tokens")).first()[0]
+    last = {r.kind: r.size for r in written[-1].groupBy("kind").agg(F.sum(F.octet_length("blob")).alias("size")).collect()}
+    assert got == 100100 and list(last) == [suffix_tree._TRIPLES] and 0 < last[suffix_tree._TRIPLES] < 2 * got
+
+
 def test_scores_without_training_rows_and_without_rows(spark, docs, empty):
     assert {r.base_score for r in suffix_tree.score(docs, F.lit(False)).collect()} == {0.0}
     got = suffix_tree.score(empty, F.lit(True))
