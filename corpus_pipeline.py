@@ -7,6 +7,9 @@ row, which must fit in a task. An empty table stays empty through all stages. Fu
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,12 +22,23 @@ WINDOW = 50
 LIMIT = 1024
 
 
+def stage(build: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """A stage that may also be run by itself, in a session that has not been configured."""
+    @wraps(build)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        return build(configure(spark), docs, sf_dir)
+
+    return run_stage
+
+
+@stage
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier, fitted on the labels, scores at KEEP_SCORE or more."""
     forest = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.with_score(docs, forest, out="__score").where(F.col("__score") >= KEEP_SCORE).select(*docs.columns)
 
 
+@stage
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of five-word shingle similarity 0.8 or more.
 
@@ -41,6 +55,7 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     return kept.where("__copy = 1 OR NOT coalesce(text, '') RLIKE '[^ \\\\x09-\\\\x0D]'").drop("__name", "__copy")
 
 
+@stage
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the words of passages of WINDOW words or more that occur more than once; others are unchanged."""
     cut = repeats.without_repeats(docs, window=WINDOW).where("n_removed > 0").select("h1", "h2", F.col("kept").alias("__kept"))
@@ -50,6 +65,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return rows.select(*docs.columns)
 
 
+@stage
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces of all texts, placed in sequences of at most LIMIT tokens."""
     pieces = packing.token_pieces(docs, vocabulary(), limit=LIMIT, end=2)
@@ -65,6 +81,6 @@ ORACLE_SQL = None  # trees and packing are beyond SQL; each stage is tested agai
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in order over the documents table, each result written and read again."""
     docs = configure(spark).read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = cut_lineage(stage(spark, docs, sf_dir))
+    for _, build in STAGES:
+        docs = cut_lineage(build(spark, docs, sf_dir))
     return docs

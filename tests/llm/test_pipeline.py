@@ -4,7 +4,9 @@ import random
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
@@ -128,3 +130,19 @@ def test_query_rows_and_columns(spark, folder, n):
     rows = got.collect()
     docs = spark.read.parquet(f"{folder}/documents.parquet").collect()
     assert Counter(r.doc_id for r in rows if n != 5 or r.piece == 0) == Counter(r.doc_id for r in docs)
+
+
+def test_stages_send_texts_to_python_in_small_batches(spark, folder):
+    """However wide the rows are; 10,000 of them are 10,000 texts."""
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64()), pa.array([b.nbytes], pa.int64())], ["n", "size"])
+
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    wide = spark.range(0, 600, 1, 1).select(F.repeat(F.lit("wide "), 8000).alias("text"))
+    for name, stage in corpus_pipeline.STAGES:
+        spark.conf.unset(setting)
+        stage(spark, docs, folder)
+        got = wide.mapInArrow(sizes, "n bigint, size bigint").collect()
+        assert sum(r.n for r in got) == 600 and max(r.size for r in got) < 5 << 20, name
