@@ -106,6 +106,33 @@ def test_shared_entities_equal_listed_ones(overlapping):
     assert found.entities().of(alerts).rows().count() == want.count() > 100
 
 
+def test_entities_beside_alerts_equal_the_listed_ones(overlapping):
+    found, alerts = overlapping
+    columns = ["alert_id", "n_events", "kind", "value", "first_us", "first_seq"]
+    want = found.entities().of(alerts).rows().join(alerts.select("alert_id", "n_events"), "alert_id").select(columns)
+    got = found.entities_beside(alerts.select("alert_id", "n_events")).select(columns)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_entities_of_ranges_are_not_summed_up_after_the_join_that_lists_them(spark):
+    found = th.find(h.events(spark, [h.failure(user=f"u{i % 700}", at=60 * i) for i in range(1_000)]), {RULE: th.ThresholdConfig(window=timedelta(days=1))})
+    listed = found.entities_beside(found.alerts().select("alert_id"))
+    plan = listed._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan[:plan.index("__part")]
+    assert listed.count() == sum(min(1_000 - i, 700) + 2 for i in range(991))
+
+
+@pytest.mark.parametrize("chunk_rows", [1, 3, 64])
+def test_first_rows_of_values_in_spans(spark, chunk_rows):
+    rng = random.Random(chunk_rows)
+    values = {k: [rng.choice("abcdef") if i % 9 else "z" for i in range(40)] for k in "pq"}
+    spans = [(k, a, b) for k in "pq" for a in range(1, 41, 3) for b in [rng.randint(a, 40)]]
+    want = {(k, a, b, v): min(r for r in range(a, b + 1) if values[k][r - 1] == v) for k, a, b in spans for v in values[k][a - 1:b]}
+    rows = spark.createDataFrame([(k, "user", v, i + 1) for k in "pq" for i, v in enumerate(values[k])], "key string, kind string, value string, rank long")
+    got = o.firsts_in_spans(spark.createDataFrame(spans, "key string, first long, last long"), rows, "key", chunk_rows).collect()
+    assert {(r.key, r.first, r.last, r.value): r.rank for r in got} == want and len(got) == len(want)
+
+
 @pytest.mark.parametrize("minutes,group_edges", [(1, 5), (1, 10**6), (30, 5)])
 def test_correlation_over_blocks_equals_the_sequential_definition(overlapping, minutes, group_edges):
     found, alerts = overlapping
