@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import rules as ru
+from ..operators.anomaly import percentiles
 from ..session import scratch_path
 from ..streaming import detect as sd
 from ..streaming import ordered as so
@@ -56,7 +57,7 @@ def arriving(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
     """
     rows = table(spark, sf_dir, "events")
     us = F.unix_micros(F.col("ts").cast("timestamp"))
-    cuts = rows.select(F.percentile(us, [i / FILES for i in range(FILES + 1)])).first()[0]
+    cuts = percentiles(rows.select(us.alias("us")), "us", [i / FILES for i in range(FILES + 1)])
     part = sum((us >= int(c)).cast("int") for c in cuts[1:-1])
     part = F.least(part + (F.col("event_id") % 5 == 0).cast("int"), F.lit(FILES - 1))
     path = scratch_path(spark, "arriving")

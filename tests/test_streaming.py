@@ -1,11 +1,12 @@
 """Streams give what the batch operators give."""
 
 import random
-from datetime import timedelta
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
+from nightwarden.catalog import streams
 from nightwarden.operators import rules as ru
 from nightwarden.plans.analysis import AnalysisConfig
 from nightwarden.schema import EVENT_SCHEMA
@@ -163,3 +164,19 @@ def test_rows_without_a_time_do_not_stop_a_count(spark, tmp_path):
     sd.to_table(so.count_alerts(read_stream(spark, tmp_path), RULE, delay="1 hour"), out, f"{out}-cp").awaitTermination()
     assert [r.n_events for r in spark.read.parquet(out).collect()] == [3]
     assert [r["rows"] for r in sd.untimed(spark.read.parquet(str(tmp_path / "p"))).collect()] == [2]
+
+
+def test_files_of_a_stream_are_cut_without_a_buffer_of_all_times(spark, tmp_path, monkeypatch):
+    rows = [(i, datetime(2024, 1, 1) + timedelta(minutes=7 * i), i % 5, "error", 1.0, '{"k": 1}') for i in range(41)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    monkeypatch.setattr(streams.F, "percentile", None)
+    stream, delay = streams.arriving(spark, str(tmp_path))
+    assert stream.isStreaming and delay == f"{2 * 10 * 7 * 60 + 1} seconds"
+
+
+def test_state_stores_share_a_bounded_memory(spark):
+    """However many partitions an executor holds open."""
+    stream = spark.readStream.format("rate").load().select(
+        F.col("timestamp").alias("ts"), F.lit(0).alias("us"), F.col("value").alias("seq"), F.lit("").alias("mark"), F.lit("k").alias("k"))
+    so.fired(stream, ["k"], so.Counting(1, 2, 3))
+    assert spark.conf.get("spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage") == "true"
